@@ -7,38 +7,38 @@ from pyspark.sql import functions as F
 
 
 def cut_plan(start_bit: Column, size: Column, is_signed: Column) -> Column:
-    """Which hex digits hold a signal and how to cut it out of them.
+    """Which hex digits hold a signal and how to shift them into place.
 
     Worked out once per signal definition, not per frame. Bits count from the
-    top bit of byte 0. Signals longer than 64 bits keep their low 64 bits.
+    top bit of byte 0. Signals longer than 64 bits keep their low 64 bits, and a
+    64-bit signal always reads as signed.
     """
     width = F.least(size, F.lit(64))
     first = start_bit + size - width
     lead = F.pmod(first, F.lit(4))
     digits = F.floor((lead + width + 3) / 4).cast("int")
+    used = F.least(digits, F.lit(16))
     return F.struct(
         (start_bit + size).alias("end_bit"),
         (F.floor(first / 4) + 1).cast("int").alias("from_digit"),
-        F.least(digits, F.lit(8)).alias("high_digits"),
-        F.greatest(digits - 8, F.lit(0)).alias("low_digits"),
-        (lead + 1).cast("int").alias("from_bit"),
-        width.cast("int").alias("width"),
-        # Moving a signed number up to bit 63 and back down repeats its sign bit.
-        F.when(is_signed, 64 - width).otherwise(0).cast("int").alias("shift"),
+        used.alias("digits"),
+        (64 - used * 4 + lead).cast("int").alias("up"),
+        (64 - width).cast("int").alias("down"),
+        (is_signed | (width == 64)).alias("signed"),
+        # A signal of more than 60 bits may reach into a 17th digit.
+        F.when(digits > 16, (4 - lead).cast("int")).alias("spill"),
     )
 
 
 def raw_value(payload: Column, plan: Column) -> Column:
-    """The signal's integer. Two runs of hex digits are converted, as ``conv`` stops at 64 bits."""
+    """The signal's integer: read up to 16 digits, move its top bit to bit 63, then back down."""
 
-    def bits(start: Column, digits: Column) -> Column:
-        text = F.concat(F.lit("0"), F.substring(payload, start, digits))
-        return F.lpad(F.conv(text, 16, 2), digits * 4, F.lit("0"))
+    def number(start: Column, digits: Column) -> Column:
+        return F.conv(F.substring(payload, start, digits), 16, -10).cast("bigint")
 
-    both = F.concat(
-        bits(plan.from_digit, plan.high_digits),
-        bits(plan.from_digit + 8, plan.low_digits),
+    up = F.call_function("shiftleft", number(plan.from_digit, plan.digits), plan.up)
+    tail = F.call_function("shiftright", number(plan.from_digit + 16, F.lit(1)), plan.spill)
+    moved = F.when(plan.spill.isNotNull(), up.bitwiseOR(tail)).otherwise(up)
+    return F.when(plan.signed, F.call_function("shiftright", moved, plan.down)).otherwise(
+        F.call_function("shiftrightunsigned", moved, plan.down)
     )
-    number = F.conv(F.substring(both, plan.from_bit, plan.width), 2, -10).cast("bigint")
-    up = F.call_function("shiftleft", number, plan.shift)
-    return F.call_function("shiftright", up, plan.shift)

@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 
 
-def value_kind(value: Column) -> Column:
-    """integer, decimal, string, boolean, null, object or array; SQL null stays null."""
-    schema = F.schema_of_variant(value)
+def value_kind(schema: Column) -> Column:
+    """integer, decimal, string, boolean, null, object or array, from ``schema_of_variant``."""
     # Whole numbers beyond bigint come back as decimals of scale 0 and 19 or more digits.
+    big = r"^DECIMAL\((19|[23][0-9]),0\)$"
     return (
         F.when(schema == "BIGINT", "integer")
-        .when(schema.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$"), "integer")
-        .when(schema.isin("DOUBLE", "FLOAT") | schema.startswith("DECIMAL"), "decimal")
+        .when(schema.isin("DOUBLE", "FLOAT"), "decimal")
         .when(schema == "STRING", "string")
         .when(schema == "BOOLEAN", "boolean")
         .when(schema == "VOID", "null")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
+        .when(F.startswith(schema, F.lit("DECIMAL")), F.when(schema.rlike(big), "integer").otherwise("decimal"))
+        .when(F.startswith(schema, F.lit("OBJECT")), "object")
+        .when(F.startswith(schema, F.lit("ARRAY")), "array")
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from roadpulse.functions.bits import cut_plan, raw_value
 from roadpulse.functions.once import with_once
 from roadpulse.rules import CROSSING_TEXT, ThresholdRule
+from roadpulse.sources.can_logs import error_code, error_name
 
 # More than any vehicle network defines; a larger table is a mistake, not data.
 MAX_DEFINITIONS = 100_000
@@ -36,7 +37,8 @@ def message_table(defs: DataFrame, wanted: Sequence[str]) -> DataFrame:
         cut_plan(F.col("start_bit"), F.col("size"), F.col("is_signed")).alias("cut"), "factor", "offset"
     )
     names = [f"d{i}" for i in range(len(wanted))]
-    messages = defs.withColumn("plan", plan).groupBy("message_id", "position").agg(
+    # One partition, so that the small table is grouped without a shuffle.
+    messages = defs.coalesce(1).withColumn("plan", plan).groupBy("message_id", "position").agg(
         F.lit(True).alias("known"),
         *[F.min_by("plan", F.when(F.col("name") == name, F.col("start_bit"))).alias(d)
           for d, name in zip(names, wanted)],
@@ -60,8 +62,8 @@ def read_values(frames: DataFrame, defs: DataFrame, wanted: Sequence[str]) -> Da
     short = F.coalesce(F.greatest(F.lit(0), *[p.cut.end_bit for p in plans]) > bits, F.lit(False))
     error = (
         F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("known").isNull(), "unknown_id")
-        .when(short, "signal_range")
+        .when(F.col("known").isNull(), error_code("unknown_id"))
+        .when(short, error_code("signal_range"))
     )
     any_signal = F.lit(False)
     for plan in plans:
@@ -116,7 +118,7 @@ def file_status(frames: DataFrame, defs: DataFrame, wanted: Sequence[str]) -> Da
         F.min_by("error", F.when(bad, F.col("line_no"))).alias("first_error"),
     ).select(
         "file", "n_lines", "n_bad",
-        F.coalesce("first_error", F.when(F.col("n_useful") == 0, F.lit("no_signal"))).alias("error"),
+        F.coalesce(error_name(F.col("first_error")), F.when(F.col("n_useful") == 0, F.lit("no_signal"))).alias("error"),
     ).withColumn("usable", F.col("error").isNull())
 
 
@@ -135,8 +137,8 @@ def first_crossing(
     """Per file and rule set, the earliest time a threshold is exceeded and by which rule.
 
     Result: the ``by`` columns and ``crossings``, an array with one
-    struct(ts, rule_index) per rule set of ``rule_sets(rules_by_route)`` (null
-    where nothing crosses). ``mode="strict"`` leaves out files ``file_status``
+    struct(ts, rule_index) per rule set of ``rule_sets(rules_by_route)`` (with
+    nulls where nothing crosses). ``mode="strict"`` leaves out files ``file_status``
     calls unusable; ``"lenient"`` only skips their bad lines.
 
     Two shuffles, both on pre-combined rows: the lines of a time are folded into
@@ -165,9 +167,9 @@ def first_crossing(
             *[F.when((value(r) > r.threshold) & ~F.isnan(value(r)), F.lit(i + 1))
               for i, r in enumerate(rules)],
         )
-        return F.min(
-            F.when(F.col("useful") & index.isNotNull(), F.struct("ts", index.alias("rule_index")))
-        )
+        index = F.when(F.col("useful"), index)
+        at = F.when(index.isNotNull(), F.col("ts"))
+        return F.struct(F.min(at).alias("ts"), F.min_by(index, at).alias("rule_index"))
 
     per_file = per_time.groupBy(*by).agg(
         F.max("bad").alias("bad"), F.max("useful").alias("useful"),

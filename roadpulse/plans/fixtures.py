@@ -9,8 +9,10 @@ a fixed number of rows per event), so they cost one scan and no shuffle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roadpulse.functions.literals import literal_table
+from roadpulse.functions.once import with_once
 
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -27,6 +29,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Written as a pattern, because a stream takes a single file only from one.
+    return spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
+
+
 def derive_signals(ev: DataFrame) -> DataFrame:
     """Every event as one signal row; clicks are speeds, the other types are flags of mixed type."""
     return ev.selectExpr(
@@ -63,26 +70,24 @@ def speed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a JSON message (value, seq); some are broken on purpose."""
-    return events(spark, sf_dir).selectExpr(
-        "event_id ^ 31 as seq",
-        f"""case
-          when event_id % 17 = 0 then ''
-          when event_id % 17 = 1 then concat('{{bad', event_id)
-          when event_id % 17 = 2 then concat('{{"vin":"', {VIN}, '","sigTimestamp":', {SIG_TS}, '}}')
-          when event_id % 17 = 3 then concat('{{"sig":{{"sigName":"', event_type, '","value":1}}}}')
-          when event_id % 17 = 4 then concat('{{"vin":"', {VIN}, '","sigTimestamp":"', {SIG_TS},
-            'x","sig":{{"sigName":"', event_type, '","value":1}}}}')
-          when event_id % 17 = 5 then concat('{{"vin":"', {VIN}, '","kafkaTimestamp":"', {SIG_TS},
-            '","sigTimestamp":', {SIG_TS}, '.7,"sig":{{"sigName":"', event_type, '","value":true}}}}')
-          when event_id % 17 = 6 then concat('{{"vin":"', {VIN},
-            '","kafkaTimestamp":null,"sig":{{"sigName":"', event_type, '","value":null}}}}')
-          when event_id % 17 = 7 then concat('{{"vin":"', {VIN}, '","kafkaTimestamp":', {SIG_TS},
-            ',"sigTimestamp":', {SIG_TS}, ',"sig":{{"sigName":"', event_type, '","value":"',
-            {VALUE_TEXT}, '"}}}}')
-          else concat('{{"vin":"', {VIN}, '","kafkaTimestamp":', {SIG_TS} + event_id % 1000,
-            ',"sigTimestamp":', {SIG_TS}, ',"sig":{{"sigName":"', event_type, '","value":',
-            {VALUE_TEXT}, '}}}}') end as value""",
+    rows = events(spark, sf_dir).selectExpr(
+        "event_id", "event_type", "event_id ^ 31 as seq", "cast(event_id % 17 as int) as m",
+        f"{VIN} as vin", f"{SIG_TS} as sig_ts", f"{VALUE_TEXT} as text",
     )
+    return with_once(rows, {"value": F.expr(
+        """case when m = 0 then '' when m = 1 then concat('{bad', event_id) else concat('{',
+          if(m = 3, '', concat('"vin":"', vin, '"', if(m = 4, ',', ''))),
+          case when m = 5 then concat(',"kafkaTimestamp":"', sig_ts, '",') when m = 6 then ',"kafkaTimestamp":null,'
+            when m = 7 then concat(',"kafkaTimestamp":', sig_ts, ',')
+            when m > 7 then concat(',"kafkaTimestamp":', sig_ts + event_id % 1000, ',') else '' end,
+          case when m = 2 then concat(',"sigTimestamp":', sig_ts) when m in (3, 6) then ''
+            when m = 4 then concat('"sigTimestamp":"', sig_ts, 'x",')
+            when m = 5 then concat('"sigTimestamp":', sig_ts, '.7,') else concat('"sigTimestamp":', sig_ts, ',') end,
+          if(m = 2, '', concat('"sig":{"sigName":"', event_type, '","value":',
+            case when m in (3, 4) then '1' when m = 5 then 'true' when m = 6 then 'null'
+              when m = 7 then concat('"', text, '"') else text end, '}')),
+          '}') end"""
+    )}).select("seq", "value")
 
 
 def mixed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,27 +193,27 @@ def can_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def can_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CAN log lines (file, line_no, line, vin, timestamp); one short file per trigger event."""
+    """CAN log lines (file, line_no, line, vin, timestamp); one short file per trigger event.
+
+    The third line is broken in one of ten ways for part of the files; the last
+    line repeats the time of the first, so its signals win there.
+    """
     payload = "concat(lpad(hex(half_a), 8, '0'), lpad(hex(half_b), 8, '0'))"
-    # The last line repeats the time of the first, so its signals win there.
-    stamp = "sig_ts + if(i = 3, 0, i)"
-    return can_rows(spark, sf_dir).selectExpr(
-        "concat('clip/', event_id) as file", "vin", "timestamp", "i as line_no",
-        f"""case
-          when i = 2 and event_id % 23 = 0 then ''
-          when i = 2 and event_id % 23 = 1 then concat('(', sig_ts, ') can0')
-          when i = 2 and event_id % 23 = 2 then concat('(', sig_ts, ') can0 1F4##', {payload})
-          when i = 2 and event_id % 23 = 3 then concat('(', sig_ts, ') can0 1G#', {payload})
-          when i = 2 and event_id % 23 = 4 then concat('(', sig_ts, ') can0 1F4#ABC')
-          when i = 2 and event_id % 23 = 5 then concat('(', sig_ts, '.25) can0 1F4#', {payload})
-          when i = 2 and event_id % 23 = 6 then concat('(', sig_ts, ') can0 7FF#', {payload})
-          when i = 2 and event_id % 23 = 7 then concat('(', sig_ts, ') can0 1F4#AABB')
-          when i = 2 and event_id % 23 = 8 then concat('(0) can0 1F4#', {payload})
-          when i = 2 and event_id % 23 = 9 then concat('(', sig_ts, ') can0 1F4#ZZ')
-          when event_id % 23 = 10 then concat('(', sig_ts, ') can0 1F6#', {payload})
-          else concat('  (', {stamp}, ')  can0 ', if(i = 1, '1f5', '1F4'), '#', {payload}, ' rx')
-          end as line""",
+    rows = can_rows(spark, sf_dir).selectExpr(
+        "concat('clip/', event_id) as file", "vin", "timestamp", "event_id", "sig_ts", "i as line_no",
+        f"{payload} as payload", "if(i = 2, event_id % 23, -1) as kind", "event_id % 23 = 10 as foreign",
     )
+    return with_once(rows, {"line": F.expr(
+        """concat(
+          case when kind = 8 then '(0' when kind = 5 then concat('(', sig_ts, '.25')
+            when kind between 0 and 9 or foreign then concat('(', sig_ts)
+            else concat('  (', sig_ts + if(line_no = 3, 0, line_no)) end,
+          ')  can0 ',
+          case kind when 1 then '' when 2 then '1F4##' when 3 then '1G#' when 6 then '7FF#'
+            else if(foreign, '1F6#', if(line_no = 1, '1f5#', '1F4#')) end,
+          case kind when 1 then '' when 4 then 'ABC' when 7 then 'AABB' when 9 then 'ZZ' else payload end,
+          if(kind = 1, '', ' rx'))"""
+    )}).selectExpr("file", "vin", "timestamp", "line_no", "if(kind = 0, '', line) as line")
 
 
 def signal_defs(spark: SparkSession) -> DataFrame:

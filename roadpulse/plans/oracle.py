@@ -341,4 +341,13 @@ from st where status = 'failed' group by all""",
     "queue_size_latest": f"""with {STEPS}
 select queue_type, vehicle_type, arg_max(size, (ts, seq)) as size from st group by all""",
     "queue_wait_histogram": _histogram("wait_ms"),
+    "stream_system_signals": f"""with {SIGNALS}, {FIRED}
+select vin, kafka_ts, sig_ts, seq, anomaly_type, severity, current_value from fired""",
+    "stream_speed_exact": f"""with {SPEEDS}, {HITS}
+select vin, kafka_ts, sig_ts, seq, anomaly_type, severity, additional_info,
+  current_speed, previous_speed, previous_seq from spd_anom""",
+    "stream_speed_joined": f"""with {SPEEDS}, {HITS}
+select vin, kafka_ts, sig_ts, seq, anomaly_type, severity, additional_info,
+  current_speed, previous_speed, previous_seq from spd_anom
+where sig_ts < (select max(sig_ts) - 30000 from spd)""",
 }

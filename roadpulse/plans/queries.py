@@ -11,6 +11,7 @@ from roadpulse import rules
 from roadpulse.operators import anomalies, can, operations, triggers, verdict
 from roadpulse.plans import fixtures as fx
 from roadpulse.sources import can_logs, signals, trigger_feed
+from roadpulse.streaming import run, speed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,7 +184,9 @@ def _verdicts(spark, sf_dir, mode="strict"):
 
 @query
 def parse_can_frames(spark, sf_dir):
-    return _frames(spark, sf_dir).select("file", "line_no", "ts", "can_id", "payload", "error")
+    return _frames(spark, sf_dir).select(
+        "file", "line_no", "ts", "can_id", "payload", can_logs.error_name(F.col("error")).alias("error")
+    )
 
 
 @query
@@ -278,3 +281,36 @@ def queue_size_latest(spark, sf_dir):
 @query
 def queue_wait_histogram(spark, sf_dir):
     return operations.duration_histogram(fx.step_events(spark, sf_dir), "wait_ms")
+
+
+# --- the same rules on a stream ----------------------------------------------------------
+
+
+def _speed_columns(found):
+    return found.select(
+        "vin", "kafka_ts", "sig_ts", "seq", "anomaly_type", "severity", "additional_info",
+        "current_speed", "previous_speed", "previous_seq",
+    )
+
+
+@query
+def stream_system_signals(spark, sf_dir):
+    stream = fx.derive_signals(fx.event_stream(spark, sf_dir))
+    found = run.drain(anomalies.system_signals(stream), "stream-system")
+    return found.select("vin", "kafka_ts", "sig_ts", "seq", "anomaly_type", "severity", "current_value")
+
+
+@query
+def stream_speed_exact(spark, sf_dir):
+    stream = fx.derive_speed_signals(fx.event_stream(spark, sf_dir))
+    return _speed_columns(run.drain(speed.exact(stream), "stream-exact"))
+
+
+@query
+def stream_speed_joined(spark, sf_dir):
+    """Hits the watermark has passed; the last 30 s of the feed are still open and left out."""
+    stream = fx.derive_speed_signals(fx.event_stream(spark, sf_dir))
+    found = run.drain(speed.joined(stream), "stream-joined")
+    end = fx.speed_signals(spark, sf_dir).agg(F.max("sig_ts").alias("end"))
+    closed = found.join(F.broadcast(end), F.col("sig_ts") < F.col("end") - 30_000)
+    return _speed_columns(closed)

@@ -5,57 +5,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.functions.coerce import parse_int
 from roadpulse.functions.once import with_once
 
+# What can be wrong with a line, in the order the checks are made; a row's error is a position here.
+LINE_ERRORS = ["fields", "timestamp", "frame", "can_id", "odd_hex", "hex", "unknown_id", "signal_range"]
+
+
+def error_code(name: str) -> Column:
+    return F.lit(LINE_ERRORS.index(name))
+
+
+def error_name(code: Column) -> Column:
+    return F.get(F.array(*[F.lit(e) for e in LINE_ERRORS]), code)
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all log files below ``path`` as (file, line_no, line).
 
-    ``line_no`` orders the lines of a file. It is a pair (block start, row
-    within the scan), not a count: the rows of a block are read in order by one
-    task, so large files stay splittable and no file has to fit in one row.
+    ``line_no`` orders the lines of a file and is no count. Its upper bits are
+    the MiB at which the block starts, its lower 33 bits the row within the
+    scan task, which reads the rows of a block in order. So large files stay
+    splittable and no file has to fit in one row. Splits must not be set smaller
+    than 1 MiB.
     """
+    block = F.call_function("shiftright", F.col("_metadata.file_block_start"), F.lit(20))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("line_no"),
+        F.shiftleft(block, 33).bitwiseOR(row).alias("line_no"),
         F.col("value").alias("line"),
     )
 
 
 def parse_frames(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Split ``(ts) iface ID#HEX`` lines into ts, can_id and payload; ``error`` says what is wrong.
+    """Split ``(ts) iface ID#HEX`` lines into ts, can_id and payload.
 
-    Blank lines are left out; all other columns are kept; one row in, one row out.
+    ``error`` is null for a sound line, else a position in LINE_ERRORS. Blank
+    lines are left out, other columns are kept; one row in, one row out.
     """
     text = F.btrim(F.col(line), F.lit(" \t\n\r\u000b\f"))
     fields = with_once(lines.where(text != ""), {"_f": F.split(text, r"\s+")})
+    frame = F.get("_f", F.lit(2))
+    id_text = F.substring_index(frame, "#", 1)
     cut = with_once(fields, {
-        "_ts": F.btrim(F.get("_f", F.lit(0)), F.lit("()")),
-        "_frame": F.split(F.get("_f", F.lit(2)), "#"),
+        "_n": F.size("_f"),
+        # The field holds no spaces, so the cast takes a sign and digits only.
+        "_ts": F.btrim(F.get("_f", F.lit(0)), F.lit("()")).try_cast("bigint"),
+        "_id": id_text,
+        "_data": F.substring(frame, F.length(id_text) + 2, F.length(frame)),
+        "_marks": F.length(frame) - F.length(F.replace(frame, F.lit("#"), F.lit(""))),
     })
-    id_text, data = F.get("_frame", F.lit(0)), F.get("_frame", F.lit(1))
-    ts = parse_int(F.col("_ts"), "bigint")
-    id_digits = F.ltrim(id_text, F.lit("0"))
-    error = (
-        F.when(F.size("_f") < 3, "fields")
-        .when(ts.isNull(), "timestamp")
-        .when(F.size("_frame") != 2, "frame")
-        .when(~(id_text.rlike("^[0-9A-Fa-f]+$") & (F.length(id_digits) <= 8)), "can_id")
-        .when(F.length(data) % 2 != 0, "odd_hex")
-        .when(~data.rlike("^[0-9A-Fa-f]*$"), "hex")
-    )
-    checked = with_once(cut, {"error": error})
+    digits = F.ltrim(F.col("_id"), F.lit("0"))
+    id_ok = (F.length("_id") > 0) & F.unhex("_id").isNotNull() & (F.length(digits) <= 8)
+    checked = with_once(cut, {
+        "error": F.when(F.col("_n") < 3, error_code("fields"))
+        .when(F.col("_ts").isNull(), error_code("timestamp"))
+        .when(F.col("_marks") != 1, error_code("frame"))
+        .when(~id_ok, error_code("can_id"))
+        .when(F.length("_data") % 2 != 0, error_code("odd_hex"))
+        .when(F.unhex("_data").isNull(), error_code("hex")),
+    })
+    keep = [c for c in lines.columns if c not in ("error", "ts", "can_id", "payload")]
     sound = F.col("error").isNull()
-    return with_once(checked, {
-        "ts": F.when(sound, ts),
-        "can_id": F.when(sound, _hex_number(id_digits)),
-        "payload": F.when(sound, F.upper(data)),
-    }).drop("_f", "_ts", "_frame")
-
-
-def _hex_number(digits: Column) -> Column:
-    return F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("bigint")
+    return checked.select(
+        *keep, "error",
+        F.when(sound, F.col("_ts")).alias("ts"),
+        F.when(sound, F.conv("_id", 16, 10).cast("bigint")).alias("can_id"),
+        F.when(sound, F.col("_data")).alias("payload"),
+    )

@@ -13,6 +13,15 @@ from roadpulse.functions.once import with_once
 # The field names of a message.
 MESSAGE_FIELDS = ["vin", "kafkaTimestamp", "sigTimestamp", "sig"]
 SIG_FIELDS = ["sigName", "value"]
+# Time stamps and the value may be of any JSON type; a message that does not fit lands in _bad.
+MESSAGE_SCHEMA = (
+    "vin string, kafkaTimestamp variant, sigTimestamp variant, "
+    "sig struct<sigName string, value variant>, _bad string"
+)
+JSON_OPTIONS = {
+    "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
 
 
 def read_kafka(
@@ -35,11 +44,17 @@ def read_kafka(
     return reader.options(**options).load()
 
 
-def _timestamp(path: str) -> Column:
-    """Whole ms: missing, null and empty text are 0, decimals are cut, anything else is null."""
-    text = F.try_variant_get("_msg", path, "string")
-    return F.when(F.coalesce(F.btrim(text), F.lit("")) == "", F.lit(0).cast("bigint")).when(
-        ~text.isin("true", "false"), F.try_variant_get("_msg", path, "bigint")
+def _timestamp(value: Column, number: Column) -> Column:
+    """Whole ms: missing, null and empty text are 0, decimals are cut, anything else is null.
+
+    ``number`` is the bigint reading of ``value``; the text is looked at only
+    where that is null, or may stem from a boolean.
+    """
+    text = F.try_variant_get(value, "$", "string")
+    blank = F.coalesce(F.btrim(text), F.lit("")) == ""
+    return (
+        F.when(number.isNull(), F.when(blank, F.lit(0).cast("bigint")))
+        .when(~(number.isin(0, 1) & text.isin("true", "false")), number)
     )
 
 
@@ -54,38 +69,37 @@ def parse_messages(df: DataFrame, strict_fields: bool = False) -> DataFrame:
         df = df.withColumn("seq", F.col("offset"))
     keep = [c for c in df.columns if c != "value"]
     text = df.select(*keep, F.col("value").cast("string").alias("raw"))
-    parsed = with_once(text, {"_msg": F.try_parse_json("raw")})
-    fields = with_once(parsed, {
-        "vin": F.try_variant_get("_msg", "$.vin", "string"),
-        "kafka_ts": _timestamp("$.kafkaTimestamp"),
-        "sig_ts": _timestamp("$.sigTimestamp"),
-        "_sig": F.try_variant_get("_msg", "$.sig", "variant"),
+    parsed = with_once(text, {"_m": F.from_json("raw", MESSAGE_SCHEMA, JSON_OPTIONS)})
+    read = with_once(parsed, {
+        "_kafka": F.try_variant_get("_m.kafkaTimestamp", "$", "bigint"),
+        "_sig": F.try_variant_get("_m.sigTimestamp", "$", "bigint"),
     })
-    fields = with_once(fields, {
-        "sig_name": F.try_variant_get("_sig", "$.sigName", "string"),
-        "value": F.try_variant_get("_sig", "$.value", "variant"),
-        "_msg_kind": coerce.value_kind(F.col("_msg")),
-        "_sig_kind": coerce.value_kind(F.col("_sig")),
+    fields = with_once(read, {
+        "kafka_ts": _timestamp(F.col("_m.kafkaTimestamp"), F.col("_kafka")),
+        "sig_ts": _timestamp(F.col("_m.sigTimestamp"), F.col("_sig")),
     })
     extra = F.lit(False)
     if strict_fields:
-        extra = _unknown_keys(F.col("_msg"), MESSAGE_FIELDS) | _unknown_keys(F.col("_sig"), SIG_FIELDS)
+        extra = _unknown_keys(F.col("raw"), MESSAGE_FIELDS) | _unknown_keys(
+            F.get_json_object("raw", "$.sig"), SIG_FIELDS
+        )
+    is_object = F.startswith(F.ltrim(F.col("raw"), F.lit(" \t\n\r")), F.lit("{"))
     error = (
         F.when(F.coalesce(F.col("raw"), F.lit("")) == "", "empty")
-        .when(F.coalesce(F.col("_msg_kind"), F.lit("")) != "object", "malformed_json")
+        .when(F.col("_m").isNull() | F.col("_m._bad").isNotNull() | ~is_object, "malformed_json")
         .when(F.coalesce(extra, F.lit(False)), "unknown_field")
-        .when(F.coalesce(F.col("_sig_kind"), F.lit("null")) == "null", "no_sig")
-        .when(F.col("_sig_kind") != "object", "malformed_sig")
-        .when(F.col("vin").isNull(), "no_vin")
+        .when(F.col("_m.sig").isNull(), "no_sig")
+        .when(F.col("_m.vin").isNull(), "no_vin")
         .when(F.col("kafka_ts").isNull() | F.col("sig_ts").isNull(), "bad_timestamp")
     )
-    return with_once(fields, {"error": error}).select(
-        *keep, "raw", "vin", "kafka_ts", "sig_ts", "sig_name", "value", "error"
+    return fields.select(
+        *keep, "raw", "_m.vin", "kafka_ts", "sig_ts", F.col("_m.sig.sigName").alias("sig_name"),
+        "_m.sig.value", error.alias("error"),
     )
 
 
 def _unknown_keys(value: Column, known: list[str]) -> Column:
-    keys = F.json_object_keys(F.to_json(value))
+    keys = F.json_object_keys(value)
     return F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0
 
 
@@ -115,7 +129,8 @@ def coerce_values(
     targets: Sequence[str] = ("as_double", "as_integer", "as_boolean", "as_string"),
 ) -> DataFrame:
     """Add value_type and the wanted readings of a variant column."""
-    typed = with_once(df, {"value_type": coerce.value_kind(F.col(value))})
+    schema = with_once(df, {"_schema": F.schema_of_variant(value)})
+    typed = with_once(schema, {"value_type": coerce.value_kind(F.col("_schema"))}).drop("_schema")
     return with_once(
         typed, {name: getattr(coerce, name)(F.col(value), F.col("value_type")) for name in targets}
     )
