@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpulse.functions.literals import literal_table
-from roadpulse.functions.once import with_once
+from roadpulse.functions.once import spread, with_once
 
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -53,7 +53,7 @@ def derive_signals(ev: DataFrame) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive_signals(events(spark, sf_dir))
+    return derive_signals(spread(events(spark, sf_dir)))
 
 
 def derive_speed_signals(ev: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def speed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a JSON message (value, seq); some are broken on purpose."""
-    rows = events(spark, sf_dir).selectExpr(
+    rows = spread(events(spark, sf_dir)).selectExpr(
         "event_id", "event_type", "event_id ^ 31 as seq", "cast(event_id % 17 as int) as m",
         f"{VIN} as vin", f"{SIG_TS} as sig_ts", f"{VALUE_TEXT} as text",
     )
@@ -92,7 +92,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of every JSON kind (seq, value), for the typing rules."""
-    return events(spark, sf_dir).selectExpr(
+    return spread(events(spark, sf_dir)).selectExpr(
         "event_id as seq",
         f"""parse_json(case event_id % 16
           when 0 then 'true' when 1 then 'false'
@@ -124,7 +124,7 @@ def trigger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "named_struct('vin', {vin}, 'timestamp', {ts}, 'car_type', concat('T', user_id % 5),"
         " 'tag', array(event_type), 'trigger_info', {info})"
     )
-    return events(spark, sf_dir).where("event_type <> 'signup'").selectExpr(
+    return spread(events(spark, sf_dir)).where("event_type <> 'signup'").selectExpr(
         "'0' as code", "'ok' as status", "'' as message", "2 as total",
         "cast(event_id % 1000000 as int) as page", "2 as page_size",
         "array("
@@ -186,7 +186,7 @@ HALF_B = "((event_id * 4 + i) % 1000003 * 40503 * 1009 + 12345) % 4294967296"
 
 def can_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four numbered CAN lines per trigger event, with the integers behind them."""
-    return events(spark, sf_dir).where("event_type <> 'signup'").selectExpr(
+    return spread(events(spark, sf_dir)).where("event_type <> 'signup'").selectExpr(
         "event_id", f"{VIN} as vin", f"{EPOCH_MS} as timestamp", f"{SIG_TS} as sig_ts",
         "explode(sequence(0L, 3L)) as i",
     ).selectExpr("*", f"{HALF_A} as half_a", f"{HALF_B} as half_b")
