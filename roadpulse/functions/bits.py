@@ -2,43 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def cut_plan(start_bit: Column, size: Column, is_signed: Column) -> Column:
-    """Which hex digits hold a signal and how to shift them into place.
-
-    Worked out once per signal definition, not per frame. Bits count from the
-    top bit of byte 0. Signals longer than 64 bits keep their low 64 bits, and a
-    64-bit signal always reads as signed.
-    """
-    width = F.least(size, F.lit(64))
-    first = start_bit + size - width
-    lead = F.pmod(first, F.lit(4))
-    digits = F.floor((lead + width + 3) / 4).cast("int")
-    used = F.least(digits, F.lit(16))
-    return F.struct(
-        (start_bit + size).alias("end_bit"),
-        (F.floor(first / 4) + 1).cast("int").alias("from_digit"),
-        used.alias("digits"),
-        (64 - used * 4 + lead).cast("int").alias("up"),
-        (64 - width).cast("int").alias("down"),
-        (is_signed | (width == 64)).alias("signed"),
-        # A signal of more than 60 bits may reach into a 17th digit.
-        F.when(digits > 16, (4 - lead).cast("int")).alias("spill"),
-    )
-
-
-def raw_value(payload: Column, plan: Column) -> Column:
-    """The signal's integer: read up to 16 digits, move its top bit to bit 63, then back down."""
-
-    def number(start: Column, digits: Column) -> Column:
-        return F.conv(F.substring(payload, start, digits), 16, -10).cast("bigint")
-
-    up = F.call_function("shiftleft", number(plan.from_digit, plan.digits), plan.up)
-    tail = F.call_function("shiftright", number(plan.from_digit + 16, F.lit(1)), plan.spill)
-    moved = F.when(plan.spill.isNotNull(), up.bitwiseOR(tail)).otherwise(up)
-    return F.when(plan.signed, F.call_function("shiftright", moved, plan.down)).otherwise(
-        F.call_function("shiftrightunsigned", moved, plan.down)
-    )
+# SQL text of a struct telling which hex digits hold a signal and how to shift them into place.
+# Needs columns start_bit, size and is_signed; worked out once per signal definition, not per
+# frame. Bits count from the top bit of byte 0. A signal longer than 64 bits keeps its low 64
+# bits, and a 64-bit signal always reads as signed. A signal of more than 60 bits may reach into
+# a 17th digit, of which ``spill`` says how many low bits to leave out.
+_WIDTH = "least(size, 64)"
+_FIRST = f"(start_bit + size - {_WIDTH})"
+_LEAD = f"pmod({_FIRST}, 4)"
+_DIGITS = f"cast(({_LEAD} + {_WIDTH} + 3) div 4 as int)"
+CUT_PLAN = f"""named_struct(
+  'end_bit', start_bit + size,
+  'from_digit', cast({_FIRST} div 4 + 1 as int),
+  'digits', least({_DIGITS}, 16),
+  'up', 64 - least({_DIGITS}, 16) * 4 + {_LEAD},
+  'down', 64 - {_WIDTH},
+  'signed', is_signed or {_WIDTH} = 64,
+  'spill', if({_DIGITS} > 16, 4 - {_LEAD}, null))"""
+
+
+def raw_value(payload: str, plan: str) -> str:
+    """SQL text of the signal's integer: read up to 16 digits, move its top bit to bit 63, then back."""
+    head = f"shiftleft(cast(conv(substring({payload}, {plan}.from_digit, {plan}.digits), 16, -10) as bigint), {plan}.up)"
+    tail = f"shiftright(cast(conv(substring({payload}, {plan}.from_digit + 16, 1), 16, -10) as bigint), {plan}.spill)"
+    moved = f"if({plan}.spill is null, {head}, {head} | {tail})"
+    return f"if({plan}.signed, shiftright({moved}, {plan}.down), shiftrightunsigned({moved}, {plan}.down))"

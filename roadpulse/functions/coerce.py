@@ -1,7 +1,8 @@
 """Turn a signal value of mixed type (a variant) into one wanted type.
 
-Every function branches on the kind of the value first: a plain cast would turn
-``true`` into 1.0 and ``"yes"`` into true, and neither is wanted.
+Each reading is SQL text over a variant column ``v`` and its kind ``k`` (see
+KIND). It branches on the kind first: a plain cast would turn ``true`` into 1.0
+and ``"yes"`` into true, and neither is wanted.
 """
 
 from __future__ import annotations
@@ -9,81 +10,55 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INT_MIN, INT_MAX = -(2**31), 2**31 - 1
-
-
-def value_kind(schema: Column) -> Column:
-    """integer, decimal, string, boolean, null, object or array, from ``schema_of_variant``."""
-    # Whole numbers beyond bigint come back as decimals of scale 0 and 19 or more digits.
-    big = r"^DECIMAL\((19|[23][0-9]),0\)$"
-    return (
-        F.when(schema == "BIGINT", "integer")
-        .when(schema.isin("DOUBLE", "FLOAT"), "decimal")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "VOID", "null")
-        .when(F.startswith(schema, F.lit("DECIMAL")), F.when(schema.rlike(big), "integer").otherwise("decimal"))
-        .when(F.startswith(schema, F.lit("OBJECT")), "object")
-        .when(F.startswith(schema, F.lit("ARRAY")), "array")
-    )
-
-
-def parse_double(text: Column) -> Column:
-    """Text to double or null; the special words count only as NaN and Infinity, spelt so."""
-    word = F.btrim(text)
-    loose = F.lower(word).rlike("^[+-]?(nan|inf|infinity)$")
-    exact = word.rlike("^[+-]?(NaN|Infinity)$")
-    return F.when(~loose | exact, text.try_cast("double"))
+# Kind of a value from its ``schema_of_variant`` text. Whole numbers beyond bigint come back as
+# decimals of scale 0 and 19 or more digits.
+KIND = r"""case
+  when {s} = 'BIGINT' then 'integer'
+  when {s} in ('DOUBLE', 'FLOAT') then 'decimal'
+  when {s} = 'STRING' then 'string'
+  when {s} = 'BOOLEAN' then 'boolean'
+  when {s} = 'VOID' then 'null'
+  when startswith({s}, 'DECIMAL') then
+    if({s} rlike '^DECIMAL\\((19|[23][0-9]),0\\)$', 'integer', 'decimal')
+  when startswith({s}, 'OBJECT') then 'object'
+  when startswith({s}, 'ARRAY') then 'array' end"""
+
+_TEXT = "try_variant_get({v}, '$', 'string')"
+_REAL = "try_variant_get({v}, '$', 'double')"
+_WHOLE = "try_variant_get({v}, '$', 'bigint')"
+
+# Numbers and numeric text. The special words count only as NaN and Infinity, spelt so.
+AS_DOUBLE = f"""case
+  when {{k}} in ('integer', 'decimal') then {_REAL}
+  when {{k}} = 'string' and (not lower(btrim({_TEXT})) rlike '^[+-]?(nan|inf|infinity)$'
+    or btrim({_TEXT}) rlike '^[+-]?(NaN|Infinity)$') then try_cast({_TEXT} as double) end"""
+
+# 32-bit reading of a number: whole numbers keep their low 32 bits, decimals are cut and clamped.
+_INT_OF_NUMBER = f"""if({{k}} = 'integer', shiftright(shiftleft({_WHOLE}, 32), 32),
+  case when isnan({_REAL}) then 0L when {_REAL} >= 2147483647 then 2147483647L
+    when {_REAL} <= -2147483648 then -2147483648L else try_cast({_REAL} as bigint) end)"""
+
+# Numbers, and text of a sign and digits only.
+AS_INTEGER = f"""case
+  when {{k}} in ('integer', 'decimal') then {_INT_OF_NUMBER}
+  when {{k}} = 'string' and {_TEXT} rlike '^[+-]?[0-9]+$' then cast(try_cast({_TEXT} as int) as bigint) end"""
+
+# Text is true only for "true" in any case; numbers by their integer reading.
+AS_BOOLEAN = f"""case
+  when {{k}} = 'boolean' then try_variant_get({{v}}, '$', 'boolean')
+  when {{k}} = 'string' then lower({_TEXT}) = 'true'
+  when {{k}} in ('integer', 'decimal') then {_INT_OF_NUMBER} <> 0 end"""
+
+# Printed form; decimals print as doubles (1.0 stays 1.0).
+AS_STRING = f"""case
+  when {{k}} = 'decimal' then cast({_REAL} as string)
+  when {{k}} <> 'null' then {_TEXT} end"""
+
+READINGS = {
+    "as_double": AS_DOUBLE, "as_integer": AS_INTEGER, "as_boolean": AS_BOOLEAN, "as_string": AS_STRING,
+}
 
 
 def parse_int(text: Column, kind: str = "int") -> Column:
     """Strict text to integer: sign and digits only, no spaces; out of range is null."""
     return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast(kind))
-
-
-def _get(value: Column, kind: str) -> Column:
-    return F.try_variant_get(value, "$", kind)
-
-
-def as_double(value: Column, kind: Column) -> Column:
-    """Numbers and numeric text; a boolean is null, not 1.0."""
-    return F.when(kind.isin("integer", "decimal"), _get(value, "double")).when(
-        kind == "string", parse_double(_get(value, "string"))
-    )
-
-
-def _int_of_number(value: Column, kind: Column) -> Column:
-    """32-bit reading of a number: whole numbers keep their low 32 bits, decimals are clamped."""
-    whole = _get(value, "bigint")
-    low = F.shiftright(F.shiftleft(whole, 32), 32)
-    real = _get(value, "double")
-    clamped = (
-        F.when(F.isnan(real), F.lit(0.0))
-        .when(real >= INT_MAX, F.lit(float(INT_MAX)))
-        .when(real <= INT_MIN, F.lit(float(INT_MIN)))
-        .otherwise(real)
-    )
-    return F.when(kind == "integer", low).otherwise(clamped.try_cast("bigint"))
-
-
-def as_integer(value: Column, kind: Column) -> Column:
-    """Numbers cut toward zero; strict integer text."""
-    return F.when(kind.isin("integer", "decimal"), _int_of_number(value, kind)).when(
-        kind == "string", parse_int(_get(value, "string")).cast("bigint")
-    )
-
-
-def as_boolean(value: Column, kind: Column) -> Column:
-    """Booleans; text is true only for "true" in any case; numbers by their integer reading."""
-    return (
-        F.when(kind == "boolean", _get(value, "boolean"))
-        .when(kind == "string", F.lower(_get(value, "string")) == "true")
-        .when(kind.isin("integer", "decimal"), _int_of_number(value, kind) != 0)
-    )
-
-
-def as_string(value: Column, kind: Column) -> Column:
-    """Printed form; decimals print as doubles (1.0 stays 1.0)."""
-    return F.when(kind == "decimal", _get(value, "double").cast("string")).when(
-        kind != "null", _get(value, "string")
-    )

@@ -31,13 +31,13 @@ def lookup_before(
     """
     pick = F.min if best == "min" else F.max
     names = left.columns
-    rows = left.withColumn("_b", bucket_of(F.col(left_ts), bucket_ms)).select(
+    rows = left.withColumn("_b", bucket_of(left_ts, bucket_ms)).select(
         F.col(key).alias("_k"), "_b", F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
         F.struct(*names).alias("_row"),
     )
     known = right.where(F.col(key).isNotNull() & F.col(right_ts).isNotNull()).select(
         F.col(key).alias("_k"),
-        bucket_of(F.col(right_ts), bucket_ms).alias("_b"),
+        bucket_of(right_ts, bucket_ms).alias("_b"),
         F.col(right_ts).alias("_t"),
         value.alias("_v"),
     )

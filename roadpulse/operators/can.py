@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.functions.bits import cut_plan, raw_value
+from roadpulse.functions.bits import CUT_PLAN, raw_value
 from roadpulse.functions.once import with_once
 from roadpulse.rules import CROSSING_TEXT, ThresholdRule
 from roadpulse.sources.can_logs import error_code, error_name
@@ -33,19 +33,20 @@ def message_table(defs: DataFrame, wanted: Sequence[str]) -> DataFrame:
         raise ValueError(f"more than {MAX_DEFINITIONS} signal definitions")
     if "position" not in defs.columns:
         defs = defs.withColumn("position", F.lit(0))
-    plan = F.struct(
-        cut_plan(F.col("start_bit"), F.col("size"), F.col("is_signed")).alias("cut"), "factor", "offset"
-    )
     names = [f"d{i}" for i in range(len(wanted))]
     # One partition, so that the small table is grouped without a shuffle.
-    messages = defs.coalesce(1).withColumn("plan", plan).groupBy("message_id", "position").agg(
-        F.lit(True).alias("known"),
-        *[F.min_by("plan", F.when(F.col("name") == name, F.col("start_bit"))).alias(d)
-          for d, name in zip(names, wanted)],
+    messages = (
+        defs.coalesce(1)
+        .selectExpr("*", f"named_struct('cut', {CUT_PLAN}, 'factor', factor, 'offset', offset) as plan")
+        .groupBy("message_id", "position")
+        .agg(*[
+            F.min_by("plan", F.when(F.col("name") == name, F.col("start_bit"))).alias(d)
+            for d, name in zip(names, wanted)
+        ])
     )
     return (
         messages.groupBy(F.col("message_id").alias("can_id"))
-        .agg(F.min_by(F.struct("known", *names), "position").alias("m"))
+        .agg(F.min_by(F.struct(F.lit(True).alias("known"), *names), "position").alias("m"))
         .select("can_id", "m.*")
     )
 
@@ -57,23 +58,17 @@ def read_values(frames: DataFrame, defs: DataFrame, wanted: Sequence[str]) -> Da
     ``useful`` lines are sound, have a time other than 0 and at least one wanted signal.
     """
     known = frames.join(F.broadcast(message_table(defs, wanted)), "can_id", "left")
-    plans = [F.col(f"d{i}") for i in range(len(wanted))]
-    bits = F.length("payload") * 4
-    short = F.coalesce(F.greatest(F.lit(0), *[p.cut.end_bit for p in plans]) > bits, F.lit(False))
-    error = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("known").isNull(), error_code("unknown_id"))
-        .when(short, error_code("signal_range"))
-    )
-    any_signal = F.lit(False)
-    for plan in plans:
-        any_signal = any_signal | plan.isNotNull()
-    judged = with_once(known, {"error": error, "_any": any_signal})
-    useful = F.col("error").isNull() & (F.col("ts") != 0) & F.col("_any")
-    judged = judged.withColumn("useful", F.coalesce(useful, F.lit(False)))
+    plans = [f"d{i}" for i in range(len(wanted))]
+    ends = ", ".join(f"{p}.cut.end_bit" for p in plans)
+    judged = with_once(known, {
+        "error": f"""case when error is not null then error
+          when known is null then {error_code("unknown_id")}
+          when greatest(0, 0, {ends}) > length(payload) * 4 then {error_code("signal_range")} end""",
+        "_any": " or ".join(f"{p} is not null" for p in plans),
+    }).withColumn("useful", F.expr("coalesce(error is null and ts <> 0 and _any, false)"))
     values = {
-        f"v{i}": F.when(F.col("useful"), raw_value(F.col("payload"), p.cut) * p.factor + p.offset)
-        for i, p in enumerate(plans)
+        v: f"if(useful, {raw_value('payload', p + '.cut')} * {p}.factor + {p}.offset, null)"
+        for v, p in zip(_value_columns(wanted), plans)
     }
     keep = [c for c in frames.columns if c not in ("line", "payload", "can_id", "error")]
     return with_once(judged, values).select(*keep, "error", "useful", *values)
@@ -152,28 +147,32 @@ def first_crossing(
     wanted = wanted_signals(sets)
     read = read_values(frames, defs, wanted).withColumn("bad", F.col("error").isNotNull())
     last = [
-        F.max_by(v, F.when(F.col(v).isNotNull(), F.col("line_no"))).alias(v)
-        for v in _value_columns(wanted)
+        F.expr(f"max_by({v}, if({v} is null, null, line_no)) as {v}") for v in _value_columns(wanted)
     ]
     per_time = read.groupBy(*by, "ts").agg(
         F.max("bad").alias("bad"), F.max("useful").alias("useful"), *last
     )
-    column = {name: f"v{i}" for i, name in enumerate(wanted)}
-
-    def crossing(rules: Sequence[ThresholdRule]) -> Column:
-        value = lambda r: F.coalesce(F.col(column[r.signal_name]), F.lit(0.0))
-        index = F.coalesce(
-            F.lit(None).cast("int"),
-            *[F.when((value(r) > r.threshold) & ~F.isnan(value(r)), F.lit(i + 1))
-              for i, r in enumerate(rules)],
+    column = dict(zip(wanted, _value_columns(wanted)))
+
+    def crossing(rules: Sequence[ThresholdRule]) -> str:
+        # The first rule of the list that is exceeded at this time. Not-a-number exceeds nothing.
+        branches = " ".join(
+            f"when coalesce({column[r.signal_name]}, 0D) > {float(r.threshold)!r}D"
+            f" and not isnan({column[r.signal_name]}) then {i + 1}"
+            for i, r in enumerate(rules)
+        )
+        return f"case when not useful then null {branches} end"
+
+    def first(index: str) -> Column:
+        return F.expr(
+            f"named_struct('ts', min(if({index} is null, null, ts)),"
+            f" 'rule_index', min_by({index}, if({index} is null, null, ts)))"
         )
-        index = F.when(F.col("useful"), index)
-        at = F.when(index.isNotNull(), F.col("ts"))
-        return F.struct(F.min(at).alias("ts"), F.min_by(index, at).alias("rule_index"))
 
-    per_file = per_time.groupBy(*by).agg(
+    indexes = {f"_c{i}": crossing(rules) for i, rules in enumerate(sets)}
+    per_file = with_once(per_time, indexes).groupBy(*by).agg(
         F.max("bad").alias("bad"), F.max("useful").alias("useful"),
-        F.array(*[crossing(rules) for rules in sets]).alias("crossings"),
+        F.array(*[first(c) for c in indexes]).alias("crossings"),
     )
     usable = F.col("useful") if mode == "lenient" else F.col("useful") & ~F.col("bad")
     return per_file.where(usable).select(*by, "crossings")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bucket_of(ts: Column, width: int) -> Column:
-    return ((ts - F.pmod(ts, F.lit(width))) / width).cast("bigint")
+def bucket_of(ts: str, width: int) -> Column:
+    """Number of the time bucket, rounded down for times before the epoch too."""
+    return F.expr(f"({ts} - pmod({ts}, {width}L)) div {width}L")
 
 
 def with_lookback(df: DataFrame, ts: str, width: int, reach: int) -> DataFrame:
@@ -16,16 +17,9 @@ def with_lookback(df: DataFrame, ts: str, width: int, reach: int) -> DataFrame:
     """
     if reach > width:
         raise ValueError("the look-back must not be longer than a bucket")
-    own = bucket_of(F.col(ts), width)
-    near_end = F.pmod(F.col(ts), F.lit(width)) >= width - reach
+    buckets = f"if(pmod({ts}, {width}L) >= {width - reach}, array(_own, _own + 1), array(_own))"
     return (
-        df.withColumn("_own", own)
-        .withColumn(
-            "bucket",
-            F.explode(
-                F.when(near_end, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
-            ),
-        )
-        .withColumn("owner", F.col("bucket") == F.col("_own"))
-        .drop("_own")
+        df.withColumn("_own", bucket_of(ts, width))
+        .selectExpr("*", f"explode({buckets}) as bucket")
+        .selectExpr(*df.columns, "bucket", "bucket = _own as owner")
     )

@@ -9,7 +9,6 @@ a fixed number of rows per event), so they cost one scan and no shuffle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from roadpulse.functions.literals import literal_table
 from roadpulse.functions.once import spread, with_once
@@ -17,7 +16,11 @@ from roadpulse.functions.once import spread, with_once
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
-EPOCH_MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
+# Read from the fields of the local time, so that the session's time zone plays no part.
+EPOCH_MS = (
+    "(datediff(ts, DATE'1970-01-01') * 86400000L + hour(ts) * 3600000 + minute(ts) * 60000"
+    " + cast(floor(extract(SECOND FROM ts) * 1000) as bigint))"
+)
 VIN = "concat('VIN', lpad(cast(user_id as string), 14, '0'))"
 SIG_TS = f"{EPOCH_MS} div 3600"
 # Shown text of a value: two decimals in both engines.
@@ -26,7 +29,7 @@ K = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "event_type", "event_id ^ 31 as seq", "cast(event_id % 17 as int) as m",
         f"{VIN} as vin", f"{SIG_TS} as sig_ts", f"{VALUE_TEXT} as text",
     )
-    return with_once(rows, {"value": F.expr(
+    return with_once(rows, {"value": (
         """case when m = 0 then '' when m = 1 then concat('{bad', event_id) else concat('{',
           if(m = 3, '', concat('"vin":"', vin, '"', if(m = 4, ',', ''))),
           case when m = 5 then concat(',"kafkaTimestamp":"', sig_ts, '",') when m = 6 then ',"kafkaTimestamp":null,'
@@ -203,7 +206,7 @@ def can_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('clip/', event_id) as file", "vin", "timestamp", "event_id", "sig_ts", "i as line_no",
         f"{payload} as payload", "if(i = 2, event_id % 23, -1) as kind", "event_id % 23 = 10 as foreign",
     )
-    return with_once(rows, {"line": F.expr(
+    return with_once(rows, {"line": (
         """concat(
           case when kind = 8 then '(0' when kind = 5 then concat('(', sig_ts, '.25')
             when kind between 0 and 9 or foreign then concat('(', sig_ts)

@@ -11,8 +11,8 @@ from roadpulse.functions.once import with_once
 LINE_ERRORS = ["fields", "timestamp", "frame", "can_id", "odd_hex", "hex", "unknown_id", "signal_range"]
 
 
-def error_code(name: str) -> Column:
-    return F.lit(LINE_ERRORS.index(name))
+def error_code(name: str) -> int:
+    return LINE_ERRORS.index(name)
 
 
 def error_name(code: Column) -> Column:
@@ -43,33 +43,30 @@ def parse_frames(lines: DataFrame, line: str = "line") -> DataFrame:
     ``error`` is null for a sound line, else a position in LINE_ERRORS. Blank
     lines are left out, other columns are kept; one row in, one row out.
     """
-    text = F.btrim(F.col(line), F.lit(" \t\n\r\u000b\f"))
-    fields = with_once(lines.where(text != ""), {"_f": F.split(text, r"\s+")})
-    frame = F.get("_f", F.lit(2))
-    id_text = F.substring_index(frame, "#", 1)
+    spaces = r"' \t\n\r\u000b\f'"
+    fields = with_once(
+        lines.where(f"btrim({line}, {spaces}) <> ''"),
+        {"_f": rf"split(btrim({line}, {spaces}), '\\s+')"},
+    )
     cut = with_once(fields, {
-        "_n": F.size("_f"),
+        "_n": "size(_f)",
         # The field holds no spaces, so the cast takes a sign and digits only.
-        "_ts": F.btrim(F.get("_f", F.lit(0)), F.lit("()")).try_cast("bigint"),
-        "_id": id_text,
-        "_data": F.substring(frame, F.length(id_text) + 2, F.length(frame)),
-        "_marks": F.length(frame) - F.length(F.replace(frame, F.lit("#"), F.lit(""))),
-    })
-    digits = F.ltrim(F.col("_id"), F.lit("0"))
-    id_ok = (F.length("_id") > 0) & F.unhex("_id").isNotNull() & (F.length(digits) <= 8)
-    checked = with_once(cut, {
-        "error": F.when(F.col("_n") < 3, error_code("fields"))
-        .when(F.col("_ts").isNull(), error_code("timestamp"))
-        .when(F.col("_marks") != 1, error_code("frame"))
-        .when(~id_ok, error_code("can_id"))
-        .when(F.length("_data") % 2 != 0, error_code("odd_hex"))
-        .when(F.unhex("_data").isNull(), error_code("hex")),
+        "_ts": "try_cast(btrim(get(_f, 0), '()') as bigint)",
+        "_id": "substring_index(get(_f, 2), '#', 1)",
+        "_data": "substring(get(_f, 2), length(substring_index(get(_f, 2), '#', 1)) + 2)",
+        "_marks": "length(get(_f, 2)) - length(replace(get(_f, 2), '#', ''))",
     })
+    checked = with_once(cut, {"error": f"""case
+      when _n < 3 then {error_code("fields")}
+      when _ts is null then {error_code("timestamp")}
+      when _marks <> 1 then {error_code("frame")}
+      when _id = '' or unhex(_id) is null or length(ltrim('0', _id)) > 8 then {error_code("can_id")}
+      when length(_data) % 2 <> 0 then {error_code("odd_hex")}
+      when unhex(_data) is null then {error_code("hex")} end"""})
     keep = [c for c in lines.columns if c not in ("error", "ts", "can_id", "payload")]
-    sound = F.col("error").isNull()
-    return checked.select(
+    return checked.selectExpr(
         *keep, "error",
-        F.when(sound, F.col("_ts")).alias("ts"),
-        F.when(sound, F.conv("_id", 16, 10).cast("bigint")).alias("can_id"),
-        F.when(sound, F.col("_data")).alias("payload"),
+        "if(error is null, _ts, null) as ts",
+        "if(error is null, cast(conv(_id, 16, 10) as bigint), null) as can_id",
+        "if(error is null, _data, null) as payload",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpulse.functions import coerce
@@ -44,18 +44,12 @@ def read_kafka(
     return reader.options(**options).load()
 
 
-def _timestamp(value: Column, number: Column) -> Column:
-    """Whole ms: missing, null and empty text are 0, decimals are cut, anything else is null.
-
-    ``number`` is the bigint reading of ``value``; the text is looked at only
-    where that is null, or may stem from a boolean.
-    """
-    text = F.try_variant_get(value, "$", "string")
-    blank = F.coalesce(F.btrim(text), F.lit("")) == ""
-    return (
-        F.when(number.isNull(), F.when(blank, F.lit(0).cast("bigint")))
-        .when(~(number.isin(0, 1) & text.isin("true", "false")), number)
-    )
+# Whole ms: missing, null and empty text are 0, decimals are cut, anything else is null. {n} is the
+# bigint reading of {v}; the text is looked at only where that is null, or may stem from a boolean.
+TIMESTAMP = """case
+  when {n} is null then if(coalesce(btrim(try_variant_get({v}, '$', 'string')), '') = '', 0L, null)
+  when {n} in (0, 1) and try_variant_get({v}, '$', 'string') in ('true', 'false') then null
+  else {n} end"""
 
 
 def parse_messages(df: DataFrame, strict_fields: bool = False) -> DataFrame:
@@ -71,36 +65,35 @@ def parse_messages(df: DataFrame, strict_fields: bool = False) -> DataFrame:
     text = df.select(*keep, F.col("value").cast("string").alias("raw"))
     parsed = with_once(text, {"_m": F.from_json("raw", MESSAGE_SCHEMA, JSON_OPTIONS)})
     read = with_once(parsed, {
-        "_kafka": F.try_variant_get("_m.kafkaTimestamp", "$", "bigint"),
-        "_sig": F.try_variant_get("_m.sigTimestamp", "$", "bigint"),
+        "_kafka": "try_variant_get(_m.kafkaTimestamp, '$', 'bigint')",
+        "_sig": "try_variant_get(_m.sigTimestamp, '$', 'bigint')",
     })
     fields = with_once(read, {
-        "kafka_ts": _timestamp(F.col("_m.kafkaTimestamp"), F.col("_kafka")),
-        "sig_ts": _timestamp(F.col("_m.sigTimestamp"), F.col("_sig")),
+        "kafka_ts": TIMESTAMP.format(v="_m.kafkaTimestamp", n="_kafka"),
+        "sig_ts": TIMESTAMP.format(v="_m.sigTimestamp", n="_sig"),
     })
-    extra = F.lit(False)
+    extra = "false"
     if strict_fields:
-        extra = _unknown_keys(F.col("raw"), MESSAGE_FIELDS) | _unknown_keys(
-            F.get_json_object("raw", "$.sig"), SIG_FIELDS
-        )
-    is_object = F.startswith(F.ltrim(F.col("raw"), F.lit(" \t\n\r")), F.lit("{"))
-    error = (
-        F.when(F.coalesce(F.col("raw"), F.lit("")) == "", "empty")
-        .when(F.col("_m").isNull() | F.col("_m._bad").isNotNull() | ~is_object, "malformed_json")
-        .when(F.coalesce(extra, F.lit(False)), "unknown_field")
-        .when(F.col("_m.sig").isNull(), "no_sig")
-        .when(F.col("_m.vin").isNull(), "no_vin")
-        .when(F.col("kafka_ts").isNull() | F.col("sig_ts").isNull(), "bad_timestamp")
-    )
-    return fields.select(
-        *keep, "raw", "_m.vin", "kafka_ts", "sig_ts", F.col("_m.sig.sigName").alias("sig_name"),
-        "_m.sig.value", error.alias("error"),
+        extra = f"{_unknown_keys('raw', MESSAGE_FIELDS)} or {_unknown_keys(SIG_TEXT, SIG_FIELDS)}"
+    return fields.selectExpr(
+        *keep, "raw", "_m.vin", "kafka_ts", "sig_ts", "_m.sig.sigName as sig_name", "_m.sig.value",
+        f"""case
+          when coalesce(raw, '') = '' then 'empty'
+          when _m is null or _m._bad is not null or not startswith(ltrim(' \\t\\n\\r', raw), '{{')
+            then 'malformed_json'
+          when {extra} then 'unknown_field'
+          when _m.sig is null then 'no_sig'
+          when _m.vin is null then 'no_vin'
+          when kafka_ts is null or sig_ts is null then 'bad_timestamp' end as error""",
     )
 
 
-def _unknown_keys(value: Column, known: list[str]) -> Column:
-    keys = F.json_object_keys(value)
-    return F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0
+SIG_TEXT = "get_json_object(raw, '$.sig')"
+
+
+def _unknown_keys(text: str, known: list[str]) -> str:
+    names = ", ".join(f"'{k}'" for k in known)
+    return f"coalesce(size(array_except(json_object_keys({text}), array({names}))) > 0, false)"
 
 
 def decode_signals(df: DataFrame, strict_fields: bool = False) -> DataFrame:
@@ -129,8 +122,8 @@ def coerce_values(
     targets: Sequence[str] = ("as_double", "as_integer", "as_boolean", "as_string"),
 ) -> DataFrame:
     """Add value_type and the wanted readings of a variant column."""
-    schema = with_once(df, {"_schema": F.schema_of_variant(value)})
-    typed = with_once(schema, {"value_type": coerce.value_kind(F.col("_schema"))}).drop("_schema")
+    schema = with_once(df, {"_schema": f"schema_of_variant({value})"})
+    typed = with_once(schema, {"value_type": coerce.KIND.format(s="_schema")}).drop("_schema")
     return with_once(
-        typed, {name: getattr(coerce, name)(F.col(value), F.col("value_type")) for name in targets}
+        typed, {name: coerce.READINGS[name].format(v=value, k="value_type") for name in targets}
     )

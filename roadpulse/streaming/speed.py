@@ -49,7 +49,7 @@ def joined(
     """
     reach = max(t.range_ms for t in tiers)
     timed = with_event_time(speed_rows(df), delay)
-    judged = timed.withColumn("bucket", bucket_of(F.col("sig_ts"), bucket_ms))
+    judged = timed.withColumn("bucket", bucket_of("sig_ts", bucket_ms))
     past = with_lookback(timed, "sig_ts", bucket_ms, reach).select(
         F.col("vin").alias("p_vin"), F.col("bucket").alias("p_bucket"), F.col("sig_time").alias("p_time"),
         F.col("seq").alias("p_seq"), F.col("sig_ts").alias("p_ts"), F.col("speed").alias("p_speed"),

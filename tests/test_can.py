@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadpulse import rules
-from roadpulse.functions.bits import cut_plan, raw_value
+from roadpulse.functions.bits import CUT_PLAN, raw_value
 from roadpulse.operators import can, verdict
 from roadpulse.rules import ThresholdRule
 from roadpulse.sources import can_logs
@@ -58,9 +58,9 @@ def test_bit_fields_against_text_cutting(spark):
         size = rng.randint(1, min(len(data) * 8, rng.choice([1, 12, 64, 70])))
         start, signed = rng.randint(0, len(data) * 8 - size), rng.random() < 0.5
         rows.append((data.hex(), start, size, signed, str(bit_field(data, start, size, signed))))
-    df = spark.createDataFrame(rows, "payload string, start int, size int, signed boolean, want string")
-    df = df.withColumn("plan", cut_plan(F.col("start"), F.col("size"), F.col("signed")))
-    wrong = df.withColumn("got", raw_value(F.col("payload"), F.col("plan")).cast("string")).where("not (got <=> want)")
+    df = spark.createDataFrame(rows, "payload string, start_bit int, size int, is_signed boolean, want string")
+    df = df.withColumn("plan", F.expr(CUT_PLAN))
+    wrong = df.withColumn("got", F.expr(raw_value("payload", "plan")).cast("string")).where("not (got <=> want)")
     assert wrong.collect() == []
 
 
