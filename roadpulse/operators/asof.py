@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.operators.timebuckets import bucket_of
 
-DAY_MS = 86_400_000
+HOUR_MS = 3_600_000
 
 
 def lookup_before(
@@ -19,7 +19,7 @@ def lookup_before(
     value: Column,
     best: str,
     out: str,
-    bucket_ms: int = DAY_MS,
+    bucket_ms: int = HOUR_MS,
 ) -> DataFrame:
     """Add to each left row the ``best`` ("min" or "max") ``value`` of right rows with the same
     key and ``right_ts <= left_ts``; null if there is none. ``value`` is an ordered struct.

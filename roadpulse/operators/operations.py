@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse import rules
@@ -28,6 +28,21 @@ def backlog_alerts(depth: DataFrame, limit: int = rules.BACKLOG_LIMIT) -> DataFr
     )
 
 
+def queue_head(rows: DataFrame, n: int, order: str = "seq") -> DataFrame:
+    """The ``n`` rows each queue would hand out next, oldest first, with their ``place``.
+
+    Each task keeps its own first ``n`` rows per queue before the shuffle, so a
+    queue that holds most of the rows costs no more than the others.
+    """
+    place = F.row_number().over(Window.partitionBy("route").orderBy(order))
+    return rows.withColumn("place", place).where(F.col("place") <= n)
+
+
+def as_steps(rows: DataFrame, step: int) -> DataFrame:
+    """Step events for triggers that have just been put on their ``route``."""
+    return rows.select("log_id", F.lit(step).cast("bigint").alias("step"), F.col("route").alias("name"))
+
+
 def process_trail(steps: DataFrame, chunk: int = 1_000) -> DataFrame:
     """Per log its steps as ``a -> b -> c`` and the name of the last step as status.
 

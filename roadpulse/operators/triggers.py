@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadpulse import rules
 from roadpulse.functions.coerce import parse_int
-from roadpulse.operators.asof import DAY_MS, lookup_before
+from roadpulse.operators.asof import HOUR_MS, lookup_before
 from roadpulse.sources.trigger_feed import records
 
 
@@ -45,7 +45,7 @@ def usage_lookup(
     pick: str = "first",
     ts: str = "timestamp",
     create_ms: str = "create_ms",
-    bucket_ms: int = DAY_MS,
+    bucket_ms: int = HOUR_MS,
 ) -> DataFrame:
     """Add ``usage_type``: what the vehicle was used for at ``ts`` (epoch ms), else "none".
 

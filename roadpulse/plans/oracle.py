@@ -324,6 +324,10 @@ routed as (select {ROUTE} as route from used)
 select route, count(*) as depth,
   'Alert: Queue ' || route || ' length ' || count(*) || ' exceeds or equals threshold {rules.BACKLOG_LIMIT}' as message
 from routed group by route having count(*) >= {rules.BACKLOG_LIMIT}""",
+    "queue_head": f"""{_usage(LATEST)},
+routed as (select *, {ROUTE} as route from used)
+select route, cast(row_number() over (partition by route order by event_id) as int) as place, event_id, vin
+from routed qualify place <= 10""",
     "process_trail": f"""with {STEPS}
 select log_id, string_agg(name, ' -> ' order by step) as process_log,
   replace(arg_max(name, step), 'DB Write Success', 'Completed') as process_status, count(*) as n_steps

@@ -244,6 +244,12 @@ def queue_backlog_alerts(spark, sf_dir):
     return operations.backlog_alerts(operations.queue_depth(_routed(spark, sf_dir)))
 
 
+@query
+def queue_head(spark, sf_dir):
+    head = operations.queue_head(_routed(spark, sf_dir), 10, "event_id")
+    return head.select("route", "place", "event_id", "vin")
+
+
 @query
 def process_trail(spark, sf_dir):
     trails = operations.process_trail(fx.step_events(spark, sf_dir), chunk=4)

@@ -116,6 +116,11 @@ def filter_valid(df: DataFrame) -> DataFrame:
     return df.where("sig_name is not null or value is not null")
 
 
+def odd_vins(df: DataFrame) -> DataFrame:
+    """Rows whose vehicle number has not the usual 17 characters; a quality check, they are kept."""
+    return df.where("length(vin) <> 17")
+
+
 def coerce_values(
     df: DataFrame,
     value: str = "value",

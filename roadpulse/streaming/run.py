@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -39,6 +39,11 @@ def drain(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def without_repeats(df: DataFrame, keys: Sequence[str] = ("vin", "seq")) -> DataFrame:
+    """Drop rows a source sends twice within the watermark delay; needs a watermark on ``df``."""
+    return df.dropDuplicatesWithinWatermark(list(keys))
+
+
 def show(df: DataFrame, every: str = CHECKPOINT_EVERY) -> StreamingQuery:
     """Print a stream to the console, for debugging."""
     return df.writeStream.format("console").trigger(processingTime=every).start()

@@ -10,6 +10,7 @@ from roadpulse.operators import anomalies, operations
 from roadpulse.session import shared_dir
 from roadpulse.sinks import writers
 from roadpulse.streaming import run
+from roadpulse.streaming.speed import with_event_time
 
 
 def test_queue_depth_and_backlog(spark):
@@ -33,6 +34,19 @@ def test_trail(spark, chunk):
     assert got == {1: ("a -> b -> c", "c", 3), 2: ("x -> DB Write Success", "Completed", 2)}
 
 
+def test_queue_head(spark):
+    rows = spark.range(100, numPartitions=4).selectExpr("if(id % 10 = 0, 'a', 'b') as route", "99 - id as seq")
+    got = {(r.route, r.place): r.seq for r in operations.queue_head(rows, 2).collect()}
+    assert got == {("a", 1): 9, ("a", 2): 19, ("b", 1): 0, ("b", 2): 1}
+    plan = operations.queue_head(rows, 2)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_steps_of_a_route(spark):
+    rows = spark.sql("select 3 as log_id, 'media_car_triggers' as route")
+    assert [tuple(r) for r in operations.as_steps(rows, 2).collect()] == [(3, 2, "media_car_triggers")]
+
+
 def test_orphans(spark):
     steps = spark.createDataFrame([(1, True), (1, False), (2, False), (2, False), (3, True)],
                                   "log_id bigint, is_insert boolean")
@@ -94,6 +108,13 @@ def test_failed_batch_is_tried_again(spark, tmp_path):
     assert spark.read.parquet(out).count() == 5
 
 
+def test_repeats_are_dropped(spark, tmp_path):
+    src = str(tmp_path / "src")
+    spark.sql("select 'v' as vin, id % 3 as seq, 1000L * id as sig_ts from range(6)").write.parquet(src)
+    stream = with_event_time(spark.readStream.schema("vin string, seq bigint, sig_ts bigint").parquet(src))
+    assert run.drain(run.without_repeats(stream).select("seq"), "t-once").count() == 3
+
+
 def test_catalog_table_grows(spark, found):
     base = shared_dir(spark, "t-table")
     spark.sql("create database if not exists t_roadpulse location '%s'" % base)

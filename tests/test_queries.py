@@ -18,5 +18,19 @@ def test_same_rows_as_sql(spark, con, name):
     assert difference(queries()[name](spark, SF_DIR), con, oracle_sql()[name]) is None
 
 
+def test_every_query_has_sql():
+    assert set(queries()) == set(oracle_sql())
+
+
+def test_time_zone_plays_no_part(spark, con):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+    try:
+        for name in ("usage_type_lookup", "vehicle_anomalies", "select_can_file"):
+            assert difference(queries()[name](spark, SF_DIR), con, oracle_sql()[name]) is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_entry(spark):
     assert entry(spark).limit(1).count() == 1

@@ -137,3 +137,8 @@ def test_missing_message_is_quarantined(spark):
 def test_filter_valid(spark):
     df = spark.sql("select 1 as a, named_struct('x', 1) as sig union all select 2, null")
     assert [r.a for r in signals.filter_valid(df).collect()] == [1]
+
+
+def test_odd_vins(spark):
+    df = spark.createDataFrame([("1HGCM82633A123456",), ("short",)], "vin string")
+    assert [r.vin for r in signals.odd_vins(df).collect()] == ["short"]
