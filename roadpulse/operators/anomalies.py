@@ -18,6 +18,7 @@ from roadpulse import rules
 from roadpulse.functions import first_hit as first_hit_module
 from roadpulse.functions.first_hit import first_hit
 from roadpulse.functions.literals import literal_map
+from roadpulse.functions.once import with_once
 from roadpulse.operators.timebuckets import with_lookback
 from roadpulse.schemas import ANOMALY_COLUMNS
 from roadpulse.sources.signals import coerce_values
@@ -47,8 +48,8 @@ def _by_frame(near: DataFrame, tiers: Sequence[rules.SpeedTier], reach: int) ->
     )
     past = F.collect_list(F.struct("seq", "sig_ts", "speed")).over(frame)
 
-    def hit(tier: rules.SpeedTier) -> Column:
-        first = F.array_min(
+    def first(tier: rules.SpeedTier) -> Column:
+        return F.array_min(
             F.filter(
                 "past",
                 lambda p: (p.seq < F.col("seq"))
@@ -56,20 +57,20 @@ def _by_frame(near: DataFrame, tiers: Sequence[rules.SpeedTier], reach: int) ->
                 & _over(F.col("speed"), p.speed, tier.limit),
             )
         )
-        return F.when(first.isNotNull(), F.struct(F.lit(tier.tier).alias("tier"), first.alias("prev")))
 
-    return (
-        near.withColumn("past", past)
-        .where("owner")
-        .withColumn("hit", F.coalesce(*[hit(t) for t in tiers]))
-        .where("hit is not null")
-        .select(
-            "vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed",
-            F.col("hit.tier").alias("tier"),
-            F.col("hit.prev.seq").alias("previous_seq"),
-            F.col("hit.prev.sig_ts").alias("previous_ts"),
-            F.col("hit.prev.speed").alias("previous_speed"),
-        )
+    # Tier by tier, each only where the tiers before found nothing.
+    found = near.withColumn("past", past).where("owner")
+    for i, tier in enumerate(tiers):
+        hit = F.struct(F.lit(tier.tier).alias("tier"), first(tier).alias("prev"))
+        if i:
+            hit = F.when(F.col("hit.prev").isNotNull(), F.col("hit")).otherwise(hit)
+        found = with_once(found, {"hit": hit})
+    return found.where("hit.prev is not null").select(
+        "vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed",
+        F.col("hit.tier").alias("tier"),
+        F.col("hit.prev.seq").alias("previous_seq"),
+        F.col("hit.prev.sig_ts").alias("previous_ts"),
+        F.col("hit.prev.speed").alias("previous_speed"),
     )
 
 

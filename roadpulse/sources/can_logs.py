@@ -43,7 +43,7 @@ def parse_frames(lines: DataFrame, line: str = "line") -> DataFrame:
     ``error`` is null for a sound line, else a position in LINE_ERRORS. Blank
     lines are left out, other columns are kept; one row in, one row out.
     """
-    spaces = r"' \t\n\r\u000b\f'"
+    spaces = r"' \t\n\r\u000b\u000c'"
     fields = with_once(
         lines.where(f"btrim({line}, {spaces}) <> ''"),
         {"_f": rf"split(btrim({line}, {spaces}), '\\s+')"},

@@ -17,6 +17,7 @@ LINES = {
     "(12) can0 1F4#ABCD": (None, 12, 500, "ABCD"),
     "  (-3)\tcan0  1f4#abcd extra fields ": (None, -3, 500, "abcd"),
     "12 can0 000000001F4#": (None, 12, 500, ""),
+    "\x0b\f(7) can0 1f4#00ff\r": (None, 7, 500, "00ff"),
     "(12) can0": ("fields", None, None, None),
     "(12.5) can0 1F4#AB": ("timestamp", None, None, None),
     "(1x) can0 1F4#AB": ("timestamp", None, None, None),

@@ -95,6 +95,7 @@ MESSAGES = {
     message(sig="absent"): ("no_sig", None, None),
     message(sig=3): ("malformed_json", None, None),
     message(vin="absent"): ("no_vin", None, None),
+    " \n\t" + message(): (None, 5, 7),
     "": ("empty", None, None),
     "{bad": ("malformed_json", None, None),
     "[" + message() + "]": ("malformed_json", None, None),
