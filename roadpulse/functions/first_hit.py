@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+# Up to this many comparisons a plain table of them is faster than the search.
+SMALL = 100_000
+
 
 def _window_extremes(node, ts, rank, q_node, q_ts, reach):
     """Per query: is any row of its node in [q_ts - reach, q_ts], their top and bottom rank.
@@ -54,6 +57,14 @@ def first_hit(ts, seq, speed, q_ts, q_seq, q_speed, reach: int, limit: float) ->
     if len(ts) == 0 or len(q_ts) == 0:
         return found
     arrival = np.argsort(seq, kind="stable")
+    if len(ts) * len(q_ts) <= SMALL:
+        age = q_ts[:, None] - ts[arrival]
+        with np.errstate(invalid="ignore"):
+            over = np.abs(q_speed[:, None] - speed[arrival]) > limit
+        over &= (age >= 0) & (age <= reach) & (seq[arrival] < q_seq[:, None])
+        hit = over.any(axis=1)
+        found[hit] = arrival[over[hit].argmax(axis=1)]
+        return found
     base = min(ts.min(), q_ts.min())
     ts, speed, q_ts = ts[arrival] - base, speed[arrival], q_ts - base
     levels, rank = np.unique(speed, return_inverse=True)

@@ -1,9 +1,10 @@
-"""The speed rule on a stream, in two forms.
+"""The speed rule on a stream, in three forms.
 
 ``joined`` uses only built-in operators and reports a hit once the watermark
 has passed it; rows later than the watermark delay are dropped. ``exact`` keeps
 each vehicle's recent rows as state, judges rows in arrival order at once, and
-never drops late rows.
+never drops late rows. ``exact_by_bucket`` does so per vehicle and time bucket,
+for feeds where one vehicle sends a large part of the rows.
 """
 
 from __future__ import annotations
@@ -81,6 +82,16 @@ def joined(
     return speed_anomalies_of(hits, tiers)
 
 
+HIT_COLUMNS = ["vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed",
+               "tier", "previous_seq", "previous_ts", "previous_speed"]
+HIT_SCHEMA = (
+    "vin string, kafka_ts bigint, sig_ts bigint, seq bigint, sig_name string, speed double, "
+    "tier int, previous_seq bigint, previous_ts bigint, previous_speed double"
+)
+STATE_SCHEMA = "ts array<bigint>, seq array<bigint>, speed array<double>"
+KEPT = ["sig_ts", "seq", "speed"]
+
+
 def exact(
     df: DataFrame,
     tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS),
@@ -93,34 +104,67 @@ def exact(
     the source. ``idle_ms`` drops the state of vehicles silent for that long.
     """
     plan = [(t.tier, t.range_ms, t.limit) for t in tiers]
-    columns = ["vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed",
-               "tier", "previous_seq", "previous_ts", "previous_speed"]
-    step = speed_state.judge
+    names, kept_names, step = HIT_COLUMNS, KEPT, speed_state.judge
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        kept = rows[kept_names].head(0)
         if state.exists:
-            ts, seq, speed = (np.asarray(part) for part in state.get)
-            kept = pd.DataFrame({"sig_ts": ts, "seq": seq, "speed": speed})
-        else:
-            kept = rows[["sig_ts", "seq", "speed"]].head(0)
+            kept = pd.DataFrame(dict(zip(kept_names, map(np.asarray, state.get))))
         hits, kept = step(kept, rows, plan, retention_ms)
-        state.update(tuple(kept[c].tolist() for c in ("sig_ts", "seq", "speed")))
+        state.update(tuple(kept[c].tolist() for c in kept_names))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
         if len(hits):
-            yield hits[columns]
+            yield hits[names]
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     hits = speed_rows(df).groupBy("vin").applyInPandasWithState(
-        advance,
-        "vin string, kafka_ts bigint, sig_ts bigint, seq bigint, sig_name string, speed double, "
-        "tier int, previous_seq bigint, previous_ts bigint, previous_speed double",
-        "ts array<bigint>, seq array<bigint>, speed array<double>",
-        "append",
-        timeout,
+        advance, HIT_SCHEMA, STATE_SCHEMA, "append", timeout
+    )
+    return speed_anomalies_of(hits, tiers)
+
+
+def exact_by_bucket(
+    df: DataFrame,
+    tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS),
+    delay_ms: int = 20_000,
+    bucket_ms: int = 3_600_000,
+) -> DataFrame:
+    """As ``exact``, with state per vehicle and time bucket, so that a busy vehicle spreads out.
+
+    Hits come at once. Rows are kept while the watermark, ``delay_ms`` behind,
+    lets in rows that may look back to them; rows later than that are dropped.
+    Narrow buckets spread more but cost a call each.
+    """
+    plan = [(t.tier, t.range_ms, t.limit) for t in tiers]
+    reach = max(t.range_ms for t in tiers)
+    keep_all = bucket_ms + reach
+    names, kept_names, step = HIT_COLUMNS, KEPT, speed_state.judge
+
+    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        kept = rows[kept_names].head(0)
+        if state.exists:
+            kept = pd.DataFrame(dict(zip(kept_names, map(np.asarray, state.get))))
+        hits, kept = step(kept, rows, plan, keep_all)
+        watermark = state.getCurrentWatermarkMs()
+        kept = kept[kept.sig_ts >= watermark - reach]
+        state.update(tuple(kept[c].tolist() for c in kept_names))
+        state.setTimeoutTimestamp(max((int(key[1]) + 1) * bucket_ms, watermark + 1))
+        hits = hits[hits.owner]
+        if len(hits):
+            yield hits[names]
+
+    timed = with_event_time(speed_rows(df), f"{delay_ms} milliseconds")
+    near = with_lookback(timed, "sig_ts", bucket_ms, reach)
+    hits = near.groupBy("vin", "bucket").applyInPandasWithState(
+        advance, HIT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
     return speed_anomalies_of(hits, tiers)

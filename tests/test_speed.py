@@ -141,6 +141,13 @@ def test_stream_exact_over_several_batches(spark, tmp_path):
     assert got == one_by_one(rows)
 
 
+def test_stream_by_bucket_over_several_batches(spark, tmp_path):
+    """Same rows at once from state per bucket; no row is later than the watermark."""
+    rows = feed(9, n=600, late=15_000)
+    got = found(run.drain(speed.exact_by_bucket(stream_of(spark, tmp_path, rows, 3), bucket_ms=25_000), "t-bucket"))
+    assert got == one_by_one(rows)
+
+
 def test_stream_joined_over_several_batches(spark, tmp_path):
     """All hits that the watermark has passed; rows stay below 20 s late, so none is dropped."""
     rows = feed(8, n=600, late=15_000)
@@ -171,7 +178,9 @@ def test_state_drops_only_from_the_old_end():
         assert sorted(got) == one_by_one(rows)
 
 
-def test_first_hit_against_all_pairs():
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_first_hit_against_all_pairs(monkeypatch, small):
+    monkeypatch.setattr("roadpulse.functions.first_hit.SMALL", small)
     rng = np.random.default_rng(4)
     for _ in range(100):
         n = int(rng.integers(1, 60))
