@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import bpe, packing
+from roadpulse.llm import bpe, langid, linededup, packing, pii, simhash
 from roadpulse.llm.common import documents
 
 
@@ -30,11 +30,35 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hexed("bits").alias("fingerprint"), "component_id")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long) as n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled("base"), 256).alias("base_sha256"),
+                        pii.spelled("spans").alias("spans"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
+    model = langid.learn(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(documents(spark, sf_dir), vocabulary())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 
 
-REGISTRY = {f.__name__: f for f in (op2_bpe, op10_packing)}
+REGISTRY = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_pii, op8_langid, op9_linededup, op10_packing)}
 ORACLE: dict[str, str] = {}
