@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadpulse.session import shared_dir
 
@@ -50,9 +51,24 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def bounded_sample(df: DataFrame, rows: int, by: Column, group: str | None = None) -> DataFrame:
+    """At most ``rows`` rows (of each value of ``group``), those with the smallest hash ``by``.
+
+    A first cut by hash keeps about twice as many, so that only those are sorted, whatever the table holds.
+    """
+    keyed = df.withColumn("_h", by)
+    keys = [group] if group else []
+    counts = keyed.groupBy(*keys).agg((F.lit(2.0 * rows) / F.count("*")).alias("_share"))
+    near = keyed.join(counts, keys) if group else keyed.crossJoin(F.broadcast(counts))  # one row
+    near = near.where(F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("_share"))
+    place = F.row_number().over(Window.partitionBy(*keys, F.lit(0)).orderBy("_h"))
+    return near.withColumn("_place", place).where(F.col("_place") <= rows).drop("_h", "_share", "_place")
 
 
-def empty_like(fields: dict[str, pa.DataType]) -> pa.Schema:
-    return pa.schema(list(fields.items()))
+def ddl(df: DataFrame) -> str:
+    """The columns of a table as a schema text."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")

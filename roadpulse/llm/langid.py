@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from roadpulse.llm.common import slices
+from roadpulse.llm.common import bounded_sample, ddl, slices
 
 ORDER = 4
 SAMPLE = 600
@@ -144,14 +143,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc: str = "d
 
     At most ``sample`` documents a language, those with the smallest hash of doc_id and text length.
     """
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.length(text).alias("n"),
-                       F.xxhash64(doc, F.length(text)).alias("h"))
-    rows = rows.where((F.col("n") > 0) & (F.col("n") <= longest) & F.col("lang").isNotNull())
-    # A first cut by hash keeps little more than the sample, so that only that is sorted.
-    share = rows.groupBy("lang").agg((F.lit(2.0 * sample) / F.count("*")).alias("share"))
-    near = rows.join(share, "lang").where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("share"))
-    picked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "n"))).where(
-        F.col("place") <= sample).select("lang", "text")
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc).alias("doc"))
+    rows = rows.where((F.length("text") > 0) & (F.length("text") <= longest) & F.col("lang").isNotNull())
+    picked = bounded_sample(rows, sample, F.xxhash64("doc", F.length("text")), "lang").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[str]] = {}
@@ -204,7 +198,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     learnt, gets ``und`` and score 0. Other columns stay, those of these two names are replaced.
     """
     kept = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +214,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names = [model.languages[b] if f else UNKNOWN for b, f in zip(best.tolist(), fit.tolist())]
             yield batch.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(score))
 
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{ddl(kept)}, lang_pred string, score double")
 
 
 def held_out(doc: str = "doc_id") -> Column:

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import bpe, langid, linededup, packing, pii, simhash
+from roadpulse.llm import bpe, forest, langid, linededup, packing, pii, quality, rules, sharding, simhash
 from roadpulse.llm.common import documents
 
 
@@ -19,6 +19,11 @@ def vocabulary() -> str:
     return f"{folder}/byte_bpe_50k.json"
 
 
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return forest.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     encoded = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
@@ -42,6 +47,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.spelled("spans").alias("spans"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", "label", "score", "kept")
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", F.octet_length("text").alias("n_bytes"))
+    return sharding.place(docs, "doc_id", SHARDS)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
     model = langid.learn(docs.where(~F.col("held_out")))
@@ -60,5 +81,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
-REGISTRY = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_pii, op8_langid, op9_linededup, op10_packing)}
+# Each shard's name; the table has over 500 slots for each.
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
+
+REGISTRY = {f.__name__: f for f in (
+    op1_forest, op2_bpe, op3_simhash, op4_pii, op5_quality, op6_rules, op7_sharding, op8_langid, op9_linededup, op10_packing)}
 ORACLE: dict[str, str] = {}
