@@ -86,4 +86,25 @@ SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 REGISTRY = {f.__name__: f for f in (
     op1_forest, op2_bpe, op3_simhash, op4_pii, op5_quality, op6_rules, op7_sharding, op8_langid, op9_linededup, op10_packing)}
-ORACLE: dict[str, str] = {}
+
+# The SQL twin writes the rule out anew: lines, keys, the documents that hold a key, the largest of them.
+ORACLE: dict[str, str] = {
+    "op9_linededup": r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as place
+  from documents),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from lines),
+often as (
+  select k, max(doc_id) as keeper from keyed where length(k) >= 40
+  group by k having count(distinct doc_id) >= 5),
+judged as (
+  select keyed.*, keeper is not null and keeper <> doc_id as dropped
+  from keyed left join often on keyed.k = often.k)
+select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not dropped), '')) as kept_sha256
+from judged group by doc_id""",
+}
