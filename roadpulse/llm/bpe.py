@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from roadpulse.llm.common import slices, texts_of
+from roadpulse.llm.common import ddl, slices, texts_of
 from roadpulse.llm.vocab import PLAIN, Coder, load, words_of
 
 NEVER = 1 << 40
@@ -163,21 +163,22 @@ def coder(path: str) -> Coder:
     return Coder(path, encode)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add ``ids``, the tokens of each whole text as little-endian unsigned 32-bit integers.
 
     A null or empty text has no ids. Special texts of the vocabulary in a text get their own ids.
-    Other columns stay; a column named as ``ids`` is replaced. No shuffle; repeated rows each get
-    their ids.
+    ``decoded`` names a column for what ``decode`` makes of the ids, in the same pass. Other columns
+    stay; columns of these names are replaced. No shuffle; repeated rows each get their ids.
     """
-    kept = docs.drop(ids)
-    schema = f"{_ddl(kept)}, `{ids}` binary" if kept.columns else f"`{ids}` binary"
+    kept = docs.drop(ids, *([decoded] if decoded else []))
+    schema = f"{ddl(kept)}, `{ids}` binary" + (f", `{decoded}` string" if decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = coder(path)
         for batch in slices(batches, text):
             packed = made.ids(texts_of(batch, text))
-            yield batch.append_column(ids, pa.array(packed, pa.binary()))
+            out = batch.append_column(ids, pa.array(packed, pa.binary()))
+            yield out.append_column(decoded, pa.array(_spelled(packed, path), pa.string())) if decoded else out
 
     return kept.mapInArrow(run, schema)
 
@@ -187,14 +188,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     kept = encoded.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = load(path)["tokens"].__getitem__
         for batch in slices(batches, ids):
-            made = [b"".join(map(spelled, np.frombuffer(i or b"", "<u4").tolist())).decode("utf-8", "replace")
-                    for i in batch.column(ids).to_pylist()]
+            made = _spelled(batch.column(ids).to_pylist(), path)
             yield batch.append_column(text, pa.array(made, pa.string()))
 
-    return kept.mapInArrow(run, f"{_ddl(kept)}, `{text}` string")
+    return kept.mapInArrow(run, f"{ddl(kept)}, `{text}` string")
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def _spelled(packed: list[bytes | None], path: str) -> list[str]:
+    """The labels of the arcs gone along, as text."""
+    label = load(path)["tokens"].__getitem__
+    return [b"".join(map(label, np.frombuffer(i or b"", "<u4").tolist())).decode("utf-8", "replace") for i in packed]

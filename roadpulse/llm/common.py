@@ -32,7 +32,7 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
-           most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+           most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches by bytes of text, so that a task's memory follows no row count.
 
     A single text above the bound makes a slice of its own.

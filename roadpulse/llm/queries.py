@@ -26,8 +26,7 @@ def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    encoded = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
-    return bpe.decode(encoded, vocabulary()).select(
+    return bpe.encode(docs, vocabulary(), decoded="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -22,7 +22,7 @@ _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 # Letters and numbers below U+0250, as Unicode has them; any other character goes to the tokenizer's own pre-split.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼½¾"
-_SAFE = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-ɏ]*")
+SAFE = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-ɏ]*").fullmatch
 _SPLIT = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
 PLAIN = re.compile(f" ?[{_LETTERS}]+").fullmatch  # a chunk that is one word
@@ -72,7 +72,7 @@ def tokenizer(path: str):
 
 def words_of(text: str, path: str) -> list[bytes]:
     """The pre-split of a text into the words that merges never cross."""
-    if _SAFE.fullmatch(text):
+    if SAFE(text):
         return [w.encode() for w in _SPLIT.findall(text)]
     pieces = tokenizer(path).pre_tokenizer.pre_tokenize_str(text)
     value = _values()
@@ -91,7 +91,7 @@ class Coder:
     bounds the memory of chunks; a full memory starts anew.
     """
 
-    def __init__(self, path: str, encode: Callable[[Sequence[str]], list[bytes]], keep: int = 500_000):
+    def __init__(self, path: str, encode: Callable[[Sequence[str]], list[bytes]], keep: int = 300_000):
         self.encode, self.keep = encode, keep
         special = load(path)["special"]
         # Three kinds of keys: a chunk after a blank; a blank and the first chunk; two blanks and a special text.
