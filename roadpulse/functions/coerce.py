@@ -25,7 +25,8 @@ KIND = r"""case
 
 _TEXT = "try_variant_get({v}, '$', 'string')"
 _REAL = "try_variant_get({v}, '$', 'double')"
-_WHOLE = "try_variant_get({v}, '$', 'bigint')"
+# Whole numbers reach beyond bigint; of those over 38 digits, which JSON reading makes doubles, none are whole.
+_LOW = "cast(pmod(try_variant_get({v}, '$', 'decimal(38,0)'), 4294967296) as bigint)"
 
 # Numbers and numeric text. The special words count only as NaN and Infinity, spelt so.
 AS_DOUBLE = f"""case
@@ -34,7 +35,7 @@ AS_DOUBLE = f"""case
     or btrim({_TEXT}) rlike '^[+-]?(NaN|Infinity)$') then try_cast({_TEXT} as double) end"""
 
 # 32-bit reading of a number: whole numbers keep their low 32 bits, decimals are cut and clamped.
-_INT_OF_NUMBER = f"""if({{k}} = 'integer', shiftright(shiftleft({_WHOLE}, 32), 32),
+_INT_OF_NUMBER = f"""if({{k}} = 'integer', shiftright(shiftleft({_LOW}, 32), 32),
   case when isnan({_REAL}) then 0L when {_REAL} >= 2147483647 then 2147483647L
     when {_REAL} <= -2147483648 then -2147483648L else try_cast({_REAL} as bigint) end)"""
 

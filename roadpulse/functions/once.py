@@ -21,13 +21,3 @@ def with_once(df: DataFrame, columns: Mapping[str, Column | str]) -> DataFrame:
     ])
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.explode(F.array(made)).alias("_once")).select(*kept, "_once.*")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores.
-
-    A file too small to split is one task, whatever is done to its rows. An
-    input of more tasks than cores, as any large table, passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

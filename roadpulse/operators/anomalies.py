@@ -9,14 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse import rules
-from roadpulse.functions import first_hit as first_hit_module
-from roadpulse.functions.first_hit import first_hit
+from roadpulse.functions import first_hit, speed_search
 from roadpulse.functions.literals import literal_map
 from roadpulse.functions.once import with_once
 from roadpulse.operators.timebuckets import with_lookback
@@ -24,149 +22,49 @@ from roadpulse.schemas import ANOMALY_COLUMNS
 from roadpulse.sources.signals import coerce_values
 
 # Send the search to the executors with the task, so they need no copy of this package.
-cloudpickle.register_pickle_by_value(first_hit_module)
-
-BROADCAST_BUCKETS = 50_000
+cloudpickle.register_pickle_by_value(first_hit)
+cloudpickle.register_pickle_by_value(speed_search)
 
 
 def speed_rows(df: DataFrame) -> DataFrame:
-    """Rows that take part in the speed rule: vin, kafka_ts, sig_ts, seq, sig_name, speed.
+    """Speed rows: vin, kafka_ts, sig_ts, seq, sig_name, speed.
 
-    A value with no double reading is neither judged nor remembered. NaN can
-    never exceed a limit, so it is left out as well.
+    A value with no double reading is neither judged nor remembered. NaN is
+    remembered; it can never exceed a limit.
     """
     typed = coerce_values(df.where(F.col("sig_name") == rules.SPEED_SIGNAL), targets=("as_double",))
     return typed.select(
         "vin", "kafka_ts", "sig_ts", "seq", "sig_name", F.col("as_double").alias("speed")
-    ).where("speed is not null and not isnan(speed)")
-
-
-def _by_frame(near: DataFrame, tiers: Sequence[rules.SpeedTier], reach: int) -> DataFrame:
-    """Rows of sparse buckets: look through the few rows of the last ``reach`` ms."""
-    frame = (
-        Window.partitionBy("vin", "bucket").orderBy("sig_ts").rangeBetween(-reach, Window.currentRow)
-    )
-    past = F.collect_list(F.struct("seq", "sig_ts", "speed")).over(frame)
-
-    def first(tier: rules.SpeedTier) -> Column:
-        return F.array_min(
-            F.filter(
-                "past",
-                lambda p: (p.seq < F.col("seq"))
-                & (p.sig_ts >= F.col("sig_ts") - tier.range_ms)
-                & _over(F.col("speed"), p.speed, tier.limit),
-            )
-        )
-
-    # Tier by tier, each only where the tiers before found nothing.
-    found = near.withColumn("past", past).where("owner")
-    for i, tier in enumerate(tiers):
-        hit = F.struct(F.lit(tier.tier).alias("tier"), first(tier).alias("prev"))
-        if i:
-            hit = F.when(F.col("hit.prev").isNotNull(), F.col("hit")).otherwise(hit)
-        found = with_once(found, {"hit": hit})
-    return found.where("hit.prev is not null").select(
-        "vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed",
-        F.col("hit.tier").alias("tier"),
-        F.col("hit.prev.seq").alias("previous_seq"),
-        F.col("hit.prev.sig_ts").alias("previous_ts"),
-        F.col("hit.prev.speed").alias("previous_speed"),
-    )
-
-
-def _over(current: Column, previous: Column, limit: float) -> Column:
-    diff = F.abs(current - previous)
-    return (diff > limit) & ~F.isnan(diff)
-
+    ).where("speed is not null")
 
-def _by_search(
-    near: DataFrame, tiers: Sequence[rules.SpeedTier], chunk_rows: int
-) -> DataFrame:
-    """Rows of dense buckets: an Arrow-batched search, its groups bounded by ``chunk_rows``.
 
-    A bucket of n rows is cut into s = ceil(n / chunk_rows) parts by arrival
-    number; every part of judged rows meets every part of earlier rows in a
-    group of its own, and the first arrival over all parts wins.
-    """
-    parts = F.ceil(F.col("bucket_rows") / chunk_rows).cast("int")
-    all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
-    cut = near.withColumn("parts", parts).withColumn(
-        "part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int")
-    )
-    as_past = cut.select("*", F.explode(all_parts).alias("judged_part"), F.col("part").alias("past_part"))
-    as_judged = cut.where("owner").select(
-        "*", F.col("part").alias("judged_part"), F.explode(all_parts).alias("past_part")
-    )
-    both = as_past.withColumn("judged", F.lit(False)).unionByName(
-        as_judged.withColumn("judged", F.lit(True))
-    )
-    plan = [(t.tier, t.range_ms, t.limit) for t in tiers]
-    columns = ["vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed",
-               "tier", "previous_seq", "previous_ts", "previous_speed"]
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        past, rows = pdf[~pdf.judged], pdf[pdf.judged]
-        found = []
-        for tier, range_ms, limit in plan:
-            at = first_hit(
-                past.sig_ts.to_numpy(), past.seq.to_numpy(), past.speed.to_numpy(),
-                rows.sig_ts.to_numpy(), rows.seq.to_numpy(), rows.speed.to_numpy(),
-                range_ms, limit,
-            )
-            prev = past.iloc[at[at >= 0]]
-            found.append(
-                rows[at >= 0].assign(
-                    tier=tier, previous_seq=prev.seq.to_numpy(),
-                    previous_ts=prev.sig_ts.to_numpy(), previous_speed=prev.speed.to_numpy(),
-                )
-            )
-        return pd.concat(found)[columns]
-
-    found = both.groupBy("vin", "bucket", "judged_part", "past_part").applyInPandas(
-        search,
-        "vin string, kafka_ts bigint, sig_ts bigint, seq bigint, sig_name string, speed double, "
-        "tier int, previous_seq bigint, previous_ts bigint, previous_speed double",
-    )
-    best = F.min(F.struct("tier", "previous_seq", "previous_ts", "previous_speed")).alias("best")
-    return (
-        found.groupBy("vin", "seq", "kafka_ts", "sig_ts", "sig_name", "speed")
-        .agg(best)
-        .select("vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed", "best.*")
-    )
+HIT_SCHEMA = (
+    "vin string, kafka_ts bigint, sig_ts bigint, seq bigint, sig_name string, speed double, "
+    "tier int, previous_seq bigint, previous_ts bigint, previous_speed double"
+)
 
 
 def speed_hits(
     speeds: DataFrame,
     tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS),
-    bucket_ms: int = 20_000,
-    dense_rows: int | None = 2_000,
-    chunk_rows: int = 300_000,
+    bucket_ms: int = 10_000,
+    part_rows: int = 300_000,
 ) -> DataFrame:
     """Per speed row the first earlier arrival in range and over the limit, tier by tier.
 
     ``speeds`` has vin, kafka_ts, sig_ts, seq, sig_name, speed. Rows shuffle once,
-    by vehicle and time bucket. Buckets of more than ``dense_rows`` rows, found
-    by a count job that runs when this is called, take the search path; ``None``
-    leaves that job out where the feed's rate is known to be low.
+    by vehicle and time bucket, and a task searches all its buckets together;
+    a crowded bucket is searched in parts of ``part_rows``. Every row is judged,
+    so a row that arrives twice hits twice; rows of one seq are not compared.
     """
     reach = max(t.range_ms for t in tiers)
-    near = with_lookback(speeds, "sig_ts", bucket_ms, reach)
-    if dense_rows is None:
-        return _by_frame(near, tiers, reach)
-    dense = (
-        near.groupBy("vin", "bucket")
-        .agg(F.count(F.lit(1)).alias("bucket_rows"))
-        .where(F.col("bucket_rows") > dense_rows)
+    plan = [(t.tier, t.range_ms, t.limit) for t in tiers]
+    speeds = speeds.where("not isnan(speed)")
+    search = speed_search.over_sorted
+    near = with_lookback(speeds, "sig_ts", bucket_ms, reach).repartition("vin", "bucket")
+    return near.sortWithinPartitions("vin", "bucket").mapInArrow(
+        lambda batches: search(batches, plan, part_rows), HIT_SCHEMA
     )
-    # A short list of dense buckets is read once here and broadcast; a long one stays a table.
-    listed = dense.limit(BROADCAST_BUCKETS + 1).collect()
-    if not listed:
-        return _by_frame(near, tiers, reach)
-    if len(listed) <= BROADCAST_BUCKETS:
-        dense = F.broadcast(near.sparkSession.createDataFrame(listed, dense.schema))
-    sparse = near.join(dense, ["vin", "bucket"], "left_anti")
-    crowded = near.join(dense, ["vin", "bucket"])
-    return _by_frame(sparse, tiers, reach).unionByName(_by_search(crowded, tiers, chunk_rows))
 
 
 def speed_anomalies_of(hits: DataFrame, tiers: Sequence[rules.SpeedTier]) -> DataFrame:
@@ -240,19 +138,32 @@ def latest_speed(speeds: DataFrame) -> DataFrame:
 
 
 def speed_history_size(
-    speeds: DataFrame, retention_ms: int = rules.SPEED_RETENTION_MS, bucket_ms: int = 120_000
+    speeds: DataFrame, retention_ms: int = rules.SPEED_RETENTION_MS, bucket_ms: int = 120_000,
+    block: int = 65_536,
 ) -> DataFrame:
-    """Rows kept for a vehicle once each row is added, counted in event order.
+    """Rows kept for a vehicle once each row is added, in order of arrival.
 
-    Both counts run forward from the bucket start, so a row costs the same in a
-    busy bucket as in a quiet one. ``has_history`` tells whether anything was
+    The oldest row goes while it is more than ``retention_ms`` older than a
+    newcomer, so what is kept goes back to the first row whose running latest
+    time is within ``retention_ms`` of the newcomer's. That running time is
+    worked out per ``block`` of arrival numbers, the counts per bucket of it, so
+    a busy vehicle spreads over both. ``has_history`` tells whether anything was
     kept besides the row itself.
     """
-    near = with_lookback(speeds.select("vin", "sig_ts", "seq"), "sig_ts", bucket_ms, retention_ms)
+    rows = speeds.select("vin", "sig_ts", "seq", F.floor(F.col("seq") / block).alias("_block"))
+    blocks = rows.groupBy("vin", "_block").agg(F.max("sig_ts").alias("_latest"))
+    earlier = Window.partitionBy("vin").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("vin", "_block", F.max("_latest").over(earlier).alias("_before")).withColumnsRenamed(
+        {"vin": "_vin", "_block": "_b"})
+    joined = rows.join(carried, F.col("vin").eqNullSafe(F.col("_vin")) & (F.col("_block") == F.col("_b")))
+    own = Window.partitionBy("vin", "_block").orderBy("seq")
+    running = joined.select(
+        "vin", "sig_ts", "seq", F.greatest("_before", F.max("sig_ts").over(own)).alias("_now"))
+    near = with_lookback(running, "_now", bucket_ms, retention_ms)
     group = Window.partitionBy("vin", "bucket")
-    so_far = F.row_number().over(group.orderBy("sig_ts", "seq"))
+    so_far = F.row_number().over(group.orderBy("seq"))
     gone = F.count(F.lit(1)).over(
-        group.orderBy("sig_ts").rangeBetween(Window.unboundedPreceding, -retention_ms - 1)
+        group.orderBy("_now").rangeBetween(Window.unboundedPreceding, -retention_ms - 1)
     )
     return (
         near.withColumn("so_far", so_far)

@@ -17,27 +17,19 @@ from roadpulse.functions.once import with_once
 from roadpulse.rules import CROSSING_TEXT, ThresholdRule
 from roadpulse.sources.can_logs import error_code, error_name
 
-# More than any vehicle network defines; a larger table is a mistake, not data.
-MAX_DEFINITIONS = 100_000
-
 
 def message_table(defs: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """One row per known message id, with one cut plan ``d0, d1, ...`` per wanted signal
     (null where the message lacks it).
 
-    ``defs`` has one row per signal. A column ``position``, if present, numbers
-    the message definitions: of several for one id the first counts. The size is
-    checked here, because the table is broadcast.
+    ``defs`` has one row per signal. Its column ``position`` numbers the message
+    definitions: of several for one id the first counts.
     """
-    if defs.limit(MAX_DEFINITIONS + 1).count() > MAX_DEFINITIONS:
-        raise ValueError(f"more than {MAX_DEFINITIONS} signal definitions")
     if "position" not in defs.columns:
-        defs = defs.withColumn("position", F.lit(0))
+        raise ValueError("signal definitions need a position, by which the first of an id is known")
     names = [f"d{i}" for i in range(len(wanted))]
-    # One partition, so that the small table is grouped without a shuffle.
     messages = (
-        defs.coalesce(1)
-        .selectExpr("*", f"named_struct('cut', {CUT_PLAN}, 'factor', factor, 'offset', offset) as plan")
+        defs.selectExpr("*", f"named_struct('cut', {CUT_PLAN}, 'factor', factor, 'offset', offset) as plan")
         .groupBy("message_id", "position")
         .agg(*[
             F.min_by("plan", F.when(F.col("name") == name, F.col("start_bit"))).alias(d)
@@ -57,7 +49,7 @@ def read_values(frames: DataFrame, defs: DataFrame, wanted: Sequence[str]) -> Da
     An unknown id or a payload too short for a wanted signal spoils the line.
     ``useful`` lines are sound, have a time other than 0 and at least one wanted signal.
     """
-    known = frames.join(F.broadcast(message_table(defs, wanted)), "can_id", "left")
+    known = frames.join(message_table(defs, wanted), "can_id", "left")
     plans = [f"d{i}" for i in range(len(wanted))]
     ends = ", ".join(f"{p}.cut.end_bit" for p in plans)
     judged = with_once(known, {

@@ -65,11 +65,11 @@ def data_log_rows(
     reasons: Mapping[int, str] = rules.CRASH_REASONS,
     code: str = "reason_code",
 ) -> DataFrame:
-    """Fact rows; a code outside the reason table reads ""."""
+    """Fact rows; the trigger's time as UTC date and time, and a code outside the reason table as ""."""
     reason = F.try_element_at(literal_map(reasons), F.col(code))
     return verdicts.select(
         "vin",
-        F.col("timestamp").alias("trigger_timestamp"),
+        F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, timestamp / 1000)").alias("trigger_timestamp"),
         "car_type",
         F.col("usage_type").alias("use_type"),
         "trigger_id",

@@ -9,9 +9,11 @@ a fixed number of rows per event), so they cost one scan and no shuffle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roadpulse.functions.literals import literal_table
-from roadpulse.functions.once import spread, with_once
+from roadpulse.functions.once import with_once
+from roadpulse.session import shared_dir
 
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -37,6 +39,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
 
 
+def event_batches(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The events as a stream of ``batches`` micro-batches in order of arrival, from files below the shared folder."""
+    source = shared_dir(spark, "event-batches")
+    rows = events(spark, sf_dir)
+    low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    for i in range(batches if low is not None else 0):
+        # Arrival numbers differ from event ids in their last five bits only.
+        first, last = (low + (high + 1 - low) * (i + j) // batches >> 5 << 5 for j in (0, 1))
+        part = rows.where((F.col("event_id") >= (first if i else low)) & (
+            F.col("event_id") < (last if i < batches - 1 else high + 1)))
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
+    return stream.parquet(source)
+
+
 def derive_signals(ev: DataFrame) -> DataFrame:
     """Every event as one signal row; clicks are speeds, the other types are flags of mixed type."""
     return ev.selectExpr(
@@ -56,7 +73,7 @@ def derive_signals(ev: DataFrame) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive_signals(spread(events(spark, sf_dir)))
+    return derive_signals(events(spark, sf_dir))
 
 
 def derive_speed_signals(ev: DataFrame) -> DataFrame:
@@ -67,13 +84,26 @@ def derive_speed_signals(ev: DataFrame) -> DataFrame:
     )
 
 
+def derive_state_signals(ev: DataFrame) -> DataFrame:
+    """Every event as a speed row up to 24 s late; some speeds are NaN."""
+    return ev.selectExpr(
+        f"{VIN} as vin", f"{SIG_TS} + event_id % 1000 as kafka_ts",
+        f"{SIG_TS} - event_id % 7 * 4000 as sig_ts", "event_id ^ 31 as seq", "'speed' as sig_name",
+        "if(event_id % 13 = 5, cast('NaN' as variant), cast(value as variant)) as value",
+    )
+
+
+def state_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_state_signals(events(spark, sf_dir))
+
+
 def speed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_speed_signals(events(spark, sf_dir))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a JSON message (value, seq); some are broken on purpose."""
-    rows = spread(events(spark, sf_dir)).selectExpr(
+    rows = events(spark, sf_dir).selectExpr(
         "event_id", "event_type", "event_id ^ 31 as seq", "cast(event_id % 17 as int) as m",
         f"{VIN} as vin", f"{SIG_TS} as sig_ts", f"{VALUE_TEXT} as text",
     )
@@ -95,7 +125,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of every JSON kind (seq, value), for the typing rules."""
-    return spread(events(spark, sf_dir)).selectExpr(
+    return events(spark, sf_dir).selectExpr(
         "event_id as seq",
         f"""parse_json(case event_id % 16
           when 0 then 'true' when 1 then 'false'
@@ -104,7 +134,8 @@ def mixed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
           when 6 then '"NaN"' when 7 then '"nan"' when 8 then '"12abc"' when 9 then '" 12 "'
           when 10 then '0.5' when 11 then '-1.9' when 12 then 'null'
           when 13 then cast(event_id as string)
-          when 14 then cast((event_id % 1000) * 4294967296 as string)
+          when 14 then if(event_id % 32 = 14, cast((event_id % 1000) * 4294967296 as string),
+            concat(event_id % 1000 + 1, '0000000000000000000003'))
           else {VALUE_TEXT} end) as value""",
     )
 
@@ -127,7 +158,7 @@ def trigger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "named_struct('vin', {vin}, 'timestamp', {ts}, 'car_type', concat('T', user_id % 5),"
         " 'tag', array(event_type), 'trigger_info', {info})"
     )
-    return spread(events(spark, sf_dir)).where("event_type <> 'signup'").selectExpr(
+    return events(spark, sf_dir).where("event_type <> 'signup'").selectExpr(
         "'0' as code", "'ok' as status", "'' as message", "2 as total",
         "cast(event_id % 1000000 as int) as page", "2 as page_size",
         "array("
@@ -174,13 +205,16 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Signal layout of the CAN fixture: (message_id, name, start_bit, size, is_signed, factor, offset).
+# Signal layout of the CAN fixture: (position, message_id, name, start_bit, size, is_signed, factor, offset).
+# The definitions at 3 and 4 come second for their ids and count for nothing.
 SIGNAL_DEFS = [
-    (500, "LongitudinalAcceleration", 0, 16, True, 0.0001, 0.0),
-    (500, "LateralAcceleration", 20, 12, True, 0.001, -0.25),
-    (500, "Unused", 32, 8, False, 1.0, 0.0),
-    (501, "crash", 39, 1, False, 1.0, 0.0),
-    (502, "Unused", 0, 8, False, 1.0, 0.0),
+    (0, 500, "LongitudinalAcceleration", 0, 16, True, 0.0001, 0.0),
+    (0, 500, "LateralAcceleration", 20, 12, True, 0.001, -0.25),
+    (0, 500, "Unused", 32, 8, False, 1.0, 0.0),
+    (1, 501, "crash", 39, 1, False, 1.0, 0.0),
+    (2, 502, "Unused", 0, 8, False, 1.0, 0.0),
+    (3, 500, "crash", 0, 1, False, 1.0, 0.0),
+    (4, 501, "LateralAcceleration", 0, 8, False, 1.0, 0.0),
 ]
 # Two multiplicative hashes give the payload halves; both engines compute them as bigint.
 HALF_A = "((event_id * 4 + i) % 1000003 * 2654435761) % 4294967296"
@@ -189,7 +223,7 @@ HALF_B = "((event_id * 4 + i) % 1000003 * 40503 * 1009 + 12345) % 4294967296"
 
 def can_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four numbered CAN lines per trigger event, with the integers behind them."""
-    return spread(events(spark, sf_dir)).where("event_type <> 'signup'").selectExpr(
+    return events(spark, sf_dir).where("event_type <> 'signup'").selectExpr(
         "event_id", f"{VIN} as vin", f"{EPOCH_MS} as timestamp", f"{SIG_TS} as sig_ts",
         "explode(sequence(0L, 3L)) as i",
     ).selectExpr("*", f"{HALF_A} as half_a", f"{HALF_B} as half_b")
@@ -222,7 +256,7 @@ def can_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal_defs(spark: SparkSession) -> DataFrame:
     return literal_table(
         spark, SIGNAL_DEFS,
-        "message_id bigint, name string, start_bit int, size int, is_signed boolean,"
+        "position int, message_id bigint, name string, start_bit int, size int, is_signed boolean,"
         " factor double, offset double",
     )
 

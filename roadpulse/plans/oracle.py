@@ -34,6 +34,10 @@ SPEEDS = f"""spd as (
   select {VIN} as vin, {SIG_TS} + event_id % 1000 as kafka_ts, {SIG_TS} as sig_ts,
     xor(event_id, 31) as seq, 'speed' as sig_name, value as speed
   from events)"""
+STATES = f"""spd as (
+  select {VIN} as vin, {SIG_TS} - event_id % 7 * 4000 as sig_ts, xor(event_id, 31) as seq,
+    case when event_id % 13 = 5 then cast('NaN' as double) else value end as speed
+  from events)"""
 CLICKS = "spd as (select vin, kafka_ts, sig_ts, seq, sig_name, value as speed from sig where sig_name = 'speed')"
 FIRED = f"""fired as (
   select vin, kafka_ts, sig_ts, seq,
@@ -214,13 +218,14 @@ select vin, kafka_ts, sig_ts, seq, sig_name from sig where seq % 9 <> 0""",
     "system_signal_anomalies": f"with {SIGNALS}, {FIRED} select * from fired",
     "speed_change_anomalies": f"""with {SPEEDS}, {HITS}
 select * exclude (sig_name), round(abs(current_speed - previous_speed), 2) as speed_diff from spd_anom""",
-    "latest_speed": f"""with {SPEEDS}
-select vin, sig_ts, speed, seq from spd
+    "latest_speed": f"""with {STATES}
+select vin, sig_ts, case when not isnan(speed) then speed end as speed, isnan(speed) as is_nan, seq from spd
 qualify row_number() over (partition by vin order by sig_ts desc, seq) = 1""",
-    "speed_history_size": f"""with {SPEEDS}
+    # A row goes once a newcomer, itself or an earlier one, is over 30 s newer than it and all before it.
+    "speed_history_size": f"""with {STATES}, run as (
+  select *, max(sig_ts) over (partition by vin order by seq) as latest from spd)
 select a.vin, a.seq, a.sig_ts, count(*) as history_size, count(*) > 1 as has_history
-from spd a join spd b on a.vin = b.vin and b.sig_ts >= a.sig_ts - 30000
-  and (b.sig_ts < a.sig_ts or (b.sig_ts = a.sig_ts and b.seq <= a.seq))
+from run a join run b on a.vin = b.vin and b.seq <= a.seq and b.latest >= a.latest - 30000
 group by a.vin, a.seq, a.sig_ts""",
     "vehicle_anomalies": f"{ALL_ANOMALIES} select * from allof",
     "recent_anomalies": f"""{ALL_ANOMALIES}
@@ -236,22 +241,26 @@ select vin,
   case when m = 5 then true when m = 7 then false when m > 7 then trunc(value) <> 0 end as as_boolean,
   case when m = 5 then 'true' when m = 7 then {TEXT} when m > 7 then cast(value as varchar) end as as_string
 from good""",
-    "coerce_signal_value": f"""with ev as (select event_id, event_id % 16 as m, value from events)
+    "coerce_signal_value": f"""with ev as (select event_id, event_id % 16 as m, value,
+    case when event_id % 32 = 14 then cast(event_id % 1000 as hugeint) * 4294967296
+      else cast((event_id % 1000 + 1) || '0000000000000000000003' as hugeint) end as big
+  from events)
 select event_id as seq,
   case when m < 2 then 'boolean' when m < 10 then 'string' when m = 12 then 'null'
     when m in (13, 14) then 'integer' else 'decimal' end as value_type,
   case m when 4 then 1.0 when 5 then value when 9 then 12.0 when 10 then 0.5 when 11 then -1.9
-    when 13 then cast(event_id as double) when 14 then cast(event_id % 1000 * 4294967296 as double)
+    when 13 then cast(event_id as double) when 14 then cast(big as double)
     when 15 then value end as as_double,
   m = 6 as is_nan,
-  cast(case m when 4 then 1 when 10 then 0 when 11 then -1 when 13 then event_id when 14 then 0
+  cast(case m when 4 then 1 when 10 then 0 when 11 then -1 when 13 then event_id
+    when 14 then case when big % 4294967296 >= 2147483648 then big % 4294967296 - 4294967296 else big % 4294967296 end
     when 15 then trunc(value) end as bigint) as as_integer,
-  case when m in (0, 2) then true when m < 10 or m in (10, 14) then false when m = 11 then true
-    when m = 13 then event_id <> 0 when m = 15 then trunc(value) <> 0 end as as_boolean,
+  case when m in (0, 2) then true when m < 11 then false when m = 11 then true
+    when m = 14 then big % 4294967296 <> 0 when m = 13 then event_id <> 0 when m = 15 then trunc(value) <> 0 end as as_boolean,
   case m when 0 then 'true' when 1 then 'false' when 2 then 'TRUE' when 3 then 'yes' when 4 then '1'
     when 5 then {TEXT} when 6 then 'NaN' when 7 then 'nan' when 8 then '12abc' when 9 then ' 12 '
     when 10 then '0.5' when 11 then '-1.9' when 13 then cast(event_id as varchar)
-    when 14 then cast(event_id % 1000 * 4294967296 as varchar) when 15 then cast(value as varchar)
+    when 14 then cast(big as varchar) when 15 then cast(value as varchar)
     end as as_string
 from ev""",
     "encode_anomaly_json": f"""with {SIGNALS}, {FIRED}
@@ -311,7 +320,7 @@ from frames""",
     "crash_verdict_lenient": f"""{LENIENT}
 select vin, "timestamp", trigger_id, is_crash, crash_ts, route from verdict""",
     "data_log_rows": f"""{STRICT}
-select vin, "timestamp" as trigger_timestamp, 'T' as car_type, usage_type as use_type, trigger_id,
+select vin, make_timestamp("timestamp" * 1000) as trigger_timestamp, 'T' as car_type, usage_type as use_type, trigger_id,
   is_crash, {_case('reason_code', rules.CRASH_REASONS, "''")} as crash_reason,
   threshold_log as criterion_judgment
 from verdict""",
@@ -352,6 +361,9 @@ select vin, kafka_ts, sig_ts, seq, anomaly_type, severity, additional_info,
   current_speed, previous_speed, previous_seq from spd_anom""",
     "stream_speed_joined": f"""with {SPEEDS}, {HITS}
 select vin, kafka_ts, sig_ts, seq, anomaly_type, severity, additional_info,
-  current_speed, previous_speed, previous_seq from spd_anom
-where sig_ts < (select max(sig_ts) - 30000 from spd)""",
+  current_speed, previous_speed, previous_seq from spd_anom""",
+    "speed_repeated_arrivals": f"""with {SPEEDS}, {HITS}
+select vin, sig_ts, seq, anomaly_type, previous_seq from spd_anom
+union all
+select vin, sig_ts, seq, anomaly_type, previous_seq from spd_anom where xor(seq, 31) % 3 = 0""",
 }

@@ -55,6 +55,8 @@ TRIGGER = T.StructType([
 
 # How to cut one signal out of a CAN payload.
 SIGNAL_DEF = T.StructType([
+    # Number of the message definition in its source; of several for one id the first counts.
+    T.StructField("position", T.IntegerType()),
     T.StructField("message_id", T.LongType()),
     T.StructField("name", T.StringType()),
     T.StructField("start_bit", T.IntegerType()),

@@ -17,10 +17,13 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
 
 def read_usage_jdbc(
     spark: SparkSession, url: str, properties: Mapping[str, str],
-    table: str = "car_user_info", partitions: int = 16, ids: tuple[int, int] = (0, 10_000_000),
+    table: str = "car_user_info", partitions: int = 16,
 ) -> DataFrame:
-    """The same from a database, read in ``partitions`` ranges of the id."""
-    low, high = ids
+    """The same from a database, read in ``partitions`` ranges of the ids it holds."""
+    held = f"(select min(id) as low, max(id) as high from {table}) as ids"
+    low, high = spark.read.jdbc(url, held, properties=dict(properties)).first()
+    if low is None:
+        low, high = 0, 1
     return usage_rows(
         spark.read.jdbc(url, table, column="id", lowerBound=low, upperBound=high,
                         numPartitions=partitions, properties=dict(properties))

@@ -1,10 +1,8 @@
-"""The speed rule on a stream, in three forms.
+"""The speed rule on a stream, in two forms that judge rows in arrival order at once and drop none.
 
-``joined`` uses only built-in operators and reports a hit once the watermark
-has passed it; rows later than the watermark delay are dropped. ``exact`` keeps
-each vehicle's recent rows as state, judges rows in arrival order at once, and
-never drops late rows. ``exact_by_bucket`` does so per vehicle and time bucket,
-for feeds where one vehicle sends a large part of the rows.
+``exact`` keeps each vehicle's recent rows as one state. ``exact_by_slot`` deals
+them over many states by time slot, for feeds where one vehicle sends a large
+part of the rows.
 """
 
 from __future__ import annotations
@@ -19,13 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from roadpulse import rules
-from roadpulse.functions import first_hit as first_hit_module
-from roadpulse.operators.anomalies import speed_anomalies_of, speed_rows
-from roadpulse.operators.timebuckets import bucket_of, with_lookback
+from roadpulse.functions import first_hit, speed_search
+from roadpulse.operators.anomalies import HIT_SCHEMA, speed_anomalies_of, speed_rows
+from roadpulse.operators.timebuckets import with_lookback
 from roadpulse.streaming import speed_state
 
 # Send the state step to the executors with the task, so they need no copy of this package.
-cloudpickle.register_pickle_by_value(first_hit_module)
+cloudpickle.register_pickle_by_value(first_hit)
+cloudpickle.register_pickle_by_value(speed_search)
 cloudpickle.register_pickle_by_value(speed_state)
 
 # Fixed value: how late a row may be.
@@ -37,57 +36,8 @@ def with_event_time(df: DataFrame, delay: str = LATENESS) -> DataFrame:
     return df.withColumn("sig_time", F.timestamp_millis("sig_ts")).withWatermark("sig_time", delay)
 
 
-def joined(
-    df: DataFrame,
-    tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS),
-    delay: str = LATENESS,
-    bucket_ms: int = 20_000,
-) -> DataFrame:
-    """Speed anomalies by an interval join of the stream with itself, then the first per row.
-
-    The join key holds the time bucket next to the vehicle, so the state of one
-    busy vehicle moves on to other partitions as time goes by.
-    """
-    reach = max(t.range_ms for t in tiers)
-    timed = with_event_time(speed_rows(df), delay)
-    judged = timed.withColumn("bucket", bucket_of("sig_ts", bucket_ms))
-    past = with_lookback(timed, "sig_ts", bucket_ms, reach).select(
-        F.col("vin").alias("p_vin"), F.col("bucket").alias("p_bucket"), F.col("sig_time").alias("p_time"),
-        F.col("seq").alias("p_seq"), F.col("sig_ts").alias("p_ts"), F.col("speed").alias("p_speed"),
-    )
-    diff = F.abs(F.col("speed") - F.col("p_speed"))
-    age = F.col("sig_ts") - F.col("p_ts")
-    tier = F.coalesce(*[
-        F.when((age <= t.range_ms) & (diff > t.limit) & ~F.isnan(diff), F.lit(t.tier)) for t in tiers
-    ])
-    pairs = judged.join(
-        past,
-        (F.col("vin") == F.col("p_vin"))
-        & (F.col("bucket") == F.col("p_bucket"))
-        & (F.col("p_time") <= F.col("sig_time"))
-        & (F.col("p_time") >= F.col("sig_time") - F.expr(f"interval {reach} milliseconds"))
-        & (F.col("p_seq") < F.col("seq"))
-        & tier.isNotNull(),
-    ).select(
-        "vin", "kafka_ts", "sig_ts", "sig_time", "seq", "sig_name", "speed",
-        F.struct(
-            tier.alias("tier"), F.col("p_seq").alias("previous_seq"),
-            F.col("p_ts").alias("previous_ts"), F.col("p_speed").alias("previous_speed"),
-        ).alias("hit"),
-    )
-    first = pairs.groupBy("vin", "seq", "sig_time", "sig_ts", "kafka_ts", "sig_name", "speed").agg(
-        F.min("hit").alias("hit")
-    )
-    hits = first.select("vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed", "hit.*")
-    return speed_anomalies_of(hits, tiers)
-
-
 HIT_COLUMNS = ["vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed",
                "tier", "previous_seq", "previous_ts", "previous_speed"]
-HIT_SCHEMA = (
-    "vin string, kafka_ts bigint, sig_ts bigint, seq bigint, sig_name string, speed double, "
-    "tier int, previous_seq bigint, previous_ts bigint, previous_speed double"
-)
 STATE_SCHEMA = "ts array<bigint>, seq array<bigint>, speed array<double>"
 KEPT = ["sig_ts", "seq", "speed"]
 
@@ -122,49 +72,66 @@ def exact(
             yield hits[names]
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    hits = speed_rows(df).groupBy("vin").applyInPandasWithState(
+    hits = speed_rows(df).where("not isnan(speed)").groupBy("vin").applyInPandasWithState(
         advance, HIT_SCHEMA, STATE_SCHEMA, "append", timeout
     )
     return speed_anomalies_of(hits, tiers)
 
 
-def exact_by_bucket(
+SLOT_STATE = (
+    "vin array<string>, slot array<bigint>, ts array<bigint>, seq array<bigint>, speed array<double>, "
+    "seen array<bigint>"
+)
+SLOT_KEPT = ["vin", "slot", "sig_ts", "seq", "speed", "seen"]
+
+
+def exact_by_slot(
     df: DataFrame,
     tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS),
-    delay_ms: int = 20_000,
-    bucket_ms: int = 3_600_000,
+    retention_ms: int = rules.SPEED_RETENTION_MS,
+    slot_ms: int = 4_000,
+    groups: int = 1_024,
+    idle_ms: int = 3_600_000,
+    part_rows: int = 300_000,
 ) -> DataFrame:
-    """As ``exact``, with state per vehicle and time bucket, so that a busy vehicle spreads out.
-
-    Hits come at once. Rows are kept while the watermark, ``delay_ms`` behind,
-    lets in rows that may look back to them; rows later than that are dropped.
-    Narrow buckets spread more but cost a call each.
+    """As ``exact``, with the state of a vehicle dealt over ``groups`` by time slot.
+
+    All slots of a group are searched together. A vehicle that sends a third of
+    a live feed moves on to another group every ``slot_ms``. No watermark is
+    used, so no row is dropped: each is judged, however late, against what is
+    kept. Kept are, per vehicle, the rows within ``retention_ms`` of the latest
+    its group has seen, so a row up to 28 s late meets all it could hit; rows
+    that arrived ``idle_ms`` ago go as well, which bounds the state of vehicles that fell silent.
     """
     plan = [(t.tier, t.range_ms, t.limit) for t in tiers]
     reach = max(t.range_ms for t in tiers)
-    keep_all = bucket_ms + reach
-    names, kept_names, step = HIT_COLUMNS, KEPT, speed_state.judge
+    names, kept_names, search = HIT_COLUMNS, SLOT_KEPT, speed_search.first_hits
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        now = state.getCurrentProcessingTimeMs()
+        rows = pd.concat(list(frames)).assign(seen=now)
         kept = rows[kept_names].head(0)
         if state.exists:
             kept = pd.DataFrame(dict(zip(kept_names, map(np.asarray, state.get))))
-        hits, kept = step(kept, rows, plan, keep_all)
-        watermark = state.getCurrentWatermarkMs()
-        kept = kept[kept.sig_ts >= watermark - reach]
-        state.update(tuple(kept[c].tolist() for c in kept_names))
-        state.setTimeoutTimestamp(max((int(key[1]) + 1) * bucket_ms, watermark + 1))
-        hits = hits[hits.owner]
-        if len(hits):
-            yield hits[names]
-
-    timed = with_event_time(speed_rows(df), f"{delay_ms} milliseconds")
-    near = with_lookback(timed, "sig_ts", bucket_ms, reach)
-    hits = near.groupBy("vin", "bucket").applyInPandasWithState(
-        advance, HIT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+        # The new rows last, so that a row's place tells which it is.
+        both = pd.concat([kept.assign(owner=False), rows]).reset_index(drop=True)
+        group = both.groupby(["vin", "slot"], sort=False, dropna=False).ngroup().to_numpy()
+        at, tier, prev = search(
+            group, both.sig_ts.to_numpy(np.int64), both.seq.to_numpy(np.int64), both.speed.to_numpy(float),
+            both.owner.to_numpy(bool), plan, part_rows)
+        latest = both.groupby("vin", dropna=False).sig_ts.transform("max")
+        left = both[(both.sig_ts >= latest - retention_ms) & (both.seen >= now - idle_ms)]
+        state.update(tuple(left[c].tolist() for c in kept_names))
+        if len(at):
+            past = both.iloc[prev]
+            yield both.iloc[at].assign(
+                tier=tier, previous_seq=past.seq.to_numpy(), previous_ts=past.sig_ts.to_numpy(),
+                previous_speed=past.speed.to_numpy())[names]
+
+    near = with_lookback(speed_rows(df).where("not isnan(speed)"), "sig_ts", slot_ms, reach)
+    dealt = near.withColumnRenamed("bucket", "slot").withColumn(
+        "deal", F.pmod(F.xxhash64("vin", "slot"), F.lit(groups)))
+    hits = dealt.groupBy("deal").applyInPandasWithState(
+        advance, HIT_SCHEMA, SLOT_STATE, "append", GroupStateTimeout.NoTimeout
     )
     return speed_anomalies_of(hits, tiers)

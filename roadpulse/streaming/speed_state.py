@@ -21,12 +21,12 @@ def judge(kept: pd.DataFrame, rows: pd.DataFrame, tiers, retention_ms: int):
     speed = np.r_[kept.speed.to_numpy(), rows.speed.to_numpy()].astype(float)
     at = np.arange(len(kept), len(ts))
 
-    # oldest[i]: first row still kept when newcomer i is judged.
-    oldest, head = np.zeros(len(at), dtype=np.int64), 0
-    for i, now in enumerate(ts[at]):
-        oldest[i] = head
-        while now - ts[head] > retention_ms:
-            head += 1
+    # The head stops at the first row whose running latest time is within retention of the latest
+    # newcomer so far. oldest[i]: first row still kept when newcomer i is judged.
+    latest = np.maximum.accumulate(ts)
+    heads = np.searchsorted(latest, np.maximum.accumulate(ts[at]) - retention_ms, "left")
+    oldest = np.r_[0, heads[:-1]].astype(np.int64)
+    head = int(heads[-1]) if len(heads) else 0
 
     place = np.arange(len(ts))
     tier_of = np.zeros(len(at), dtype=np.int32)

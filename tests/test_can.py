@@ -9,10 +9,19 @@ from roadpulse import rules
 from roadpulse.functions.bits import CUT_PLAN, raw_value
 from roadpulse.operators import can, verdict
 from roadpulse.rules import ThresholdRule
+from roadpulse.schemas import SIGNAL_DEF
 from roadpulse.sources import can_logs
+from roadpulse.sources.tables import read_signal_defs
 
 DEFS = "message_id bigint, name string, start_bit int, size int, is_signed boolean, factor double, offset double"
 
+
+
+def positioned(defs):
+    """All of one message definition."""
+    return defs.selectExpr("0 as position", "*")
+
+
 LINES = {
     "(12) can0 1F4#ABCD": (None, 12, 500, "ABCD"),
     "  (-3)\tcan0  1f4#abcd extra fields ": (None, -3, 500, "abcd"),
@@ -66,7 +75,7 @@ def test_bit_fields_against_text_cutting(spark):
 
 
 def decoded(spark, defs, lines, wanted=("a", "b")):
-    table = spark.createDataFrame(defs, DEFS)
+    table = positioned(spark.createDataFrame(defs, DEFS))
     return can.last_values(can.decode(frames(spark, {"f": lines}), table, list(wanted)))
 
 
@@ -111,13 +120,13 @@ LENIENT = STRICT | {"bad line": (5, 1), "unknown id": (5, 1)}
 
 @pytest.mark.parametrize("mode,want", [("strict", STRICT), ("lenient", LENIENT)])
 def test_first_crossing(spark, mode, want):
-    defs = spark.createDataFrame(CRASH_DEFS, DEFS)
+    defs = positioned(spark.createDataFrame(CRASH_DEFS, DEFS))
     got = can.first_crossing(frames(spark, FILES), defs, rules.RULES_BY_ROUTE, mode).collect()
     assert {r.file: (r.crossings[0].ts, r.crossings[0].rule_index) for r in got} == want
 
 
 def test_file_status(spark):
-    defs = spark.createDataFrame(CRASH_DEFS, DEFS)
+    defs = positioned(spark.createDataFrame(CRASH_DEFS, DEFS))
     wanted = can.wanted_signals(can.rule_sets(rules.RULES_BY_ROUTE))
     got = {r.file: (r.n_lines, r.n_bad, r.error) for r in can.file_status(frames(spark, FILES), defs, wanted).collect()}
     assert {f: e for f, (_, _, e) in got.items()} == dict.fromkeys(STRICT) | {
@@ -127,7 +136,7 @@ def test_file_status(spark):
 
 
 def test_missing_signal_counts_as_zero(spark):
-    defs = spark.createDataFrame(CRASH_DEFS, DEFS)
+    defs = positioned(spark.createDataFrame(CRASH_DEFS, DEFS))
     below = {"r": [ThresholdRule("n", "LongitudinalAcceleration", 100.0, 2), ThresholdRule("c", "crash", -1.0, 3)]}
     got = can.first_crossing(frames(spark, {"f": ["(4) c 1F4#0000"]}), defs, below).collect()
     assert [(r.crossings[0].ts, r.crossings[0].rule_index) for r in got] == [(4, 2)]
@@ -141,7 +150,7 @@ def test_verdicts(spark):
         [("x", "production", "1"), ("x", "media", "2"), ("y", "none", "3"), ("z", "none", "4"), ("w", "none", "5")],
         "vin string, usage_type string, trigger_id string",
     ).selectExpr("vin", "1L as timestamp", "'T' as car_type", "usage_type", "trigger_id", "'' as threshold_log")
-    judged = verdict.crash_verdict(rows, logs, spark.createDataFrame(CRASH_DEFS, DEFS), by_route)
+    judged = verdict.crash_verdict(rows, logs, positioned(spark.createDataFrame(CRASH_DEFS, DEFS)), by_route)
     got = {r.trigger_id: (r.is_crash, r.reason_code, r.crash_ts, r.route, r.threshold_log) for r in judged.collect()}
     assert got == {
         "1": (1, 2, 5, rules.WRITE_DB_QUEUE, ";信号 LongitudinalAcceleration 超过阈值 1.500000,"),
@@ -167,3 +176,13 @@ def test_lines_of_files_keep_their_order(spark, tmp_path):
     for _, part in rows.groupby("file"):
         assert part.ts.tolist() == list(range(60_000))
         assert part.line_no.is_unique
+
+
+def test_first_definition_of_an_id_wins_when_read_from_a_table(spark, tmp_path):
+    rows = [(0, 500, "a", 0, 8, False, 1.0, 0.0), (1, 500, "a", 8, 8, False, 1.0, 0.0), (1, 500, "b", 0, 8, False, 1.0, 0.0)]
+    spark.createDataFrame(rows, SIGNAL_DEF).write.parquet(str(tmp_path / "defs"))
+    defs = read_signal_defs(spark, str(tmp_path / "defs"))
+    decoded = can.decode(frames(spark, {"f": ["(1) can0 1F4#0A0B"]}), defs, ["a", "b"]).collect()
+    assert [(r.signal, r.value) for r in decoded] == [("a", 10.0)]
+    with pytest.raises(ValueError):
+        can.message_table(defs.drop("position"), ["a"])

@@ -66,13 +66,13 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("dense_rows", [None, 0])
-def test_hand_made_rows(spark, dense_rows):
+@pytest.mark.parametrize("part_rows", [1, 2, 300_000])
+def test_hand_made_rows(spark, part_rows):
     rows, want = [], []
     for vin, (points, hits) in CASES.items():
         rows += [(vin, i, ts, str(v)) for i, (ts, v) in enumerate(points)]
         want += [(vin, *h) for h in hits]
-    got = found(anomalies.speed_change(signal_frame(spark, rows), dense_rows=dense_rows))
+    got = found(anomalies.speed_change(signal_frame(spark, rows), part_rows=part_rows))
     assert got == sorted(want)
 
 
@@ -104,18 +104,34 @@ def test_all_forms_agree(spark, seed):
     want = one_by_one(rows)
     assert len(want) > 100
     signals = as_signals(spark, rows)
-    assert found(anomalies.speed_change(signals, dense_rows=None)) == want
-    assert found(anomalies.speed_change(signals, dense_rows=100)) == want
-    assert found(anomalies.speed_change(signals, dense_rows=0, chunk_rows=60)) == want
+    assert found(anomalies.speed_change(signals)) == want
+    assert found(anomalies.speed_change(signals, bucket_ms=2_000)) == want
+    assert found(anomalies.speed_change(signals, bucket_ms=30_000, part_rows=60)) == want
 
 
 def test_one_vehicle_holds_most_rows(spark):
-    """A dense vehicle takes the search path, the others the frame path, and nothing is lost."""
+    """A crowded bucket is searched in parts, and nothing is lost."""
     rows = feed(5, n=6000, vins=1, span=20_000) + [
         (f"quiet{i}", 10_000 + i, i * 700, float(i % 2 * 40)) for i in range(50)
     ]
     rows += [("pair", 20_000, 0, 0.0), ("pair", 20_001, 10, 50.0)]
-    assert found(anomalies.speed_change(as_signals(spark, rows), dense_rows=500)) == one_by_one(rows)
+    assert found(anomalies.speed_change(as_signals(spark, rows), part_rows=500)) == one_by_one(rows)
+
+
+def test_every_arrival_of_a_repeated_row_is_judged(spark):
+    rows = [("v", 0, 0, 0.0), ("v", 0, 0, 0.0), ("v", 1, 100, 50.0), ("v", 1, 100, 50.0), ("v", 1, 100, 50.0)]
+    want = [("v", 1, "SPEED_CHANGE_1S", 0)] * 3
+    for part_rows in (1, 2, 300_000):
+        assert found(anomalies.speed_change(as_signals(spark, rows), part_rows=part_rows)) == want
+
+
+def test_one_shuffle_and_no_job_before_the_action(spark):
+    rows = as_signals(spark, feed(1, n=50))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("plan"))
+    spark.sparkContext.setJobGroup("plan", "plan")
+    plan = anomalies.speed_change(rows)._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs() == 0 and plan.count("Exchange") == 1 and plan.count("Scan") == 1
 
 
 def stream_of(spark, tmp_path, rows, batches):
@@ -141,23 +157,20 @@ def test_stream_exact_over_several_batches(spark, tmp_path):
     assert got == one_by_one(rows)
 
 
-def test_stream_by_bucket_over_several_batches(spark, tmp_path):
-    """Same rows at once from state per bucket; no row is later than the watermark."""
-    rows = feed(9, n=600, late=15_000)
-    got = found(run.drain(speed.exact_by_bucket(stream_of(spark, tmp_path, rows, 3), bucket_ms=25_000), "t-bucket"))
+def test_stream_by_slot_over_several_batches(spark, tmp_path):
+    """Same rows at once from state per slot, rows up to 28 s late included."""
+    rows = feed(9, n=600, late=27_000)
+    stream = stream_of(spark, tmp_path, rows, 3)
+    got = found(run.drain(speed.exact_by_slot(stream, groups=4), "t-slot"))
     assert got == one_by_one(rows)
 
 
-def test_stream_joined_over_several_batches(spark, tmp_path):
-    """All hits that the watermark has passed; rows stay below 20 s late, so none is dropped."""
-    rows = feed(8, n=600, late=15_000)
-    end = max(r[2] for r in rows)
-    got = found(run.drain(speed.joined(stream_of(spark, tmp_path, rows, 3)), "t-joined"))
-    time_of = {(r[0], r[1]): r[2] for r in rows}
-    want = one_by_one(rows)
-    closed = [h for h in want if time_of[h[0], h[1]] < end - 25_000]
-    assert set(closed) <= set(got) <= set(want)
-    assert len(closed) > 50
+def test_a_late_row_still_hits(spark, tmp_path):
+    """Five batches of a row each; the last is 21.5 s late and over the limit against the first."""
+    rows = [("v", 0, 0, 0.0), ("v", 1, 10_000, 0.0), ("v", 2, 20_000, 0.0), ("v", 3, 22_000, 0.0), ("v", 4, 500, 50.0)]
+    for name, form in (("exact", speed.exact), ("slot", speed.exact_by_slot)):
+        got = found(run.drain(form(stream_of(spark, tmp_path / name, rows, 5)), "t-late"))
+        assert got == [("v", 4, "SPEED_CHANGE_1S", 0)], name
 
 
 def test_state_drops_only_from_the_old_end():
@@ -195,10 +208,19 @@ def test_first_hit_against_all_pairs(monkeypatch, small):
 
 
 def test_latest_and_history(spark):
-    rows = [("a", 0, 0, 1.0), ("a", 1, 50, 2.0), ("a", 2, 50, 3.0), ("a", 3, 30_050, 4.0),
-            ("b", 4, 119_000, 5.0), ("b", 5, 121_000, 6.0)]
-    speeds = anomalies.speed_rows(as_signals(spark, rows))
-    latest = {r.vin: (r.sig_ts, r.speed) for r in anomalies.latest_speed(speeds.where("seq < 3")).collect()}
-    assert latest == {"a": (50, 2.0)}
-    sizes = {r.seq: (r.history_size, r.has_history) for r in anomalies.speed_history_size(speeds).collect()}
-    assert sizes == {0: (1, False), 1: (2, True), 2: (3, True), 3: (3, True), 4: (1, False), 5: (2, True)}
+    nan = float("nan")
+    rows = [("a", 0, 0, 1.0), ("a", 1, 50, 2.0), ("a", 2, 50, 3.0), ("a", 3, 30_050, nan),
+            ("b", 4, 1000, 5.0), ("b", 5, 500, 6.0), ("c", 6, 119_000, 5.0), ("c", 7, 149_001, 6.0)]
+    frame = spark.createDataFrame(rows, "vin string, seq bigint, sig_ts bigint, v double").select(
+        "vin", F.col("sig_ts").alias("kafka_ts"), "sig_ts", "seq", F.lit("speed").alias("sig_name"),
+        F.expr("if(isnan(v), cast('NaN' as variant), cast(v as variant))").alias("value"))
+    speeds = anomalies.speed_rows(frame)
+    latest = {r.vin: (r.sig_ts, r.speed) for r in anomalies.latest_speed(speeds).collect()}
+    assert latest["b"] == (1000, 5.0) and latest["a"][0] == 30_050 and np.isnan(latest["a"][1])
+    before = {r.vin: (r.sig_ts, r.speed) for r in anomalies.latest_speed(speeds.where("seq < 3")).collect()}
+    assert before == {"a": (50, 2.0)}
+    for block in (2, 65_536):
+        sizes = {r.seq: (r.history_size, r.has_history)
+                 for r in anomalies.speed_history_size(speeds, block=block).collect()}
+        assert sizes == {0: (1, False), 1: (2, True), 2: (3, True), 3: (3, True), 4: (1, False), 5: (2, True),
+                         6: (1, False), 7: (1, False)}
