@@ -93,10 +93,10 @@ def fit(languages: list[str], rows: list[tuple[str, bytes, int]], order: int = O
                 cost[gram] = np.where(n > 0, -np.log2(n / (total[c] + kinds[c])), leave[c] + below)
         names = sorted(grams)
         model.grams.append(_packed(names))
-        model.cost.append(np.array([cost[g] for g in names]).reshape(-1, width))
+        model.cost.append(np.array([cost[g] for g in names], float).reshape(len(names), width))
         held = sorted(leave)
         model.contexts.append(_packed(held))
-        model.escape.append(np.array([leave[c] for c in held]).reshape(-1, width))
+        model.escape.append(np.array([leave[c] for c in held], float).reshape(len(held), width))
         shorter = cost
     return model
 
