@@ -11,6 +11,10 @@ from roadpulse import rules
 from roadpulse.functions.literals import literal_table
 
 
+# Fixed value: the name of the step that ends a log.
+WRITTEN = "DB Write Success"
+
+
 def queue_depth(rows: DataFrame, queues: Sequence[str] = tuple(rules.QUEUES)) -> DataFrame:
     """Rows per queue, every listed queue included."""
     listed = literal_table(rows.sparkSession, [(q,) for q in queues], "route string")
@@ -43,6 +47,20 @@ def as_steps(rows: DataFrame, step: int) -> DataFrame:
     return rows.select("log_id", F.lit(step).cast("bigint").alias("step"), F.col("route").alias("name"))
 
 
+def step_events(
+    ingested: DataFrame, routed: DataFrame, judged: DataFrame, written: DataFrame, done: str = WRITTEN
+) -> DataFrame:
+    """The steps of all triggers so far: put on the default route, on their usage's, on their verdict's, written.
+
+    Each frame has log_id, those on a route also ``route``. A trigger that is
+    read or judged twice leaves one event per step.
+    """
+    events = as_steps(ingested.withColumn("route", F.lit(rules.DEFAULT_QUEUE)), 1).withColumn("is_insert", F.lit(True))
+    for step, rows in ((2, routed), (3, judged), (4, written.withColumn("route", F.lit(done)))):
+        events = events.unionByName(as_steps(rows, step).withColumn("is_insert", F.lit(False)))
+    return events.distinct()
+
+
 def process_trail(steps: DataFrame, chunk: int = 1_000) -> DataFrame:
     """Per log its steps as ``a -> b -> c`` and the name of the last step as status.
 
@@ -73,7 +91,7 @@ def process_trail(steps: DataFrame, chunk: int = 1_000) -> DataFrame:
     )
 
 
-def completed_trail(trails: DataFrame, done: str = "DB Write Success") -> DataFrame:
+def completed_trail(trails: DataFrame, done: str = WRITTEN) -> DataFrame:
     """Trails whose last step is the database write get the status Completed."""
     return trails.withColumn(
         "process_status",

@@ -66,6 +66,12 @@ def usage_lookup(
     ).drop("_usage")
 
 
+def log_id(*key: str) -> Column:
+    """Number of the process log of a trigger: 60 bits of a hash, the same whenever the trigger is read again."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint").alias("log_id")
+
+
 def ingest(
     pages: DataFrame,
     usage: DataFrame,
@@ -76,7 +82,7 @@ def ingest(
     kept = label_records(pages, allowed).where("reason is null").drop("reason", "raw_timestamp")
     return usage_lookup(kept, usage, pick).select(
         "vin", "timestamp", "car_type", "usage_type", "trigger_id",
-        F.lit(0).alias("log_id"), F.lit("").alias("threshold_log"), F.lit(0).alias("is_crash"),
+        log_id("vin", "timestamp", "trigger_id"), F.lit("").alias("threshold_log"), F.lit(0).alias("is_crash"),
     )
 
 

@@ -51,6 +51,34 @@ def crash_verdict(
     )
 
 
+def attach_logs(triggers: DataFrame, manifests: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines with the vin and timestamp of their trigger, triggers with ``file`` and ``error``).
+
+    ``manifests`` are rows of ``select_can_file`` with a whole-number timestamp, ``lines`` rows of ``read_lines``.
+    A trigger without a manifest, without a CAN file in it, or with a file of no lines has an
+    ``error``; so its verdict is missing for a reason that can be counted.
+    """
+    listed = manifests.select("vin", "timestamp", F.col("file_url").alias("file"), F.col("error").alias("_listed"))
+    listed = listed.groupBy("vin", "timestamp").agg(F.min_by(F.struct("file", "_listed"), F.struct(
+        F.col("_listed").isNotNull(), "file")).alias("m")).select("vin", "timestamp", "m.*", F.lit(True).alias("_known"))
+    there = lines.select("file").distinct().withColumn("_there", F.lit(True))
+    asked = triggers.join(listed, ["vin", "timestamp"], "left").join(there, "file", "left").withColumn("error", F.when(
+        F.col("_known").isNull(), "no_manifest").when(F.col("_listed").isNotNull(), F.col("_listed")).when(
+            F.col("_there").isNull(), "missing_file")).select(*triggers.columns, "file", "error")
+    owners = asked.where("error is null").select("vin", "timestamp", "file").distinct()
+    return lines.drop("vin", "timestamp").join(owners, "file"), asked
+
+
+def unjudged(triggers: DataFrame, status: DataFrame) -> DataFrame:
+    """Triggers that get no verdict: vin, timestamp, file, reason.
+
+    ``triggers`` are the second frame of ``attach_logs``, ``status`` comes from ``file_status``.
+    """
+    judged = triggers.join(status.select("file", F.col("error").alias("_file_error")), "file", "left")
+    reason = F.coalesce("error", "_file_error")
+    return judged.select("vin", "timestamp", "file", reason.alias("reason")).where("reason is not null")
+
+
 def _by_rule(sets: Sequence[Sequence[rules.ThresholdRule]], of, default: Column) -> Column:
     branches = [
         F.when((F.col("_set") == s) & (F.col("_pos") == i + 1), of(rule))

@@ -7,9 +7,29 @@ arithmetic on the integers the payloads were made of.
 
 from __future__ import annotations
 
-from roadpulse import rules
-from roadpulse.operators.can import crossing_text
-from roadpulse.plans.fixtures import HALF_A, HALF_B
+# Fixed values, written out here once more so that a change of the library's own is noticed.
+SYSTEM = {
+    "AEB": ("AEB_TRIGGERED", "HIGH", "Autonomous Emergency Braking activated", "AEB system intervention detected"),
+    "NOA_EXIT": ("NOA_EXIT", "MEDIUM", "Navigate on Autopilot exited", "NOA system disengaged"),
+    "ACC_EXIT": ("ACC_EXIT", "MEDIUM", "Adaptive Cruise Control exited", "ACC system disengaged"),
+    "LKA_EXIT": ("LKA_EXIT", "MEDIUM", "Lane Keeping Assist exited", "LKA system disengaged"),
+}
+ALLOWED = [1, 2, 3, 4, 5, 44, 62, 123, 345]
+QUEUES = ["default_triggers", "production_car_triggers", "test_drive_car_triggers", "media_car_triggers",
+          "internal_car_triggers", "fusion_car_triggers", "write_db_triggers"]
+USAGE_ROUTES = {"production": "production_car_triggers", "test_drive": "test_drive_car_triggers",
+                "media": "media_car_triggers", "internal": "internal_car_triggers"}
+# Signal, threshold, reason code and text of each crash rule.
+CRASH_RULES = [
+    ("LongitudinalAcceleration", 1.5, 2, "信号 LongitudinalAcceleration 超过阈值 1.500000,"),
+    ("LateralAcceleration", 0.8, 1, "信号 LateralAcceleration 超过阈值 0.800000,"),
+    ("crash", 0.5, 3, "信号 CollisionSignal 超过阈值 0.500000,"),
+]
+CRASH_REASONS = {0: "未发生碰撞", 1: "横行加速度超限", 2: "纵向加速度超限", 3: "气囊弹出", 4: "方向盘转角超限"}
+BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+# The integers behind the CAN payloads.
+HALF_A = "((event_id * 4 + i) % 1000003 * 2654435761) % 4294967296"
+HALF_B = "((event_id * 4 + i) % 1000003 * 40503 * 1009 + 12345) % 4294967296"
 
 VIN = "'VIN' || lpad(cast(user_id as varchar), 14, '0')"
 MS = "(epoch_us(ts) // 1000)"
@@ -23,7 +43,6 @@ def _case(column: str, mapping: dict, default: str = "null") -> str:
     return f"case {column} {branches} else {default} end"
 
 
-SYSTEM = {r.sig_name: r for r in rules.SYSTEM_RULES}
 SIGNALS = f"""sig as (
   select {VIN} as vin, {SIG_TS} + event_id % 1000 as kafka_ts, {SIG_TS} as sig_ts,
     xor(event_id, 31) as seq, value, event_id,
@@ -41,14 +60,14 @@ STATES = f"""spd as (
 CLICKS = "spd as (select vin, kafka_ts, sig_ts, seq, sig_name, value as speed from sig where sig_name = 'speed')"
 FIRED = f"""fired as (
   select vin, kafka_ts, sig_ts, seq,
-    {_case('sig_name', {k: r.anomaly_type for k, r in SYSTEM.items()})} as anomaly_type,
-    {_case('sig_name', {k: r.severity for k, r in SYSTEM.items()})} as severity,
-    {_case('sig_name', {k: r.description for k, r in SYSTEM.items()})} as description,
+    {_case('sig_name', {k: r[0] for k, r in SYSTEM.items()})} as anomaly_type,
+    {_case('sig_name', {k: r[1] for k, r in SYSTEM.items()})} as severity,
+    {_case('sig_name', {k: r[2] for k, r in SYSTEM.items()})} as description,
     sig_name,
     case event_id % 4 when 0 then 'true' when 1 then 'TRUE' else '1' end as current_value,
     'true' as threshold_value,
     case event_id % 4 when 0 then 'boolean' when 1 then 'string' else 'integer' end as value_type,
-    {_case('sig_name', {k: r.additional_info for k, r in SYSTEM.items()})} as additional_info
+    {_case('sig_name', {k: r[3] for k, r in SYSTEM.items()})} as additional_info
   from sig where sig_name <> 'speed' and event_id % 4 <> 3 and value > 60)"""
 HITS = f"""hits as (
   select vin, seq, kafka_ts, sig_ts, sig_name, speed, min(h) as h from (
@@ -98,7 +117,7 @@ rec as (
 labelled as (
   select vin, car_type,
     case when regexp_full_match(stamp, '[+-]?[0-9]+') then try_cast(stamp as bigint) end as "timestamp",
-    cast(list_filter(ids, lambda x: list_contains({sorted(set(rules.ALLOWED_TRIGGER_IDS))}, x))[1]
+    cast(list_filter(ids, lambda x: list_contains({ALLOWED}, x))[1]
       as varchar) as trigger_id
   from rec)"""
 
@@ -121,7 +140,7 @@ def _usage(pick: str) -> str:
   group by t.event_id, t.vin, t."timestamp")"""
 
 
-ROUTE = _case("usage_type", rules.USAGE_ROUTES, f"'{rules.PRODUCTION_QUEUE}'")
+ROUTE = _case("usage_type", USAGE_ROUTES, "'production_car_triggers'")
 
 # One row per line that is not blank. The payload is half_a (bits 0-31) and half_b (bits 32-63).
 LINES = f"""raw as (
@@ -165,9 +184,8 @@ status as (
         then 'no_signal' end) as error
   from judged j group by j.file)"""
 RULE_ROWS = ", ".join(
-    f"({i + 1}, {r.signal_name!r}, cast({r.threshold} as double), {r.reason_code}, "
-    f"{crossing_text(r.name, r.threshold)!r})"
-    for i, r in enumerate(rules.THRESHOLD_RULES)
+    f"({i + 1}, {signal!r}, cast({threshold} as double), {code}, {text!r})"
+    for i, (signal, threshold, code, text) in enumerate(CRASH_RULES)
 )
 
 
@@ -182,7 +200,7 @@ verdict as (
     'in;' || coalesce(r.info, '') as threshold_log,
     cast(coalesce(c.c.idx, 0) as int) as is_crash, coalesce(r.reason_code, 0) as reason_code,
     c.c.ts as crash_ts,
-    case when c.c.idx is null then '{rules.FUSION_QUEUE}' else '{rules.WRITE_DB_QUEUE}' end as route
+    case when c.c.idx is null then 'fusion_car_triggers' else 'write_db_triggers' end as route
   from used u join status s on s.file = 'clip/' || u.event_id
     left join crossed c using (file) left join rule r on r.idx = c.c.idx
   where {usable})"""
@@ -204,7 +222,7 @@ STEPS = f"""st as (
 
 
 def _histogram(column: str) -> str:
-    bounds = ", ".join(f"('{b}', {round(b * 1000)})" for b in rules.DURATION_BOUNDS)
+    bounds = ", ".join(f"('{b}', {round(b * 1000)})" for b in BOUNDS)
     return f"""with {STEPS}, bound(le, ms) as (values {bounds}, ('+Inf', null))
 select queue_type, vehicle_type, le,
   count(*) filter (where ms is null or {column} <= ms) as count,
@@ -212,6 +230,15 @@ select queue_type, vehicle_type, le,
 from st, bound group by queue_type, vehicle_type, le"""
 
 
+LOG_ID = """cast('0x' || substr(md5(k.vin || '|' || k."timestamp" || '|' || k.trigger_id), 1, 15) as bigint)"""
+TAKEN = f"""kept as (select *, row_number() over () as n from labelled
+  where "timestamp" is not null and trigger_id is not null),
+taken as (
+  select k.vin, k."timestamp", k.car_type, {FIRST} as usage_type, k.trigger_id, {LOG_ID} as log_id
+  from kept k left join usage u on k.vin = u.vin and u.create_ms <= k."timestamp"
+  group by k.n, k.vin, k."timestamp", k.car_type, k.trigger_id)"""
+
+
 ORACLE: dict[str, str] = {
     "filter_valid_signals": f"""with {SIGNALS}
 select vin, kafka_ts, sig_ts, seq, sig_name from sig where seq % 9 <> 0""",
@@ -292,14 +319,35 @@ select reason, count(*) as total from dropped group by reason""",
 kept as (select *, row_number() over () as n from labelled
   where "timestamp" is not null and trigger_id is not null)
 select k.vin, k."timestamp", k.car_type, {FIRST} as usage_type, k.trigger_id,
-  0 as log_id, '' as threshold_log, 0 as is_crash
+  {LOG_ID} as log_id, '' as threshold_log, 0 as is_crash
 from kept k left join usage u on k.vin = u.vin and u.create_ms <= k."timestamp"
 group by k.n, k.vin, k."timestamp", k.car_type, k.trigger_id""",
+    "route_messages": f"""with {RECORDS}, {USAGE}, {TAKEN}
+select vin, "timestamp", car_type, usage_type, trigger_id, log_id, '' as threshold_log, 0 as is_crash, {ROUTE} as route
+from taken""",
+    "trail_from_ingest": f"""with {RECORDS}, {USAGE}, {TAKEN}, st as (
+  select distinct log_id, unnest([1, 2, 3, 4]) as step,
+    unnest(['default_triggers', {ROUTE}, case when "timestamp" % 3 = 0 then 'write_db_triggers' else 'fusion_car_triggers' end,
+      case when "timestamp" % 3 = 0 then 'DB Write Success' end]) as name
+  from taken)
+select log_id, string_agg(name, ' -> ' order by step) as process_log,
+  replace(arg_max(name, step), 'DB Write Success', 'Completed') as process_status, count(*) as n_steps
+from st where name is not null group by log_id""",
+    "anomaly_files": f"""with {SPEEDS}, {HITS}
+select vin, sig_ts, anomaly_type, severity, cast(threshold_value as double) as threshold, additional_info from spd_anom""",
+    "verdict_from_manifests": f"""{STRICT}
+select vin, "timestamp", trigger_id, case cast(trigger_id as bigint) % 4 when 0 then 'a/' else 'b/' end || trigger_id as file,
+  is_crash, crash_ts, route
+from verdict where cast(trigger_id as bigint) % 4 < 2 and cast(trigger_id as bigint) % 13 <> 0""",
+    "verdict_missing": f"""{STRICT}, why as (
+  select case when u.event_id % 4 > 1 then 'no_can_file' when u.event_id % 13 = 0 then 'missing_file' else s.error end as reason
+  from used u join status s on s.file = 'clip/' || u.event_id)
+select reason, count(*) as total from why where reason is not null group by reason""",
     "match_trigger_id": f"""with ids as (
   select event_id, unnest([1, 2, 3]) as p, unnest([k + 100, k, k % 7]) as x
   from (select event_id, {K} as k from events where event_type <> 'signup'))
 select event_id, cast(arg_min(x, p) as varchar) as trigger_id from ids
-where x in ({', '.join(map(str, sorted(set(rules.ALLOWED_TRIGGER_IDS))))}) group by event_id""",
+where x in ({', '.join(map(str, ALLOWED))}) group by event_id""",
     "usage_type_lookup": f"{_usage(FIRST)} select * from used",
     "usage_type_asof": f"{_usage(LATEST)} select * from used",
     "route_by_usage": f"{_usage(FIRST)} select *, {ROUTE} as route from used",
@@ -321,18 +369,18 @@ from frames""",
 select vin, "timestamp", trigger_id, is_crash, crash_ts, route from verdict""",
     "data_log_rows": f"""{STRICT}
 select vin, make_timestamp("timestamp" * 1000) as trigger_timestamp, 'T' as car_type, usage_type as use_type, trigger_id,
-  is_crash, {_case('reason_code', rules.CRASH_REASONS, "''")} as crash_reason,
+  is_crash, {_case('reason_code', CRASH_REASONS, "''")} as crash_reason,
   threshold_log as criterion_judgment
 from verdict""",
     "queue_depth": f"""{_usage(LATEST)},
-queues(route) as (values {', '.join(f"('{q}')" for q in rules.QUEUES)}),
+queues(route) as (values {', '.join(f"('{q}')" for q in QUEUES)}),
 routed as (select {ROUTE} as route from used)
 select q.route, count(r.route) as depth from queues q left join routed r on q.route = r.route group by q.route""",
     "queue_backlog_alerts": f"""{_usage(LATEST)},
 routed as (select {ROUTE} as route from used)
 select route, count(*) as depth,
-  'Alert: Queue ' || route || ' length ' || count(*) || ' exceeds or equals threshold {rules.BACKLOG_LIMIT}' as message
-from routed group by route having count(*) >= {rules.BACKLOG_LIMIT}""",
+  'Alert: Queue ' || route || ' length ' || count(*) || ' exceeds or equals threshold 1000' as message
+from routed group by route having count(*) >= 1000""",
     "queue_head": f"""{_usage(LATEST)},
 routed as (select *, {ROUTE} as route from used)
 select route, cast(row_number() over (partition by route order by event_id) as int) as place, event_id, vin

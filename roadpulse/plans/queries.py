@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from roadpulse import rules
 from roadpulse.operators import anomalies, can, operations, triggers, verdict
 from roadpulse.plans import fixtures as fx
+from roadpulse.session import shared_dir
+from roadpulse.sinks import writers
 from roadpulse.sources import can_logs, signals, trigger_feed
 from roadpulse.streaming import run, speed
 
@@ -239,6 +242,36 @@ def data_log_rows(spark, sf_dir):
     return verdict.data_log_rows(_verdicts(spark, sf_dir))
 
 
+def _landed(spark, sf_dir):
+    """Triggers, their manifests, and the lines of the files that the manifests name."""
+    rows = _usage(spark, sf_dir, "first").select(
+        "vin", "timestamp", "usage_type", F.lit("T").alias("car_type"),
+        F.col("event_id").cast("string").alias("trigger_id"), F.lit("in").alias("threshold_log"),
+    )
+    listed = trigger_feed.select_can_file(fx.manifests(spark, sf_dir)).withColumn(
+        "timestamp", F.col("timestamp").cast("bigint"))
+    lines = fx.can_lines(spark, sf_dir).withColumn("file", F.expr(
+        "concat(if(cast(substring(file, 6) as bigint) % 4 = 0, 'a/', 'b/'), substring(file, 6))"))
+    # Every thirteenth file has not landed.
+    lines = lines.where("cast(substring(file, 3) as bigint) % 13 <> 0")
+    return verdict.attach_logs(rows, listed, lines)
+
+
+@query
+def verdict_from_manifests(spark, sf_dir):
+    lines, rows = _landed(spark, sf_dir)
+    judged = verdict.crash_verdict(rows, can_logs.parse_frames(lines), fx.signal_defs(spark))
+    return judged.select("vin", "timestamp", "trigger_id", "file", "is_crash", "crash_ts", "route")
+
+
+@query
+def verdict_missing(spark, sf_dir):
+    """Triggers without a verdict, by reason."""
+    lines, rows = _landed(spark, sf_dir)
+    status = can.file_status(can_logs.parse_frames(lines), fx.signal_defs(spark), WANTED)
+    return operations.drop_reasons(verdict.unjudged(rows, status))
+
+
 # --- operations --------------------------------------------------------------------------
 
 
@@ -268,6 +301,43 @@ def process_trail(spark, sf_dir):
     return operations.completed_trail(trails)
 
 
+@query
+def trail_from_ingest(spark, sf_dir):
+    """From the trigger feed to each trigger's trail: ingest, routes, a verdict by id, the write."""
+    taken = triggers.ingest(fx.trigger_pages(spark, sf_dir), fx.usage(spark, sf_dir))
+    routed = triggers.route_by_usage(taken)
+    judged = taken.withColumn("route", F.when(
+        F.col("timestamp") % 3 == 0, rules.WRITE_DB_QUEUE).otherwise(rules.FUSION_QUEUE))
+    written = judged.where(F.col("route") == rules.WRITE_DB_QUEUE)
+    trails = operations.process_trail(operations.step_events(taken, routed, judged, written))
+    return operations.completed_trail(trails)
+
+
+@query
+def route_messages(spark, sf_dir):
+    """Triggers written to their routes below the shared folder and read back, route by route."""
+    path = shared_dir(spark, "routes")
+    taken = triggers.ingest(fx.trigger_pages(spark, sf_dir), fx.usage(spark, sf_dir))
+    writers.write_routes(triggers.route_by_usage(taken), path)
+    waiting = [writers.read_route(spark, path, r) for r in sorted(set(rules.USAGE_ROUTES.values()))]
+    return functools.reduce(DataFrame.unionByName, waiting)
+
+
+@query
+def anomaly_files(spark, sf_dir):
+    """Speed anomalies as JSON lines from the second place, as the first fails, read back."""
+    path = shared_dir(spark, "anomaly-files")
+
+    def fails(batch, batch_id):
+        raise OSError("this place is down")
+
+    writers.two_tier(fails, writers.json_batches(path))(anomalies.speed_change(fx.speed_signals(spark, sf_dir)), 0)
+    fields = "vin string, sigTimestamp bigint, anomalyType string, severity string, thresholdValue double, additionalInfo string"
+    read = spark.read.text(path).select(F.from_json("value", fields).alias("m")).select("m.*")
+    return read.select("vin", F.col("sigTimestamp").alias("sig_ts"), F.col("anomalyType").alias("anomaly_type"), "severity",
+                       F.col("thresholdValue").alias("threshold"), F.col("additionalInfo").alias("additional_info"))
+
+
 @query
 def process_log_orphans(spark, sf_dir):
     return operations.process_log_orphans(fx.step_events(spark, sf_dir))

@@ -48,7 +48,7 @@ TRIGGER = T.StructType([
     T.StructField("car_type", T.StringType()),
     T.StructField("usage_type", T.StringType()),
     T.StructField("trigger_id", T.StringType()),
-    T.StructField("log_id", T.IntegerType()),
+    T.StructField("log_id", T.LongType()),
     T.StructField("threshold_log", T.StringType()),
     T.StructField("is_crash", T.IntegerType()),
 ])

@@ -120,9 +120,9 @@ def decode_triggers(messages: DataFrame) -> DataFrame:
     return messages.select("route", F.from_json("value", TRIGGER).alias("t")).select("route", "t.*")
 
 
-def write_routes(routed: DataFrame, path: str) -> None:
+def write_routes(routed: DataFrame, path: str, mode: str = "append") -> None:
     """Triggers as JSON lines, one folder per route."""
-    encode_triggers(routed).drop("vin").write.mode("append").partitionBy("route").text(path)
+    encode_triggers(routed).drop("vin").write.mode(mode).partitionBy("route").text(path)
 
 
 def read_route(spark, path: str, route: str) -> DataFrame:

@@ -61,11 +61,13 @@ def parse_messages(df: DataFrame, strict_fields: bool = False) -> DataFrame:
 
     All other columns of ``df`` are kept; a Kafka frame's partition and offset
     become ``seq``, unique in the topic and in order within a partition, where
-    all messages of a vehicle are until partitions are added. One row in, one row out, no shuffle, so it runs on streams as well.
+    all messages of a vehicle are until partitions are added (a frame without
+    ``partition`` has one). One row in, one row out, no shuffle, so it runs on streams as well.
     With ``strict_fields`` a message with an unknown field is rejected.
     """
     if "seq" not in df.columns:
-        df = df.withColumn("seq", F.expr(f"shiftleft(cast(partition as bigint), {OFFSET_BITS}) + offset"))
+        number = f"shiftleft(cast(partition as bigint), {OFFSET_BITS}) + offset" if "partition" in df.columns else "offset"
+        df = df.withColumn("seq", F.expr(number))
     keep = [c for c in df.columns if c != "value"]
     text = df.select(*keep, F.col("value").cast("string").alias("raw"))
     parsed = with_once(text, {"_m": F.from_json("raw", MESSAGE_SCHEMA, JSON_OPTIONS)})

@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from roadpulse.operators.triggers import ingest, route_by_usage
 from roadpulse.session import shared_dir
+from roadpulse.sinks.writers import write_routes
 
 # Checkpoint interval of the signal stream, polling interval of the trigger feed.
 CHECKPOINT_EVERY = "60 seconds"
@@ -44,6 +46,20 @@ def without_repeats(df: DataFrame, keys: Sequence[str] = ("vin", "seq")) -> Data
     return df.dropDuplicatesWithinWatermark(list(keys))
 
 
+def ingest_pages(
+    pages: DataFrame, usage: DataFrame, path: str, checkpoint: str, every: str | None = POLL_EVERY
+) -> StreamingQuery:
+    """Ingest the trigger pages that have landed, every five minutes, and put them on their routes below ``path``.
+
+    A batch has a folder of its own, which it overwrites when it is repeated.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_routes(route_by_usage(ingest(batch, usage)), f"{path}/batch_id={batch_id}", "overwrite")
+
+    return start(pages, write, checkpoint, every)
+
+
 def show(df: DataFrame, every: str = CHECKPOINT_EVERY) -> StreamingQuery:
     """Print a stream to the console, for debugging."""
     return df.writeStream.format("console").trigger(processingTime=every).start()

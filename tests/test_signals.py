@@ -143,3 +143,10 @@ def test_filter_valid(spark):
 def test_odd_vins(spark):
     df = spark.createDataFrame([("1HGCM82633A123456",), ("short",)], "vin string")
     assert [r.vin for r in signals.odd_vins(df).collect()] == ["short"]
+
+
+def test_arrival_is_partition_and_offset(spark):
+    text = '{"vin":"A","kafkaTimestamp":1,"sigTimestamp":2,"sig":{"sigName":"speed","value":1}}'
+    rows = spark.createDataFrame([(text, 0, 7), (text, 1, 7), (text, 1, 8)], "value string, partition int, offset bigint")
+    seqs = sorted(r.seq for r in signals.decode_signals(rows).collect())
+    assert seqs == [7, (1 << 48) + 7, (1 << 48) + 8]

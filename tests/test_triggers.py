@@ -123,3 +123,21 @@ def test_pages_as_a_stream(spark, tmp_path):
     (tmp_path / "in" / "p1.json").write_text(page(("A", "100", [9, 62, 1]), ("A", "12a", [1])))
     kept = triggers.label_records(trigger_feed.stream_pages(spark, str(tmp_path / "in"))).where("reason is null")
     assert [r.trigger_id for r in run.drain(kept, "t-pages").collect()] == ["62"]
+
+
+def test_timed_ingest_puts_pages_on_routes(spark, tmp_path):
+    from roadpulse.streaming import run
+
+    assert run.POLL_EVERY == "5 minutes"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p1.json").write_text(page(("A", "100", [9, 62, 1]), ("A", "12a", [1]), ("B", "7", [3])))
+    usage = usage_table(spark, [(3, "A", 50, "media")])
+    for _ in range(2):  # the second run finds no new page
+        pages = trigger_feed.stream_pages(spark, str(tmp_path / "in"))
+        query = run.ingest_pages(pages, usage, str(tmp_path / "q"), str(tmp_path / "check"), every=None)
+        query.awaitTermination()
+    waiting = {r: writers.read_route(spark, str(tmp_path / "q"), r).collect() for r in (rules.MEDIA_QUEUE, rules.PRODUCTION_QUEUE)}
+    assert [(r.vin, r.timestamp) for r in waiting[rules.MEDIA_QUEUE]] == [("A", 100)]
+    assert [(r.vin, r.timestamp) for r in waiting[rules.PRODUCTION_QUEUE]] == [("B", 7)]
+    ids = [r.log_id for rows in waiting.values() for r in rows]
+    assert len(set(ids)) == 2 and all(i > 0 for i in ids)
