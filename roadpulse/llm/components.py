@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import saved
+from roadpulse.session import discard, shared_dir
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,8 +16,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round is written to the shared folder; minima are combined before the shuffle, and a node of many
     edges is a large key of a join that Spark can split.
     """
-    now = saved(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(),
-                "components")
+    spark = edges.sparkSession
+    paths = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        """Written, with the round before the last one gone."""
+        paths.append(shared_dir(spark, "components"))
+        df.write.parquet(paths[-1])
+        if len(paths) > 2:
+            discard(spark, paths.pop(0))
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    now = kept(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct())
     seen = _mark(now)
     while seen[0]:
         both = now.union(now.select(F.col("lo"), F.col("hi"))).toDF("u", "v")
@@ -27,7 +37,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(floor, "hi").select(
             F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")),
                               F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        now = saved(small.select("e.*").where("hi <> lo").distinct(), "components")
+        now = kept(small.select("e.*").where("hi <> lo").distinct())
         before, seen = seen, _mark(now)
         if before == seen:
             break

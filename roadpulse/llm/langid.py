@@ -32,7 +32,7 @@ SAMPLE = 600
 LONGEST = 20_000
 KEEP = 400_000  # words a task remembers
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numbers such as superscripts
 
 
 @dataclass
@@ -51,6 +51,10 @@ class Model:
     escape: list[np.ndarray]
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def _packed(grams: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(g, "big") for g in grams], np.int64)
 
@@ -205,7 +209,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         words = _Words(model)
         for batch in slices(batches, text):
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            fit = np.array([bool(model.languages and _LETTER.search(t)) for t in texts], bool)
+            fit = np.array([bool(model.languages) and has_letter(t) for t in texts], bool)
             best, score = np.zeros(len(texts), int), np.zeros(len(texts))
             if fit.any():
                 bits = words.of([t.encode() for t, f in zip(texts, fit) if f])

@@ -58,6 +58,10 @@ def test_code_lengths_are_the_defined_ones():
     assert got == pytest.approx(np.array([[plain_bits(counts[n], w, 3) for n in "ab"] for w in words]))
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in ("", "12 ²½Ⅷ_٣", "²a", "中", "ǅ", "!ß")] == [False, False, True, True, True, True]
+
+
 def test_language_rows(spark):
     rows = [(i, "the cat sat on the mat " * 3, "en", 0) for i in range(5)] + [(9, "le chat est sur le tapis " * 3, "fr", 0)]
     rows += [(20, None, "en", 1), (21, "", "fr", 1), (22, "12 34 !!", None, 1), (23, "chat " * 100_000, None, 1), (23, "the", None, 1)]
