@@ -90,7 +90,7 @@ def exact_by_slot(
     tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS),
     retention_ms: int = rules.SPEED_RETENTION_MS,
     slot_ms: int = 4_000,
-    groups: int = 1_024,
+    groups: int = 256,
     idle_ms: int = 3_600_000,
     part_rows: int = 300_000,
 ) -> DataFrame:
