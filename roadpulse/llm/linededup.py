@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import slices, texts_of
+from roadpulse.llm.common import ddl, saved, slices, texts_of
 from roadpulse.llm.cuckoo import CuckooFilter, Full
 from roadpulse.session import shared_dir
 
@@ -203,12 +203,14 @@ class LineStore:
         n_lines or n_dropped are replaced. Repeated rows each come out.
         """
         asked = self.maybe_frequent(self._keys(docs, text, doc))
-        drops = asked.join(self.frequent().select("key", "keeper"), "key").where("doc_id <> keeper").groupBy(
+        # Written first: as a table of its own it leaves a key that many documents hold to be split in the join.
+        frequent = saved(self.frequent().select("key", "keeper"), "line-frequent")
+        drops = asked.join(frequent, "key").where("doc_id <> keeper").groupBy(
             F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_drops"))
         docs = docs.drop("n_lines", "n_dropped", "_doc", "_drops")
         joined = docs.join(drops, F.col(doc).cast("long") == F.col("_doc"), "left").drop("_doc")
-        fields = [f for f in docs.schema.fields]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines long, n_dropped long"
+        fields = docs.schema.fields
+        schema = f"{ddl(docs)}, n_lines long, n_dropped long"
         shortest = self.shortest
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
