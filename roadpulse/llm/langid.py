@@ -30,7 +30,7 @@ from roadpulse.llm.common import bounded_sample, ddl, slices
 ORDER = 4
 SAMPLE = 600
 LONGEST = 20_000
-KEEP = 400_000  # words a task remembers
+KEEP = 200_000  # words a task remembers
 UNKNOWN = "und"
 _WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numbers such as superscripts
 

@@ -14,6 +14,7 @@ meets the exact counts; so a line is dropped by an exact count, never by a filte
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,18 +73,33 @@ class LineStore:
         names = [f.getPath().getName() for f in files.listStatus(hadoop)]
         return max([int(n.split("=")[1]) for n in names if n.startswith(f"{number}=")], default=0)
 
-    def _keys(self, docs: DataFrame, text: str, doc: str) -> DataFrame:
-        """doc_id and its distinct line keys."""
-        shortest = self.shortest
+    def _keys(self, docs: DataFrame, text: str, doc: str, filters: dict[int, bytes] | None = None) -> DataFrame:
+        """(doc_id, key) for the distinct line keys of each row, or for those that ``filters`` let through."""
+        shortest, shards = self.shortest, self.shards
+        sent = None if filters is None else self.spark.sparkContext.broadcast(filters)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None if sent is None else {s: CuckooFilter.read(b) for s, b in sent.value.items()}
             for batch in slices(batches):
-                made = [list({k for line in t.encode().split(b"\n") if (k := line_key(line, shortest))})
+                keys = [list({k for line in t.encode().split(b"\n") if (k := line_key(line, shortest))})
                         for t in texts_of(batch)]
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "keys": pa.array(made, pa.list_(pa.binary()))})
+                rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                flat = list(itertools.chain.from_iterable(keys))
+                if held is not None and flat:
+                    halves = _halves(flat)
+                    shard = (halves[:, 1] & np.uint64(0xFFFF)).astype(np.int64) % shards
+                    passed = np.zeros(len(flat), bool)
+                    for s in np.unique(shard).tolist():
+                        if s in held:
+                            at = np.flatnonzero(shard == s)
+                            passed[at] = held[s].holds(halves[at])
+                    rows, flat = rows[passed], [flat[i] for i in np.flatnonzero(passed).tolist()]
+                if flat:
+                    yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(rows)),
+                                           "key": pa.array(flat, pa.binary())})
 
         rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        return rows.where("doc_id is not null").mapInArrow(run, "doc_id long, keys array<binary>").where("size(keys) > 0")
+        return rows.where("doc_id is not null").mapInArrow(run, "doc_id long, key binary")
 
     def refs(self) -> DataFrame:
         if not self.batch:
@@ -100,8 +116,7 @@ class LineStore:
         return self.counts(refs).where(F.col("n_docs") >= self.min_docs)
 
     def insert(self, docs: DataFrame, text: str = "text", doc: str = "doc_id") -> None:
-        new = self._keys(docs, text, doc).select(F.explode("keys").alias("key"), "doc_id", F.lit(1).alias("change"))
-        self._add(new)
+        self._add(self._keys(docs, text, doc).select("key", "doc_id", F.lit(1).alias("change")))
 
     def delete(self, ids: DataFrame, doc: str = "doc_id") -> None:
         """Take documents out again. Ids that are not in the store change nothing."""
@@ -169,32 +184,13 @@ class LineStore:
         done.where("held is not null").union(rebuilt).coalesce(8).write.mode("overwrite").parquet(target)
         self.version += 1
 
-    def maybe_frequent(self, keys: DataFrame) -> DataFrame:
-        """(key, doc_id) rows that the filters let through."""
-        filters, shards = self.filters(), self.shards
+    def maybe_frequent(self, docs: DataFrame, text: str, doc: str) -> DataFrame:
+        """(doc_id, key) rows that the filters let through; all rows, if the filters are too large to send."""
+        filters = self.filters()
         size = filters.agg(F.coalesce(F.sum(F.octet_length("held")), F.lit(0))).first()[0]
-        flat = "doc_id long, key binary"
         if size > MOST_FILTER_BYTES:
-            return keys.select("doc_id", F.explode("keys").alias("key"))
-        held = self.spark.sparkContext.broadcast({r.shard: bytes(r.held) for r in filters.collect()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine = {s: CuckooFilter.read(b) for s, b in held.value.items()}
-            for batch in batches:
-                lists = batch.column("keys")
-                flat = lists.flatten().to_pylist()
-                halves = _halves(flat)
-                shard = (halves[:, 1] & np.uint64(0xFFFF)).astype(np.int64) % shards
-                passed = np.zeros(len(flat), bool)
-                for s in np.unique(shard).tolist():
-                    if s in mine:
-                        rows = np.flatnonzero(shard == s)
-                        passed[rows] = mine[s].holds(halves[rows])
-                docs = np.repeat(np.arange(batch.num_rows), [len(k) for k in lists.to_pylist()])[passed]
-                yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(docs)),
-                                       "key": pa.array([flat[i] for i in np.flatnonzero(passed).tolist()], pa.binary())})
-
-        return keys.mapInArrow(run, flat)
+            return self._keys(docs, text, doc)
+        return self._keys(docs, text, doc, {r.shard: bytes(r.held) for r in filters.collect()})
 
     def apply(self, docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
         """``docs`` with the dropped lines gone from ``text``, and n_lines, n_dropped added.
@@ -202,7 +198,7 @@ class LineStore:
         A null text becomes the empty text: one empty line. Other columns stay; columns named
         n_lines or n_dropped are replaced. Repeated rows each come out.
         """
-        asked = self.maybe_frequent(self._keys(docs, text, doc))
+        asked = self.maybe_frequent(docs, text, doc)
         # Written first: as a table of its own it leaves a key that many documents hold to be split in the join.
         frequent = saved(self.frequent().select("key", "keeper"), "line-frequent")
         drops = asked.join(frequent, "key").where("doc_id <> keeper").groupBy(
