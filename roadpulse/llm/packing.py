@@ -11,27 +11,66 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.common import slices, texts_of
-from roadpulse.llm.vocab import Coder, tokenizer
+from roadpulse.llm.vocab import LONG, SAFE, Coder, load, tokenizer
 
 FULL = 2048
+KEEP = 150_000  # chunks a task remembers
 END = 1  # the id put after each document
+# The pattern that splits text before the merges: a fixed value of the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@functools.cache
+def _ranked(path: str):
+    """The same vocabulary in a second library, which is faster on plain text, and the bytes of each token.
+
+    None if ids are not in the order of the merges, on which that library rests.
+    """
+    import tiktoken
+
+    model = load(path)
+    made = [m for _, _, m in model["merges"]]
+    if made != sorted(made) or (made and max(model["byte_ids"]) > made[0]):
+        return None, None
+    ranks = {model["tokens"][i]: i for i in [*model["byte_ids"], *made]}
+    size = np.array([len(t) for t in model["tokens"]])
+    return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
 
 
 @functools.cache
 def coder(path: str) -> Coder:
-    """The tokenizer library's ids, asked once per chunk of text."""
+    """Ids of the tokenizer library, each chunk of text worked out once.
+
+    Chunks after a blank that end in no white space, of characters on which both libraries agree,
+    are joined for the faster one: no token runs over their borders.
+    """
     made = tokenizer(path)
+    fast, size = _ranked(path)
 
     def encode(chunks):
-        found = made.encode_batch_fast(chunks, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
-
-    return Coder(path, encode)
+        ids = [b""] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if fast and len(c) <= LONG and c[0] == " " and not c[-1].isspace()
+                 and not c[1:2].isspace() and SAFE(c)]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at:at + 20_000]
+            found = np.array(fast.encode_ordinary("".join([chunks[i] for i in part])), "<u4")
+            ends = np.cumsum([len(chunks[i].encode()) for i in part])
+            cuts = (4 * (np.searchsorted(np.cumsum(size[found]), ends) + 1)).tolist()
+            packed = found.tobytes()
+            for i, start, end in zip(part, [0, *cuts], cuts):
+                ids[i] = packed[start:end]
+        rest = sorted(set(range(len(chunks))).difference(plain))
+        for i, e in zip(rest, made.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, "<u4").tobytes()
+        return ids
+
+    return Coder(path, encode, KEEP)
 
 
 def pieces(tokens: int, full: int = FULL) -> list[tuple[int, int]]:
@@ -72,6 +111,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc: str = "doc_id", fu
                 "ids": pa.array([ids[r][4 * s:4 * (s + n)] for r, s, n in cuts], pa.binary()),
                 "doc_tokens": pa.array([len(ids[c[0]]) // 4 for c in cuts], pa.int64()),
             })
+        made.forget()
 
     cut = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long")

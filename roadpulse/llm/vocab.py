@@ -101,10 +101,14 @@ class Coder:
         longest_first = sorted(special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if special else None
 
+    def forget(self) -> None:
+        """Empty the memory, so that a worker at rest holds none."""
+        self.memory = dict(self.always)
+
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self.memory) > self.keep:
-            self.memory = dict(self.always)
+            self.forget()
         memory = self.memory
         plans = [self._plan(t) for t in texts]
         missing = [k for k in set(itertools.chain.from_iterable(plans)) if k not in memory]
