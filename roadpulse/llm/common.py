@@ -51,18 +51,23 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def bounded_sample(df: DataFrame, rows: int, by: Column, group: str | None = None) -> DataFrame:
-    """At most ``rows`` rows (of each value of ``group``), those with the smallest hash ``by``.
+def bounded_sample(df: DataFrame, rows: int, by: Column, group: str | None = None, groups: int = 256) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash ``by``; of each of the ``groups`` most frequent values of ``group``, if given.
 
-    A first cut by hash keeps about twice as many, so that only those are sorted, whatever the table holds.
+    The counts come to the driver first, at most ``groups`` of them. Then a first cut by hash, which is a filter of the
+    scan, keeps about twice as many rows, so that only those move and are sorted, whatever the table holds.
     """
-    keyed = df.withColumn("_h", by)
     keys = [group] if group else []
-    counts = keyed.groupBy(*keys).agg((F.lit(2.0 * rows) / F.count("*")).alias("_share"))
-    near = keyed.join(counts, keys) if group else keyed.crossJoin(F.broadcast(counts))  # one row
-    near = near.where(F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("_share"))
-    place = F.row_number().over(Window.partitionBy(*keys, F.lit(0)).orderBy("_h"))
-    return near.withColumn("_place", place).where(F.col("_place") <= rows).drop("_h", "_share", "_place")
+    counted = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 0").orderBy(F.desc("n"), *keys).limit(groups).collect()
+    if not counted:
+        return df.limit(0)
+    shares = [F.lit(2.0 * rows / r["n"]) for r in counted]
+    share = shares[0]
+    if group:
+        share = F.create_map(*[c for r, s in zip(counted, shares) for c in (F.lit(r[group]), s)])[F.col(group)]
+    near = df.withColumn("_h", by).where(F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    place = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_h"))
+    return near.withColumn("_place", place).where(F.col("_place") <= rows).drop("_h", "_place")
 
 
 def ddl(df: DataFrame) -> str:
