@@ -51,23 +51,28 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def bounded_sample(df: DataFrame, rows: int, by: Column, group: str | None = None, groups: int = 256) -> DataFrame:
-    """At most ``rows`` rows, those with the smallest hash ``by``; of each of the ``groups`` most frequent values of ``group``, if given.
+def bounded_sample(df: DataFrame, rows: int, by: Column, group: str | None = None, prefer: Column | None = None) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash ``by``; of each value of ``group``, null apart, if given.
 
-    The counts come to the driver first, at most ``groups`` of them. Then a first cut by hash, which is a filter of the
-    scan, keeps about twice as many rows, so that only those move and are sorted, whatever the table holds.
+    A group with rows where ``prefer`` holds gives only those. The counts come first. Then a first cut by hash, which
+    is a filter of the scan, keeps about twice as many rows, so that only those move and are sorted, whatever the table
+    holds. The counts of the groups go to the tasks, a row for each.
     """
-    keys = [group] if group else []
-    counted = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 0").orderBy(F.desc("n"), *keys).limit(groups).collect()
-    if not counted:
-        return df.limit(0)
-    shares = [F.lit(2.0 * rows / r["n"]) for r in counted]
-    share = shares[0]
+    hashed = df.withColumn("_h", by).withColumn("_prefer", F.lit(True) if prefer is None else F.coalesce(prefer, F.lit(False)))
+    n = [F.count_if("_prefer").alias("_liked"), F.count("*").alias("_all")]
     if group:
-        share = F.create_map(*[c for r, s in zip(counted, shares) for c in (F.lit(r[group]), s)])[F.col(group)]
-    near = df.withColumn("_h", by).where(F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
-    place = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_h"))
-    return near.withColumn("_place", place).where(F.col("_place") <= rows).drop("_h", "_place")
+        counted = hashed.groupBy(F.col(group).alias("_group")).agg(*n)
+        hashed = hashed.join(F.broadcast(counted), F.col(group) == F.col("_group"))
+    else:
+        liked, total = hashed.agg(*n).first()
+        if not total:
+            return df.limit(0)
+        hashed = hashed.withColumns({"_liked": F.lit(liked), "_all": F.lit(total)})
+    share = 2.0 * rows / F.when(F.col("_liked") > 0, F.col("_liked")).otherwise(F.col("_all"))
+    near = hashed.where((F.col("_prefer") | (F.col("_liked") == 0)) & (
+        F.pmod("_h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share))
+    place = F.row_number().over(Window.partitionBy(F.col(group) if group else F.lit(0)).orderBy("_h"))
+    return near.withColumn("_place", place).where(F.col("_place") <= rows).select(*df.columns)
 
 
 def ddl(df: DataFrame) -> str:
