@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import bpe, forest, langid, linededup, packing, pii, quality, rules, sharding, simhash
-from roadpulse.llm.common import documents
+from roadpulse.llm import bpe, forest, langid, linededup, merkle, packing, pii, quality, rules, sharding, simhash
+from roadpulse.llm.common import ascii_lower, documents
 
 
 def vocabulary() -> str:
@@ -80,11 +80,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's crc32 is divisible by 5 are tampered with: A-Z of their text lower-cased."""
+    docs = documents(spark, sf_dir)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    fields = [ascii_lower(F.col(f)) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    found = merkle.manifest(docs, carried={"_given": F.when(tampered, merkle.leaf_of(fields))})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("_given", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 # Each shard's name; the table has over 500 slots for each.
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 REGISTRY = {f.__name__: f for f in (
-    op1_forest, op2_bpe, op3_simhash, op4_pii, op5_quality, op6_rules, op7_sharding, op8_langid, op9_linededup, op10_packing)}
+    op1_forest, op2_bpe, op3_simhash, op4_pii, op5_quality, op6_rules, op7_sharding, op8_langid, op9_linededup, op10_packing,
+    op11_merkle)}
 
 # The SQL twin writes the rule out anew: lines, keys, the documents that hold a key, the largest of them.
 ORACLE: dict[str, str] = {
@@ -107,3 +119,68 @@ select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped
        sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not dropped), '')) as kept_sha256
 from judged group by doc_id""",
 }
+
+
+# The tree level by level, written out for up to 16 ** 6 rows of a source and as many sources. SQL here has no crc32.
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda state, byte: list_reduce(list_prepend(xor(state, byte), range(8)),
+    lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295)"""
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree(name: str, leaves: str, levels: int = 6) -> str:
+    """CTEs ``{name}0`` to ``{name}{levels}`` of (tree, place, n, digest, sib_left, sib_right)."""
+    ctes = []
+    for level in range(levels + 1):
+        rows = leaves if level == 0 else f"""
+  select tree, place // 16 as place, (n + 15) // 16 as n, sha256(string_agg(digest, '' order by place)) as digest
+  from {name}{level - 1} where n > 1 group by all"""
+        ctes.append(f"""{name}{level} as (
+  select *, coalesce(string_agg(digest, '') over (run rows between unbounded preceding and 1 preceding), '') as sib_left,
+    coalesce(string_agg(digest, '') over (run rows between 1 following and unbounded following), '') as sib_right
+  from ({rows}) window run as (partition by tree, place // 16 order by place))""")
+    return ",\n".join(ctes)
+
+
+def _top(name: str, levels: int = 6) -> str:
+    return " union all ".join(f"select tree, digest from {name}{level} where n = 1" for level in range(levels + 1))
+
+
+def _climb(levels: int = 6) -> str:
+    """From each leaf up, level by level: what it is hashed to (here), and the siblings met."""
+    steps, last = [], "start"
+    for tree in ("low", "high"):
+        for level in range(levels):
+            joined = f"{tree}{level} t on t.tree = s.{tree}_tree and t.place = s.{tree}_place // {16 ** level} and t.n > 1"
+            steps.append(f"""up_{tree}{level} as (
+  select s.* exclude (here, met),
+    case when t.tree is null then here else sha256(sib_left || here || sib_right) end as here,
+    met || coalesce(sib_left || sib_right, '') as met
+  from {last} s left join {joined})""")
+            last = f"up_{tree}{level}"
+    return ",\n".join(steps) + f",\nclimbed as (select * from {last})"
+
+
+ORACLE["op11_merkle"] = f"""
+with hashed as (
+  select doc_id, coalesce('=' || source, '-') as tree, {_LEAF.format(text="text")} as digest,
+    case when {_CRC} % 5 = 0 then {_LEAF.format(text=_LOWER)} end as given
+  from documents),
+leaves as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as place,
+    count(*) over (partition by tree) as n from hashed),
+{_tree("low", "select tree, place, n, digest from leaves")},
+tops as (
+  select tree, digest, row_number() over (order by tree) - 1 as place, count(*) over () as n from ({_top("low")})),
+{_tree("high", "select 'all' as tree, place, n, digest from tops")},
+root as ({_top("high")}),
+start as (
+  select l.doc_id, l.digest as leaf, t.digest as subroot, l.tree as low_tree, l.place as low_place,
+    'all' as high_tree, t.place as high_place, coalesce(l.given, l.digest) as here, '' as met
+  from leaves l join tops t using (tree)),
+{_climb()}
+select doc_id, leaf, subroot, root.digest as root, sha256(met) as proof_sha256, here as folded_root,
+  here = root.digest as verified
+from climbed, root"""
