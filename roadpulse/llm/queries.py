@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import bpe, forest, langid, linededup, merkle, packing, pii, quality, rules, sharding, simhash
+from roadpulse.llm import bpe, divergence, forest, langid, linededup, merkle, packing, pii, quality, rules, sharding, simhash
 from roadpulse.llm.common import ascii_lower, documents
 
 
@@ -91,12 +91,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir).select("lang", "source", "text"))
+
+
 # Each shard's name; the table has over 500 slots for each.
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 REGISTRY = {f.__name__: f for f in (
     op1_forest, op2_bpe, op3_simhash, op4_pii, op5_quality, op6_rules, op7_sharding, op8_langid, op9_linededup, op10_packing,
-    op11_merkle)}
+    op11_merkle, op13_divergence)}
 
 # The SQL twin writes the rule out anew: lines, keys, the documents that hold a key, the largest of them.
 ORACLE: dict[str, str] = {
@@ -184,3 +188,37 @@ start as (
 select doc_id, leaf, subroot, root.digest as root, sha256(met) as proof_sha256, here as folded_root,
   here = root.digest as verified
 from climbed, root"""
+
+# The stripes as plain counts, all groups against all kept terms.
+ORACLE["op13_divergence"] = f"""
+with docs as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    coalesce({_LOWER}, '') as plain from documents),
+words as (
+  select row, lang, source, unnest(regexp_extract_all(plain, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from docs),
+kept as (select lang, term from words group by all having count(distinct row) >= 30),
+used as (select lang, source, term, count(*) as c from words join kept using (lang, term) group by all),
+lang_used as (select lang, term, sum(c)::bigint as c from used group by all),
+langs as (
+  select lang, (select count(*) from kept k where k.lang = l.lang) as v,
+    (select coalesce(sum(c), 0)::bigint from lang_used u where u.lang = l.lang) as n
+  from (select distinct lang from docs) l),
+groups as (
+  select lang, source, (select coalesce(sum(c), 0)::bigint from used u where u.lang = g.lang and u.source = g.source) as n
+  from (select distinct lang, source from docs) g),
+shares as (
+  select g.lang, g.source, k.term, coalesce(u.c, 0) as c,
+    1 + (1000000000 * (coalesce(u.c, 0) + 5)::hugeint) // (g.n + 5 * l.v) as p,
+    1 + (1000000000 * (a.c + 5)::hugeint) // (l.n + 5 * l.v) as q
+  from groups g join langs l using (lang) join kept k using (lang) join lang_used a on a.lang = k.lang and a.term = k.term
+    left join used u on u.lang = g.lang and u.source = g.source and u.term = k.term),
+pairs as (
+  select g.lang, g.source, 'pair' as part, h.source as item, coalesce(sum(abs(a.p - b.p)), 0)::bigint as value
+  from groups g join groups h on g.lang = h.lang and g.source <> h.source
+    left join shares a on a.lang = g.lang and a.source = g.source
+    left join shares b on b.lang = h.lang and b.source = h.source and b.term = a.term
+  where a.term is null or b.term is not null group by all),
+terms as (
+  select lang, source, 'term' as part, term as item, (p - q)::bigint as value from shares where c > 0 and p > q)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+from (from pairs union all from terms) qualify part = 'pair' or rank <= 50"""
