@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import bpe, divergence, forest, langid, linededup, merkle, packing, pii, quality, rules, sharding, simhash
+from roadpulse.llm import bpe, divergence, forest, langid, linededup, merkle, packing, phrases, pii, quality, rules, sharding, simhash
 from roadpulse.llm.common import ascii_lower, documents
 
 
@@ -91,6 +91,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare_next(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir).select("lang", "source", "text"))
 
@@ -100,7 +104,7 @@ SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 REGISTRY = {f.__name__: f for f in (
     op1_forest, op2_bpe, op3_simhash, op4_pii, op5_quality, op6_rules, op7_sharding, op8_langid, op9_linededup, op10_packing,
-    op11_merkle, op13_divergence)}
+    op11_merkle, op12_phrases, op13_divergence)}
 
 # The SQL twin writes the rule out anew: lines, keys, the documents that hold a key, the largest of them.
 ORACLE: dict[str, str] = {
