@@ -1,11 +1,11 @@
-"""From documents to packed sequences: five stages, each by the training-text folder."""
+"""From documents to packed sequences: five stages, each one operator of the training-text folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import langid, linededup, nearcopies, packing, pii
+from roadpulse.llm import langid, linededup, packing, pii, simhash
 from roadpulse.llm.common import saved
 from roadpulse.llm.queries import vocabulary
 
@@ -30,12 +30,18 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id, once.
+    """Of each group of near duplicates (three-word shingles, at most two differing bits) the row with the smallest doc_id, once.
 
-    Rows without doc_id all stay.
+    Rows that share a doc_id are judged by their own texts. Rows without doc_id all stay.
     """
-    kept = nearcopies.first_of_each(docs.where("doc_id is not null"))
-    return kept.union(docs.where("doc_id is null"))
+    row = F.struct("doc_id", F.xxhash64("text").alias("_of_text"))
+    named = docs.where("doc_id is not null")
+    groups = simhash.near_duplicates(named.select(row.alias("row"), "text"), doc="row")
+    first = groups.where("doc_id = component_id").select("doc_id.doc_id", "doc_id._of_text").distinct()
+    keys = ["_id", "_of_text"]
+    rows = named.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_of_text"))
+    kept = rows.join(first.toDF(*keys), keys, "left_semi").dropDuplicates(keys)
+    return kept.select("_row.*").union(docs.where("doc_id is null"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ STAGES = [
     ("personal data", without_personal_data),
     ("packing", packed),
 ]
-# The language model, the near copies' components and the token ids have no SQL form; tests hold the
+# The language model, the fingerprints' components and the token ids have no SQL form; tests hold the
 # result against brute force instead.
 ORACLE_SQL = None
 
