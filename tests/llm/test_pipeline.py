@@ -87,3 +87,11 @@ def test_rows(spark):
             assert (3, text) in out and out.count((3, text)) == 1 and not any(d == 4 for d, _ in out)
             assert (None, text + " with [EMAIL]") in out and not any(d in (1, 2) for d, _ in out)
         corpus_pipeline.STAGES[-1][1](spark, now, SF_DIR).count()
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    copied, unique = "the cat and the dog and the hat are here today", "nothing like it was ever seen before in this town"
+    rows = [(3, copied, "a"), (5, copied, "b"), (5, unique, "c"), (5, unique, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_of_text` string")
+    got = dict(corpus_pipeline.STAGES)["near duplicates"](spark, df, SF_DIR)
+    assert sorted(map(tuple, got.collect())) == [(3, copied, "a"), (5, unique, "c")]
