@@ -65,8 +65,11 @@ def _search_parts(rows, ts, seq, speed, judged, tiers, part_rows, tier_of, prev)
                 open_ = open_[prev[open_] < 0]
 
 
-def over_sorted(batches: Iterator[pa.RecordBatch], tiers, part_rows: int) -> Iterator[pa.RecordBatch]:
-    """Hits of rows sorted by (vin, bucket); the last group of a batch may go on in the next."""
+def over_sorted(batches: Iterator[pa.RecordBatch], tiers, part_rows: int, by_time: bool = False) -> Iterator[pa.RecordBatch]:
+    """Hits of rows sorted by (vin, bucket); the last group of a batch may go on in the next.
+
+    ``by_time`` takes the rows in order of their times, arrival telling only between equal ones.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -77,11 +80,11 @@ def over_sorted(batches: Iterator[pa.RecordBatch], tiers, part_rows: int) -> Ite
         table = pa.Table.from_batches(held).combine_chunks()
         group = _groups(table)
         end = int(np.searchsorted(group, group[-1]))
-        yield from _hits(table.slice(0, end), group[:end], tiers, part_rows)
+        yield from _hits(table.slice(0, end), group[:end], tiers, part_rows, by_time)
         held = table.slice(end).combine_chunks().to_batches()
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
-        yield from _hits(table, _groups(table), tiers, part_rows)
+        yield from _hits(table, _groups(table), tiers, part_rows, by_time)
 
 
 def _key(batch: pa.RecordBatch, row: int) -> tuple:
@@ -96,12 +99,16 @@ def _groups(table: pa.Table) -> np.ndarray:
     return np.cumsum(np.r_[0, (vin[1:] != vin[:-1]) | (bucket[1:] != bucket[:-1])])
 
 
-def _hits(table: pa.Table, group: np.ndarray, tiers, part_rows: int) -> Iterator[pa.RecordBatch]:
+def _hits(table: pa.Table, group: np.ndarray, tiers, part_rows: int, by_time: bool) -> Iterator[pa.RecordBatch]:
     if not len(group):
         return
     ts, seq = table.column("sig_ts").to_numpy(), table.column("seq").to_numpy()
     speed, owner = table.column("speed").to_numpy(), table.column("owner").to_numpy(zero_copy_only=False)
-    rows, tier, prev = first_hits(group, ts, seq, speed, owner, tiers, part_rows)
+    place = seq
+    if by_time:
+        place = np.empty(len(seq), np.int64)
+        place[np.lexsort((seq, ts))] = np.arange(len(seq))
+    rows, tier, prev = first_hits(group, ts, place, speed, owner, tiers, part_rows)
     if not len(rows):
         return
     found = table.select(["vin", "kafka_ts", "sig_ts", "seq", "sig_name", "speed"]).take(pa.array(rows))

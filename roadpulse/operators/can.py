@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.functions.bits import CUT_PLAN, raw_value
+from roadpulse.functions.bits import ORDERED_PLAN, raw_value, turned
 from roadpulse.functions.once import with_once
 from roadpulse.rules import CROSSING_TEXT, ThresholdRule
 from roadpulse.sources.can_logs import error_code, error_name
@@ -23,13 +23,16 @@ def message_table(defs: DataFrame, wanted: Sequence[str]) -> DataFrame:
     (null where the message lacks it).
 
     ``defs`` has one row per signal. Its column ``position`` numbers the message
-    definitions: of several for one id the first counts.
+    definitions: of several for one id the first counts. ``byte_order`` is "sequential" (also if
+    the column is missing), "little" or "big", see ``functions.bits``.
     """
+    if "byte_order" not in defs.columns:
+        defs = defs.withColumn("byte_order", F.lit("sequential"))
     if "position" not in defs.columns:
         raise ValueError("signal definitions need a position, by which the first of an id is known")
     names = [f"d{i}" for i in range(len(wanted))]
     messages = (
-        defs.selectExpr("*", f"named_struct('cut', {CUT_PLAN}, 'factor', factor, 'offset', offset) as plan")
+        defs.selectExpr("*", f"named_struct('cut', {ORDERED_PLAN}, 'factor', factor, 'offset', offset) as plan")
         .groupBy("message_id", "position")
         .agg(*[
             F.min_by("plan", F.when(F.col("name") == name, F.col("start_bit"))).alias(d)
@@ -57,9 +60,10 @@ def read_values(frames: DataFrame, defs: DataFrame, wanted: Sequence[str]) -> Da
           when known is null then {error_code("unknown_id")}
           when greatest(0, 0, {ends}) > length(payload) * 4 then {error_code("signal_range")} end""",
         "_any": " or ".join(f"{p} is not null" for p in plans),
+        "_turned": f"if({' or '.join(f'coalesce({p}.cut.turned, false)' for p in plans)}, {turned('payload')}, null)",
     }).withColumn("useful", F.expr("coalesce(error is null and ts <> 0 and _any, false)"))
     values = {
-        v: f"if(useful, {raw_value('payload', p + '.cut')} * {p}.factor + {p}.offset, null)"
+        v: f"if(useful, {raw_value(f'if({p}.cut.turned, _turned, payload)', p + '.cut')} * {p}.factor + {p}.offset, null)"
         for v, p in zip(_value_columns(wanted), plans)
     }
     keep = [c for c in frames.columns if c not in ("line", "payload", "can_id", "error")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.once import with_once
@@ -20,21 +20,22 @@ def error_name(code: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all log files below ``path`` as (file, line_no, line).
+    """Lines of all log files below ``path`` as (file, line_no, line), numbered from 1 within each file.
 
-    ``line_no`` orders the lines of a file and is no count. Its upper bits are
-    the MiB at which the block starts, its lower 33 bits the row within the
-    scan task, which reads the rows of a block in order. So large files stay
-    splittable and no file has to fit in one row. Splits must not be set smaller
-    than 1 MiB.
+    Large files stay splittable and no file has to fit in one row: a scan task reads the lines of a block in order, so
+    a line's number is the count of lines in the blocks before its own, plus its place in the block. The counts, a row per
+    block, come from a first scan that takes no text out of the tasks; lines themselves are not moved unless there are too
+    many blocks for Spark to send to all tasks.
     """
-    block = F.call_function("shiftright", F.col("_metadata.file_block_start"), F.lit(20))
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.shiftleft(block, 33).bitwiseOR(row).alias("line_no"),
-        F.col("value").alias("line"),
-    )
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy(F.col("file").alias("_file"), F.col("_start").alias("_block")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"),
+    ).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    met = lines.join(blocks, (F.col("file") == F.col("_file")) & (F.col("_start") == F.col("_block")))
+    return met.select("file", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("line_no"), "line")
 
 
 def parse_frames(lines: DataFrame, line: str = "line") -> DataFrame:

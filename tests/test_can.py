@@ -175,7 +175,7 @@ def test_lines_of_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     for _, part in rows.groupby("file"):
         assert part.ts.tolist() == list(range(60_000))
-        assert part.line_no.is_unique
+        assert part.line_no.tolist() == list(range(1, 60_001))
 
 
 def test_first_definition_of_an_id_wins_when_read_from_a_table(spark, tmp_path):
@@ -186,3 +186,48 @@ def test_first_definition_of_an_id_wins_when_read_from_a_table(spark, tmp_path):
     assert [(r.signal, r.value) for r in decoded] == [("a", 10.0)]
     with pytest.raises(ValueError):
         can.message_table(defs.drop("position"), ["a"])
+
+
+def test_numbers_count_blank_lines_and_start_anew_in_each_file(spark, tmp_path):
+    (tmp_path / "a.log").write_text("\n(1) can0 1F4#00\n\n\n(2) can0 1F4#00\n")
+    (tmp_path / "b.log").write_text("(3) can0 1F4#00")
+    (tmp_path / "c.log").write_text("")
+    rows = can_logs.parse_frames(can_logs.read_lines(spark, str(tmp_path))).collect()
+    assert sorted((r.file[-5:], r.line_no, r.ts) for r in rows) == [("a.log", 2, 1), ("a.log", 5, 2), ("b.log", 1, 3)]
+
+
+def encoded(n_bytes: int, order: str, start: int, size: int, value: int) -> bytes:
+    """A payload of zeros with the signal's bits set one by one."""
+    data = bytearray(n_bytes)
+    for i in range(size):  # from the low bit up
+        if order == "little":
+            byte, bit = divmod(start + i, 8)
+        else:  # the top bit is at ``start``; lower ones follow downwards and in the next bytes
+            at = start // 8 * 8 + 7 - start % 8 + size - 1 - i
+            byte, bit = at // 8, 7 - at % 8
+        data[byte] |= (value >> i & 1) << bit
+    return bytes(data)
+
+
+@pytest.mark.parametrize("order", ["little", "big"])
+def test_round_trip_in_both_byte_orders(spark, order):
+    """Signals of up to 64 bits anywhere in payloads of up to 64 bytes, and one too long for its payload."""
+    rng = random.Random(order)
+    defs, lines, want = [], [], []
+    for i in range(120):
+        n = rng.choice([1, 2, 3, 8, 8, 12, 64])
+        size = rng.randint(1, min(64, n * 8))
+        first = rng.randint(0, n * 8 - size)  # of its lowest or topmost bit in payload order
+        start = first if order == "little" else first // 8 * 8 + 7 - first % 8
+        signed = rng.random() < 0.5 or size == 64
+        value = rng.choice([0, (1 << size) - 1, rng.getrandbits(size)])
+        defs.append((i, i, "s", start, size, signed, 1.0, 0.0, order))
+        lines.append(f"({i + 1}) can0 {i:X}#{encoded(n, order, start, size, value).hex()}")
+        want.append((i + 1, float(value - (1 << size) if signed and value >> (size - 1) else value)))
+    table = spark.createDataFrame(
+        defs, "position int, message_id bigint, name string, start_bit int, size int, is_signed boolean, factor double,"
+        " offset double, byte_order string")
+    got = can.decode(frames(spark, {"f": lines}), table, ["s"]).collect()
+    assert sorted((r.ts, r.value) for r in got) == want
+    short = frames(spark, {"f": [f"(1) can0 {i:X}#" for i in range(120)]})
+    assert can.file_status(short, table, ["s"]).first().error == "signal_range"
