@@ -26,15 +26,15 @@ cloudpickle.register_pickle_by_value(first_hit)
 cloudpickle.register_pickle_by_value(speed_search)
 
 
-def speed_rows(df: DataFrame) -> DataFrame:
-    """Speed rows: vin, kafka_ts, sig_ts, seq, sig_name, speed.
+def speed_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Speed rows: vin, kafka_ts, sig_ts, seq, sig_name, speed, and the columns to ``keep``.
 
     A value with no double reading is neither judged nor remembered. NaN is
     remembered; it can never exceed a limit.
     """
     typed = coerce_values(df.where(F.col("sig_name") == rules.SPEED_SIGNAL), targets=("as_double",))
     return typed.select(
-        "vin", "kafka_ts", "sig_ts", "seq", "sig_name", F.col("as_double").alias("speed")
+        "vin", "kafka_ts", "sig_ts", "seq", "sig_name", F.col("as_double").alias("speed"), *keep
     ).where("speed is not null")
 
 
@@ -49,21 +49,28 @@ def speed_hits(
     tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS),
     bucket_ms: int = 10_000,
     part_rows: int = 300_000,
+    order: str = "arrival",
 ) -> DataFrame:
     """Per speed row the first earlier arrival in range and over the limit, tier by tier.
 
+    ``order="event"`` takes rows in order of their times instead, and arrival between equal ones: a row that comes late
+    is judged by what was before it on the road, and is itself in the past of rows that came before it.
+
     ``speeds`` has vin, kafka_ts, sig_ts, seq, sig_name, speed. Rows shuffle once,
     by vehicle and time bucket, and a task searches all its buckets together;
     a crowded bucket is searched in parts of ``part_rows``. Every row is judged,
     so a row that arrives twice hits twice; rows of one seq are not compared.
     """
+    if order not in ("arrival", "event"):
+        raise ValueError(f"order must be 'arrival' or 'event', not {order!r}")
+    by_time = order == "event"
     reach = max(t.range_ms for t in tiers)
     plan = [(t.tier, t.range_ms, t.limit) for t in tiers]
     speeds = speeds.where("not isnan(speed)")
     search = speed_search.over_sorted
     near = with_lookback(speeds, "sig_ts", bucket_ms, reach).repartition("vin", "bucket")
     return near.sortWithinPartitions("vin", "bucket").mapInArrow(
-        lambda batches: search(batches, plan, part_rows), HIT_SCHEMA
+        lambda batches: search(batches, plan, part_rows, by_time), HIT_SCHEMA
     )
 
 

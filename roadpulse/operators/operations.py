@@ -25,10 +25,10 @@ def queue_depth(rows: DataFrame, queues: Sequence[str] = tuple(rules.QUEUES)) ->
     )
 
 
-def backlog_alerts(depth: DataFrame, limit: int = rules.BACKLOG_LIMIT) -> DataFrame:
-    """A message for each queue as long as the limit or longer."""
+def backlog_alerts(depth: DataFrame, limit: int = rules.BACKLOG_LIMIT, *keep: str) -> DataFrame:
+    """A message for each queue as long as the limit or longer, after the columns to ``keep``."""
     return depth.where(F.col("depth") >= limit).select(
-        "route", "depth", F.format_string(rules.BACKLOG_TEXT, "route", "depth", F.lit(limit)).alias("message")
+        *keep, "route", "depth", F.format_string(rules.BACKLOG_TEXT, "route", "depth", F.lit(limit)).alias("message")
     )
 
 
@@ -117,12 +117,12 @@ def counter(rows: DataFrame, *labels: str) -> DataFrame:
     return rows.groupBy(*labels).agg(F.count(F.lit(1)).alias("total"))
 
 
-def messages_processed(rows: DataFrame) -> DataFrame:
-    return counter(rows, "queue_type", "vehicle_type", "status")
+def messages_processed(rows: DataFrame, *more: str) -> DataFrame:
+    return counter(rows, *more, "queue_type", "vehicle_type", "status")
 
 
-def message_errors(rows: DataFrame) -> DataFrame:
-    return counter(rows, "queue_type", "vehicle_type", "error_type")
+def message_errors(rows: DataFrame, *more: str) -> DataFrame:
+    return counter(rows, *more, "queue_type", "vehicle_type", "error_type")
 
 
 def drop_reasons(rows: DataFrame) -> DataFrame:
@@ -156,8 +156,23 @@ def duration_histogram(
     )
 
 
-def queue_size_latest(rows: DataFrame) -> DataFrame:
+def queue_size_latest(rows: DataFrame, *more: str) -> DataFrame:
     """Last reported size per label set."""
-    return rows.groupBy("queue_type", "vehicle_type").agg(
+    return rows.groupBy(*more, "queue_type", "vehicle_type").agg(
         F.max_by("size", F.struct("ts", "seq")).alias("size")
     )
+
+
+def in_windows(rows: DataFrame, width: str = "5 minutes", delay: str = "1 minute", ts: str = "ts") -> DataFrame:
+    """Add ``window``, a label like any other, by the epoch ms in ``ts``.
+
+    On a stream the metrics of a window come once, when the watermark, ``delay`` behind the newest row, has
+    passed its end; rows later than that are left out. State holds one row per label set of the open windows.
+    """
+    timed = rows.withColumn("_at", F.timestamp_millis(ts)).withWatermark("_at", delay)
+    return timed.withColumn("window", F.window("_at", width))
+
+
+def window_start(metrics: DataFrame) -> DataFrame:
+    """``window`` as the epoch ms of its start."""
+    return metrics.withColumn("window", F.unix_millis("window.start")).withColumnRenamed("window", "window_start")

@@ -39,8 +39,11 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def event_batches(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
-    """The events as a stream of ``batches`` micro-batches in order of arrival, from files below the shared folder."""
+def event_batches(spark: SparkSession, sf_dir: str, batches: int = 3, closing: bool = False) -> DataFrame:
+    """The events as a stream of ``batches`` micro-batches in order of arrival, from files below the shared folder.
+
+    ``closing`` adds a batch of one event of user -1, ten days after all others, which moves the watermark past them.
+    """
     source = shared_dir(spark, "event-batches")
     rows = events(spark, sf_dir)
     low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
@@ -50,6 +53,11 @@ def event_batches(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFra
         part = rows.where((F.col("event_id") >= (first if i else low)) & (
             F.col("event_id") < (last if i < batches - 1 else high + 1)))
         part.coalesce(1).write.mode("append").parquet(source)
+    if closing and low is not None:
+        last = rows.agg(F.max("ts").alias("ts")).selectExpr(
+            f"{high + 64}L as event_id", "ts + interval 10 days as ts", "-1L as user_id", "'click' as event_type",
+            "61D as value", "'' as props")
+        last.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
     return stream.parquet(source)
 
@@ -84,6 +92,15 @@ def derive_speed_signals(ev: DataFrame) -> DataFrame:
     )
 
 
+def derive_late_signals(ev: DataFrame) -> DataFrame:
+    """Every event as a speed row; two in 97 are 60 s and 200 s late."""
+    return ev.selectExpr(
+        f"{VIN} as vin", f"{SIG_TS} + event_id % 1000 as kafka_ts",
+        f"{SIG_TS} - case event_id % 97 when 3 then 60000 when 50 then 200000 else 0 end as sig_ts",
+        "event_id ^ 31 as seq", "'speed' as sig_name", "cast(value as variant) as value",
+    )
+
+
 def derive_state_signals(ev: DataFrame) -> DataFrame:
     """Every event as a speed row up to 24 s late; some speeds are NaN."""
     return ev.selectExpr(
@@ -182,8 +199,12 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_triggers(events(spark, sf_dir))
+
+
+def derive_triggers(ev: DataFrame) -> DataFrame:
     """Events that are no signup as triggers, before the usage lookup."""
-    return events(spark, sf_dir).where("event_type <> 'signup'").selectExpr(
+    return ev.where("event_type <> 'signup'").selectExpr(
         "event_id", f"{VIN} as vin", f"{EPOCH_MS} as timestamp", f"{K} as k",
         "concat('T', user_id % 5) as car_type",
     )
@@ -221,22 +242,26 @@ HALF_A = "((event_id * 4 + i) % 1000003 * 2654435761) % 4294967296"
 HALF_B = "((event_id * 4 + i) % 1000003 * 40503 * 1009 + 12345) % 4294967296"
 
 
-def can_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def can_rows(ev: DataFrame) -> DataFrame:
     """Four numbered CAN lines per trigger event, with the integers behind them."""
-    return events(spark, sf_dir).where("event_type <> 'signup'").selectExpr(
+    return ev.where("event_type <> 'signup'").selectExpr(
         "event_id", f"{VIN} as vin", f"{EPOCH_MS} as timestamp", f"{SIG_TS} as sig_ts",
         "explode(sequence(0L, 3L)) as i",
     ).selectExpr("*", f"{HALF_A} as half_a", f"{HALF_B} as half_b")
 
 
 def can_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_can_lines(events(spark, sf_dir))
+
+
+def derive_can_lines(ev: DataFrame) -> DataFrame:
     """CAN log lines (file, line_no, line, vin, timestamp); one short file per trigger event.
 
     The third line is broken in one of ten ways for part of the files; the last
     line repeats the time of the first, so its signals win there.
     """
     payload = "concat(lpad(hex(half_a), 8, '0'), lpad(hex(half_b), 8, '0'))"
-    rows = can_rows(spark, sf_dir).selectExpr(
+    rows = can_rows(ev).selectExpr(
         "concat('clip/', event_id) as file", "vin", "timestamp", "event_id", "sig_ts", "i as line_no",
         f"{payload} as payload", "if(i = 2, event_id % 23, -1) as kind", "event_id % 23 = 10 as foreign",
     )
@@ -262,11 +287,15 @@ def signal_defs(spark: SparkSession) -> DataFrame:
 
 
 def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_step_events(events(spark, sf_dir))
+
+
+def derive_step_events(ev: DataFrame) -> DataFrame:
     """Processing steps: six events in a row make one log; even steps push, odd steps pop.
 
     Every eleventh log lacks its first step, so its other steps have no log to update.
     """
-    return events(spark, sf_dir).selectExpr(
+    return ev.selectExpr(
         "event_id div 6 as log_id",
         "event_id % 6 as step",
         """case when event_id % 6 = 5 and event_id % 4 = 0 then 'DB Write Success'
@@ -279,3 +308,41 @@ def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(event_id % 11 * 5 as bigint) as wait_ms",
         f"{EPOCH_MS} as ts", "event_id as seq", "cast(value as bigint) as size",
     )
+
+
+def derive_queue_moves(ev: DataFrame) -> DataFrame:
+    """Every event as a move of a queue: two of three are pushes, the third takes one off the queue of its type."""
+    return ev.selectExpr(
+        "concat(event_type, '_triggers') as route", "if(event_id % 3 = 2, -1L, 1L) as delta", f"{EPOCH_MS} as ts",
+    )
+
+
+LINES_A_FILE = 10_000
+
+
+def write_logs(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The CAN lines of ``LINES_A_FILE / 4`` events in a row as one text file, in order; more data makes more files."""
+    lines = can_lines(spark, sf_dir).selectExpr(
+        "cast(substring(file, 6) as bigint) as event_id", "line_no", "line",
+        f"cast(substring(file, 6) as bigint) div {LINES_A_FILE // 4} as log")
+    lines.repartition("log").sortWithinPartitions("log", "event_id", "line_no").select("log", "line").write.partitionBy(
+        "log").text(path)
+
+
+# Signals of the CAN payloads in both byte orders; the fourth crosses from byte to byte at both its ends.
+ORDERED_DEFS = [
+    (0, 500, "low_word", 8, 16, True, 1.0, 0.0, "little"),
+    (0, 500, "high_word", 7, 16, False, 0.5, -3.0, "big"),
+    (0, 500, "whole", 0, 64, True, 1.0, 0.0, "little"),
+    (0, 500, "across", 13, 21, False, 1.0, 0.0, "little"),
+    (0, 500, "down", 19, 14, True, 1.0, 0.0, "big"),
+    (1, 501, "flag", 39, 1, False, 1.0, 0.0, "little"),
+]
+
+
+def ordered_defs(spark: SparkSession) -> DataFrame:
+    return literal_table(
+        spark, ORDERED_DEFS,
+        "position int, message_id bigint, name string, start_bit int, size int, is_signed boolean,"
+        " factor double, offset double, byte_order string",
+    )

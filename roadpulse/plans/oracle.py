@@ -43,6 +43,13 @@ def _case(column: str, mapping: dict, default: str = "null") -> str:
     return f"case {column} {branches} else {default} end"
 
 
+def _batch_of(batches: int, event: str = "event_id") -> str:
+    """Number of the micro-batch of an event: cuts at multiples of 32."""
+    low, high = "(select min(event_id) from events)", "(select max(event_id) from events)"
+    cuts = [f"({event} >= ((({low} + ({high} + 1 - {low}) * {i} // {batches}) >> 5) << 5))::int" for i in range(1, batches)]
+    return "(" + " + ".join(cuts) + ")"
+
+
 SIGNALS = f"""sig as (
   select {VIN} as vin, {SIG_TS} + event_id % 1000 as kafka_ts, {SIG_TS} as sig_ts,
     xor(event_id, 31) as seq, value, event_id,
@@ -183,18 +190,23 @@ status as (
       case when count(*) filter (where j.err is null and j.ts <> 0 and j.can_id in (500, 501)) = 0
         then 'no_signal' end) as error
   from judged j group by j.file)"""
+# Log files of the lines of 2500 events each, blank lines counted.
+NUMBERED = """numbered as (
+  select event_id, i, (event_id // 2500)::varchar as log,
+    row_number() over (partition by event_id // 2500 order by event_id, i) as line_no
+  from raw)"""
 RULE_ROWS = ", ".join(
     f"({i + 1}, {signal!r}, cast({threshold} as double), {code}, {text!r})"
     for i, (signal, threshold, code, text) in enumerate(CRASH_RULES)
 )
 
 
-def _verdict(usable: str) -> str:
+def _verdict(usable: str, rule_rows: str = RULE_ROWS, more: str = "") -> str:
     return _usage(FIRST) + f""", {LINES}, {DECODED},
-rule(idx, signal, threshold, reason_code, info) as (values {RULE_ROWS}),
+rule(idx, signal, threshold, reason_code, info) as (values {rule_rows}),
 crossed as (
   select file, min({{'ts': ts, 'idx': idx}}) as c
-  from lastv join rule using (signal) where value > threshold group by file),
+  from lastv join rule using (signal) where value > threshold {more} group by file),
 verdict as (
   select u.vin, u."timestamp", u.usage_type, cast(u.event_id as varchar) as trigger_id,
     'in;' || coalesce(r.info, '') as threshold_log,
@@ -206,6 +218,13 @@ verdict as (
   where {usable})"""
 
 
+LATER_RULES = [(s, t / 2 if s == "LongitudinalAcceleration" else t, c, x.replace("1.500000", "0.750000"))
+               for s, t, c, x in CRASH_RULES]
+LIVE_RULE_ROWS = RULE_ROWS + ", " + ", ".join(
+    f"({i + 11}, {signal!r}, cast({threshold} as double), {code}, {text!r})"
+    for i, (signal, threshold, code, text) in enumerate(LATER_RULES)
+)
+LIVE = f"(idx > 10) = ({_batch_of(3, 'cast(substr(file, 6) as bigint)')} > 0)"
 STRICT = _verdict("s.error is null")
 LENIENT = _verdict("exists (select 1 from lastv l where l.file = s.file)")
 
@@ -221,13 +240,16 @@ STEPS = f"""st as (
   from events)"""
 
 
-def _histogram(column: str) -> str:
+def _histogram(column: str, more: str = "") -> str:
     bounds = ", ".join(f"('{b}', {round(b * 1000)})" for b in BOUNDS)
     return f"""with {STEPS}, bound(le, ms) as (values {bounds}, ('+Inf', null))
-select queue_type, vehicle_type, le,
+select {more} queue_type, vehicle_type, le,
   count(*) filter (where ms is null or {column} <= ms) as count,
   cast(sum({column}) as double) / 1000 as sum_seconds, count(*) as total
-from st, bound group by queue_type, vehicle_type, le"""
+from st, bound group by all"""
+
+
+WINDOW = "ts // 21600000 * 21600000 as window_start,"
 
 
 LOG_ID = """cast('0x' || substr(md5(k.vin || '|' || k."timestamp" || '|' || k.trigger_id), 1, 15) as bigint)"""
@@ -410,8 +432,104 @@ select vin, kafka_ts, sig_ts, seq, anomaly_type, severity, additional_info,
     "stream_speed_joined": f"""with {SPEEDS}, {HITS}
 select vin, kafka_ts, sig_ts, seq, anomaly_type, severity, additional_info,
   current_speed, previous_speed, previous_seq from spd_anom""",
+    "stream_speed_by_vehicle": f"""with {SPEEDS}, {HITS}
+select vin, kafka_ts, sig_ts, seq, anomaly_type, severity, additional_info,
+  current_speed, previous_speed, previous_seq from spd_anom""",
+    # A slot is kept from its last rows on while the watermark, 28 s behind the newest of the earlier batches,
+    # is not 30 s past its end and past what it was then.
+    "stream_speed_late": f"""with ev as (
+  select event_id, {VIN} as vin, {_batch_of(6)} as batch,
+    {SIG_TS} - case event_id % 97 when 3 then 60000 when 50 then 200000 else 0 end as ts
+  from events),
+marks as (
+  select batch, coalesce(max(newest) over (order by batch rows between unbounded preceding and 1 preceding) - 28000, 0) as mark
+  from (select batch, max(ts) as newest from ev group by batch)),
+touched as (
+  select distinct vin, batch, unnest(case when ts % 10000 >= 8000 then [ts // 10000, ts // 10000 + 1] else [ts // 10000] end) as slot
+  from ev),
+late as (
+  select event_id, vin, batch, ts // 10000 as slot, mark, mark - ts as late_ms from ev join marks using (batch) where ts < mark),
+lasting as (
+  select l.event_id, l.mark, l.slot, l.late_ms, max(t.batch) as last
+  from late l left join touched t on t.vin = l.vin and t.slot = l.slot and t.batch < l.batch
+  group by l.event_id, l.mark, l.slot, l.late_ms)
+select case when last is not null and l.mark < greatest((slot + 1) * 10000, at_last.mark) + 30000 then 'slot_kept' else 'slot_gone' end as reason,
+  count(*) as total, sum(late_ms)::bigint as late_ms
+from lasting l left join marks at_last on at_last.batch = l.last
+group by reason""",
+    "stream_messages_processed": f"""with {STEPS}
+select {WINDOW} queue_type, vehicle_type, status, count(*) as total from st group by all""",
+    "stream_message_errors": f"""with {STEPS}
+select {WINDOW} queue_type, vehicle_type, case when duration_ms > 2000 then 'timeout' else 'other' end as error_type,
+  count(*) as total
+from st where status = 'failed' group by all""",
+    "stream_duration_histogram": _histogram("duration_ms", WINDOW),
+    "stream_queue_wait_histogram": _histogram("wait_ms", WINDOW),
+    "stream_queue_size": f"""with {STEPS}
+select {WINDOW} queue_type, vehicle_type, arg_max(size, (ts, seq)) as size from st group by all""",
+    "stream_depth_alerts": f"""with moves as (
+  select {MS} // 21600000 as tick, event_type || '_triggers' as route, case when event_id % 3 = 2 then -1 else 1 end as delta
+  from events),
+ticks as (
+  select tick, route from (select unnest(range(min(tick), max(tick) + 1)) as tick from moves),
+    (select unnest(['click', 'view', 'purchase', 'error', 'signup', 'quiet']) || '_triggers' as route)),
+depths as (
+  select t.tick, t.route, (select coalesce(sum(delta), 0) from moves m where m.route = t.route and m.tick <= t.tick)::bigint as depth
+  from ticks t)
+select tick, route, depth, 'Alert: Queue ' || route || ' length ' || depth || ' exceeds or equals threshold 100' as message
+from depths where depth >= 100""",
+    # Rules of the first batch have indexes to 3, those of the later ones from 11 on.
+    "stream_live_rules": _verdict("s.error is null", LIVE_RULE_ROWS, "and " + LIVE)
+    + " select * replace (is_crash % 10 as is_crash) from verdict",
+    "speed_in_event_order": f"""with {STATES}, sound as (select * from spd where not isnan(speed)), hits as (
+  select a.vin, a.sig_ts, a.seq, min({{
+      'tier': case when b.sig_ts >= a.sig_ts - 1000 and abs(a.speed - b.speed) > 18 then 1 else 2 end,
+      'ts': b.sig_ts, 'seq': b.seq}}) as h
+  from sound a join sound b on a.vin = b.vin and b.sig_ts between a.sig_ts - 2000 and a.sig_ts
+    and (b.sig_ts < a.sig_ts or b.seq < a.seq)
+    and ((b.sig_ts >= a.sig_ts - 1000 and abs(a.speed - b.speed) > 18) or abs(a.speed - b.speed) > 24)
+  group by all)
+select vin, sig_ts, seq, 'SPEED_CHANGE_' || h.tier || 'S' as anomaly_type, h.seq as previous_seq from hits""",
+    # le and be: the payload's bytes as one number, from the last byte down and from the first byte down.
+    "decode_byte_orders": f"""with {LINES}, {DECODED}, words as (
+  select *, (half_a::hugeint << 32) + half_b as be,
+    (half_a >> 24) + (((half_a >> 16) % 256) << 8) + (((half_a >> 8) % 256) << 16) + ((half_a % 256) << 24)
+      + (((half_b >> 24)::hugeint + (((half_b >> 16) % 256) << 8) + (((half_b >> 8) % 256) << 16) + ((half_b % 256) << 24)) << 32) as le
+  from judged where err is null and ts <> 0 and kind <> 10),
+cut as (
+  select file, line_no, can_id, unnest([
+    {{'can': 500, 'signal': 'low_word', 'bits': (le >> 8) % 65536, 'size': 16, 'factor': 1, 'shift': 0}},
+    {{'can': 500, 'signal': 'high_word', 'bits': be >> 48, 'size': 0, 'factor': 0.5, 'shift': -3}},
+    {{'can': 500, 'signal': 'whole', 'bits': le, 'size': 64, 'factor': 1, 'shift': 0}},
+    {{'can': 500, 'signal': 'across', 'bits': (le >> 13) % 2097152, 'size': 0, 'factor': 1, 'shift': 0}},
+    {{'can': 500, 'signal': 'down', 'bits': (be >> 30) % 16384, 'size': 14, 'factor': 1, 'shift': 0}},
+    {{'can': 501, 'signal': 'flag', 'bits': (le >> 39) % 2, 'size': 0, 'factor': 1, 'shift': 0}}]) as s
+  from words)
+select file, line_no, s.signal as signal,
+  (case when s.size > 0 and s.bits >= (1::hugeint << (s.size - 1)) then s.bits - (1::hugeint << s.size) else s.bits end)::bigint::double
+    * s.factor::double + s.shift as value
+from cut where s.can = can_id""",
+    "can_numbered_lines": f"""with {LINES}, {NUMBERED}
+select log as file, n.line_no, ts, case when error is null then can_id end as can_id, error from frames f join numbered n
+  on n.event_id = f.event_id and n.i = f.line_no""".replace(" ts, case", " case when error is null then ts end as ts, case"),
+    "can_landed_verdicts": f"""with {LINES}, {DECODED}, {NUMBERED},
+rule(idx, signal, threshold, reason_code, info) as (values {RULE_ROWS}),
+good as (
+  select log, ts, n.line_no, v.signal as signal, v.value as value
+  from vals join numbered n on 'clip/' || n.event_id = vals.file and n.i = vals.line_no where v.can = can_id),
+latest as (select log, ts, signal, arg_max(value, line_no) as value from good group by all),
+crossed as (
+  select log, min({{'ts': ts, 'idx': idx}}) as c from latest join rule using (signal) where value > threshold group by log),
+bad as (
+  select log, min(n.line_no) as first_bad_line, count(*) as n_bad
+  from judged j join numbered n on n.event_id = j.event_id and n.i = j.line_no where err is not null group by log)
+select log as file, c.ts as crash_ts, c.idx::int as is_crash, first_bad_line, n_bad
+from (select distinct log from good) left join crossed using (log) left join bad using (log)""",
     "speed_repeated_arrivals": f"""with {SPEEDS}, {HITS}
 select vin, sig_ts, seq, anomaly_type, previous_seq from spd_anom
 union all
 select vin, sig_ts, seq, anomaly_type, previous_seq from spd_anom where xor(seq, 31) % 3 = 0""",
 }
+ORACLE["trail_by_increments"] = ORACLE["process_trail"]
+ORACLE["orphans_by_increments"] = ORACLE["process_log_orphans"]
+ORACLE["facts_exactly_once"] = ORACLE["data_log_rows"]

@@ -12,9 +12,9 @@ from roadpulse import rules
 from roadpulse.operators import anomalies, can, operations, triggers, verdict
 from roadpulse.plans import fixtures as fx
 from roadpulse.session import shared_dir
-from roadpulse.sinks import writers
+from roadpulse.sinks import exactly_once, kept_trail, writers
 from roadpulse.sources import can_logs, signals, trigger_feed
-from roadpulse.streaming import run, speed
+from roadpulse.streaming import depth, live_rules, run, speed, speed_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,13 @@ def speed_repeated_arrivals(spark, sf_dir):
     return found.select("vin", "sig_ts", "seq", "anomaly_type", "previous_seq")
 
 
+@query
+def speed_in_event_order(spark, sf_dir):
+    """Rows up to 24 s late, judged by their times."""
+    found = anomalies.speed_change(fx.state_signals(spark, sf_dir), order="event")
+    return found.select("vin", "sig_ts", "seq", "anomaly_type", "previous_seq")
+
+
 @query
 def latest_speed(spark, sf_dir):
     latest = anomalies.latest_speed(anomalies.speed_rows(fx.state_signals(spark, sf_dir)))
@@ -215,6 +222,48 @@ def can_file_status(spark, sf_dir):
     return can.file_status(_frames(spark, sf_dir), fx.signal_defs(spark), WANTED)
 
 
+@query
+def decode_byte_orders(spark, sf_dir):
+    names = [d[2] for d in fx.ORDERED_DEFS]
+    return can.decode(_frames(spark, sf_dir), fx.ordered_defs(spark), names).select("file", "line_no", "signal", "value")
+
+
+def _landed_frames(spark, sf_dir):
+    """Frames of log files written below the shared folder and read back in blocks of 64 KiB."""
+    path, conf = shared_dir(spark, "can-logs"), "spark.sql.files.maxPartitionBytes"
+    fx.write_logs(spark, sf_dir, path)
+    size = spark.conf.get(conf)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set(conf, "65536")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        # Read now, as Spark asks for the size of a block when it runs.
+        can_logs.read_lines(spark, path).write.parquet(f"{path}-read")
+    finally:
+        spark.conf.set(conf, size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    lines = spark.read.schema("file string, line_no bigint, line string").parquet(f"{path}-read")
+    return can_logs.parse_frames(lines.withColumn("file", F.regexp_extract("file", "log=([0-9]+)/", 1)))
+
+
+@query
+def can_numbered_lines(spark, sf_dir):
+    """Lines by their true numbers; blank ones count and are left out."""
+    return _landed_frames(spark, sf_dir).select(
+        "file", "line_no", "ts", "can_id", can_logs.error_name(F.col("error")).alias("error"))
+
+
+@query
+def can_landed_verdicts(spark, sf_dir):
+    """Per landed log its first bad line, and its first crossing by the sound ones."""
+    frames = _landed_frames(spark, sf_dir)
+    judged = can.read_values(frames, fx.signal_defs(spark), WANTED)
+    bad = judged.where("error is not null").groupBy("file").agg(F.min("line_no").alias("first_bad_line"), F.count("*").alias("n_bad"))
+    crossed = can.first_crossing(frames, fx.signal_defs(spark), rules.RULES_BY_ROUTE, "lenient").select(
+        "file", F.col("crossings")[0]["ts"].alias("crash_ts"), F.col("crossings")[0]["rule_index"].alias("is_crash"))
+    return crossed.join(bad, "file", "left")
+
+
 @query
 def can_timestamps(spark, sf_dir):
     """Distinct times of each log that carry a wanted signal."""
@@ -313,6 +362,25 @@ def trail_from_ingest(spark, sf_dir):
     return operations.completed_trail(trails)
 
 
+def _kept_trail(spark, sf_dir):
+    """Step events merged in three increments, the second one twice; the third brings steps of logs the second has begun."""
+    path = shared_dir(spark, "kept-trail")
+    steps = fx.step_events(spark, sf_dir)
+    for part in (0, 1, 1, 2):
+        kept_trail.merge_steps(steps.where((F.col("seq") * 7 + F.col("step")) % 3 == part), path, parts=16)
+    return path
+
+
+@query
+def trail_by_increments(spark, sf_dir):
+    return operations.completed_trail(kept_trail.kept_trails(spark, _kept_trail(spark, sf_dir)))
+
+
+@query
+def orphans_by_increments(spark, sf_dir):
+    return kept_trail.kept_orphans(spark, _kept_trail(spark, sf_dir))
+
+
 @query
 def route_messages(spark, sf_dir):
     """Triggers written to their routes below the shared folder and read back, route by route."""
@@ -338,6 +406,39 @@ def anomaly_files(spark, sf_dir):
                        F.col("thresholdValue").alias("threshold"), F.col("additionalInfo").alias("additional_info"))
 
 
+FACTS = ("vin string, trigger_timestamp timestamp_ntz, car_type string, use_type string, trigger_id string, is_crash int, "
+         "crash_reason string, criterion_judgment string")
+
+
+@query
+def facts_exactly_once(spark, sf_dir):
+    """Fact rows in three batches: the first breaks off between write and commit and is repeated, the second is sent
+    again after its commit, and the third goes to the second place, as the first is down by then."""
+    path = shared_dir(spark, "facts")
+    rows = verdict.data_log_rows(_verdicts(spark, sf_dir))
+    down = []
+
+    def save_first(batch, folder):
+        exactly_once.save_parquet(batch, folder)
+        if down:
+            raise OSError("this place broke off after writing")
+
+    write = exactly_once.committed_batches(
+        f"{path}/commits", [(f"{path}/first", save_first), (f"{path}/second", exactly_once.save_parquet)])
+    lone = exactly_once.committed_batches(f"{path}/commits", [(f"{path}/first", save_first)])
+    parts = [rows.where(f"pmod(cast(trigger_id as bigint), 3) = {i}") for i in range(3)]
+    down.append(True)
+    try:
+        lone(parts[0], 0)
+    except OSError:
+        down.clear()
+    for batch_id in (0, 1, 1):
+        write(parts[batch_id], batch_id)
+    down.append(True)
+    write(parts[2], 2)
+    return exactly_once.read_committed(spark, f"{path}/commits", FACTS)
+
+
 @query
 def process_log_orphans(spark, sf_dir):
     return operations.process_log_orphans(fx.step_events(spark, sf_dir))
@@ -396,7 +497,104 @@ def stream_speed_exact(spark, sf_dir):
 
 
 @query
-def stream_speed_joined(spark, sf_dir):
-    """The feed in several batches by arrival, so that rows meet earlier batches through the state."""
+def stream_speed_by_vehicle(spark, sf_dir):
+    """One state per vehicle; the feed in several batches by arrival, so that rows meet earlier batches."""
     stream = fx.derive_speed_signals(fx.event_batches(spark, sf_dir))
-    return _speed_columns(run.drain(speed.exact_by_slot(stream), "stream-joined"))
+    return _speed_columns(run.drain(speed.exact(stream), "stream-vehicle"))
+
+
+@query
+def stream_speed_joined(spark, sf_dir):
+    """The join of the stream with itself; a closing batch moves the watermark past the last rows."""
+    stream = fx.derive_speed_signals(fx.event_batches(spark, sf_dir, closing=True))
+    return _speed_columns(run.drain(speed_join.joined(stream), "stream-joined"))
+
+
+@query
+def stream_speed_late(spark, sf_dir):
+    """Rows over 28 s late by what their slot still had, written beside the hits by the same pass."""
+    path = shared_dir(spark, "stream-late")
+    judged = speed.judge_by_slot(fx.derive_late_signals(fx.event_batches(spark, sf_dir, batches=6)))
+    write = speed.hits_and_late(writers.json_batches(f"{path}/hits"), writers.row_batches(f"{path}/late"))
+    run.start(judged, write, f"{path}/checkpoint", every=None).awaitTermination()
+    late = spark.read.schema("vin string, seq bigint, sig_ts bigint, late_ms bigint, reason string").parquet(f"{path}/late")
+    return late.groupBy("reason").agg(F.count("*").alias("total"), F.sum("late_ms").alias("late_ms"))
+
+
+# --- operations on a stream ----------------------------------------------------------------
+
+
+def _steps_in_windows(spark, sf_dir):
+    steps = fx.derive_step_events(fx.event_batches(spark, sf_dir, closing=True))
+    return operations.in_windows(steps, "6 hours")
+
+
+def _metrics(metrics, purpose):
+    return run.drain(operations.window_start(metrics), purpose)
+
+
+@query
+def stream_messages_processed(spark, sf_dir):
+    return _metrics(operations.messages_processed(_steps_in_windows(spark, sf_dir), "window"), "stream-processed")
+
+
+@query
+def stream_message_errors(spark, sf_dir):
+    failed = _steps_in_windows(spark, sf_dir).withColumn(
+        "error_type", F.expr("case when status = 'failed' then if(duration_ms > 2000, 'timeout', 'other') end"))
+    counted = operations.message_errors(failed, "window").where("error_type is not null")
+    return _metrics(counted, "stream-errors")
+
+
+LABELS = ("window", "queue_type", "vehicle_type")
+
+
+@query
+def stream_duration_histogram(spark, sf_dir):
+    return _metrics(operations.duration_histogram(_steps_in_windows(spark, sf_dir), "duration_ms", LABELS), "stream-durations")
+
+
+@query
+def stream_queue_wait_histogram(spark, sf_dir):
+    return _metrics(operations.duration_histogram(_steps_in_windows(spark, sf_dir), "wait_ms", LABELS), "stream-waits")
+
+
+@query
+def stream_queue_size(spark, sf_dir):
+    return _metrics(operations.queue_size_latest(_steps_in_windows(spark, sf_dir), "window"), "stream-sizes")
+
+
+@query
+def stream_depth_alerts(spark, sf_dir):
+    """The depth check of every six hours; a queue is listed by the events' types."""
+    path = shared_dir(spark, "stream-depth")
+    moves = fx.derive_queue_moves(fx.event_batches(spark, sf_dir, closing=True))
+    queues = [f"{t}_triggers" for t in ("click", "view", "purchase", "error", "signup", "quiet")]
+    depth.check_depth(moves, path, f"{path}/checkpoint", queues, limit=100, every=None, tick_ms=21_600_000).awaitTermination()
+    return depth.alerts(spark, path)
+
+
+@query
+def stream_live_rules(spark, sf_dir):
+    """Crash verdicts by rules read anew for every batch: after the first batch, the longitudinal limit is halved."""
+    path = shared_dir(spark, "stream-rules")
+    first = live_rules.threshold_rows()
+    second = [(*r[:4], r[4] / 2, r[5]) if r[3] == "LongitudinalAcceleration" else r for r in first]
+    live_rules.publish(spark, first, live_rules.THRESHOLDS, f"{path}/rules")
+
+    def judge(batch, rules_by_route):
+        rows = triggers.usage_lookup(fx.derive_triggers(batch), fx.usage(spark, sf_dir)).select(
+            "vin", "timestamp", "usage_type", F.lit("T").alias("car_type"),
+            F.col("event_id").cast("string").alias("trigger_id"), F.lit("in").alias("threshold_log"))
+        frames = can_logs.parse_frames(fx.derive_can_lines(batch))
+        return verdict.crash_verdict(rows, frames, fx.signal_defs(spark), rules_by_route)
+
+    def write(judged, batch_id):
+        writers.row_batches(f"{path}/verdicts")(judged, batch_id)
+        if batch_id == 0:
+            live_rules.publish(spark, second, live_rules.THRESHOLDS, f"{path}/rules")
+
+    judge_batch = live_rules.judged_by(live_rules.thresholds, f"{path}/rules", judge, write)
+    run.start(fx.event_batches(spark, sf_dir), judge_batch, f"{path}/checkpoint", every=None).awaitTermination()
+    return spark.read.parquet(f"{path}/verdicts").select(
+        "vin", "timestamp", "usage_type", "trigger_id", "threshold_log", "is_crash", "reason_code", "crash_ts", "route")

@@ -50,6 +50,26 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table or folder at ``path``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def newest_part(spark: SparkSession, path: str, key: str, below: int | None = None) -> str | None:
+    """The folder ``path/key=N`` of the largest N (smaller than ``below``) that was written to its end; None if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return None
+    numbers = [int(m[1]) for s in files.listStatus(place) if (m := re.fullmatch(rf"{key}=(\d+)", s.getPath().getName()))]
+    for n in sorted(numbers, reverse=True):
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={n}/_SUCCESS")
+        if (below is None or n < below) and files.exists(done):
+            return f"{path}/{key}={n}"
+    return None
+
+
 @functools.cache
 def _own_folder() -> str:
     """One folder per process, gone when it ends."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from roadpulse.operators.triggers import ingest, route_by_usage
@@ -16,6 +16,19 @@ CHECKPOINT_EVERY = "60 seconds"
 POLL_EVERY = "5 minutes"
 
 
+# Fixed value: the class of the state store that keeps state on disk, so that it may outgrow memory.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB and checkpoint changes only.
+
+    An order to the session, so it holds for all its later streams; a stream keeps the store it was first started with.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def start(
     df: DataFrame,
     write_batch: Callable[[DataFrame, int], None],
@@ -23,6 +36,7 @@ def start(
     every: str | None = CHECKPOINT_EVERY,
 ) -> StreamingQuery:
     """Feed each micro-batch to ``write_batch``; ``every=None`` takes what is there and stops."""
+    use_rocksdb(df.sparkSession)
     writer = df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
@@ -31,6 +45,7 @@ def start(
 def drain(df: DataFrame, purpose: str) -> DataFrame:
     """Run the stream over all data now available and return what it wrote, as a table."""
     spark = df.sparkSession
+    use_rocksdb(spark)
     base = shared_dir(spark, purpose)
     query = (
         df.writeStream.format("parquet").outputMode("append")

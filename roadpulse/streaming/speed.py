@@ -1,13 +1,12 @@
 """The speed rule on a stream, in two forms that judge rows in arrival order at once and drop none.
 
-``exact`` keeps each vehicle's recent rows as one state. ``exact_by_slot`` deals
-them over many states by time slot, for feeds where one vehicle sends a large
-part of the rows.
+``exact`` keeps each vehicle's recent rows as one state. ``judge_by_slot`` and ``exact_by_slot`` have a
+state per time slot and deal of vehicles, for feeds where one vehicle sends a large part of the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -78,60 +77,105 @@ def exact(
     return speed_anomalies_of(hits, tiers)
 
 
-SLOT_STATE = (
-    "vin array<string>, slot array<bigint>, ts array<bigint>, seq array<bigint>, speed array<double>, "
-    "seen array<bigint>"
-)
-SLOT_KEPT = ["vin", "slot", "sig_ts", "seq", "speed", "seen"]
+JUDGED_SCHEMA = HIT_SCHEMA + ", late_ms bigint, reason string"
+SLOT_STATE = "vin array<string>, sig_ts array<bigint>, seq array<bigint>, speed array<double>, mark array<bigint>"
+SLOT_KEPT_COLUMNS = ["vin", *KEPT, "mark"]
+# Fixed value: a row this much older than the newest of the batches before may have lost rows it could hit.
+SOUND = "28 seconds"
+SLOT_KEPT, SLOT_GONE = "slot_kept", "slot_gone"
 
 
-def exact_by_slot(
+def judge_by_slot(
     df: DataFrame,
     tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS),
     retention_ms: int = rules.SPEED_RETENTION_MS,
-    slot_ms: int = 4_000,
-    groups: int = 256,
-    idle_ms: int = 3_600_000,
+    slot_ms: int = 10_000,
     part_rows: int = 300_000,
+    delay: str = SOUND,
+    deals: int | None = None,
 ) -> DataFrame:
-    """As ``exact``, with the state of a vehicle dealt over ``groups`` by time slot.
-
-    All slots of a group are searched together. A vehicle that sends a third of
-    a live feed moves on to another group every ``slot_ms``. No watermark is
-    used, so no row is dropped: each is judged, however late, against what is
-    kept. Kept are, per vehicle, the rows within ``retention_ms`` of the latest
-    its group has seen, so a row up to 28 s late meets all it could hit; rows
-    that arrived ``idle_ms`` ago go as well, which bounds the state of vehicles that fell silent.
+    """Hits of the speed rule and late rows, from one pass over one small state per time slot and deal of vehicles.
+
+    A row with ``tier`` is a hit. A row with ``reason`` is a row that was late: older than the watermark, which is
+    ``delay`` behind the newest time of the batches before, by ``late_ms``. ``slot_kept`` says that its slot still had
+    rows of its vehicle, ``slot_gone`` that it had none or they had left, so that hits may be missing. No row is dropped.
+
+    Vehicles are dealt by hash over ``deals`` (twice the session's shuffle partitions, if not given), as a call into Python
+    costs some ms and must serve many vehicles; raise it with the fleet, so that a deal's slot stays small.
+    A slot has its deal's rows of ``slot_ms`` and of the look-back in the slot before; a batch reads and writes
+    the slots that its rows are in and no others. A vehicle's rows leave a slot ``retention_ms`` after the watermark has
+    passed its end and what it was when the last of them came; the slot itself leaves by a timer, without new rows. Only the times in the feed count for that: a stream that was down for hours goes on as if it had
+    not been. A vehicle that sends a third of a live feed moves on to another state every ``slot_ms``.
     """
     plan = [(t.tier, t.range_ms, t.limit) for t in tiers]
     reach = max(t.range_ms for t in tiers)
-    names, kept_names, search = HIT_COLUMNS, SLOT_KEPT, speed_search.first_hits
+    names, search = HIT_COLUMNS, speed_search.first_hits
+    out_names, kept_names = [*names, "late_ms", "reason"], SLOT_KEPT_COLUMNS
+    deals = deals or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.getCurrentProcessingTimeMs()
-        rows = pd.concat(list(frames)).assign(seen=now)
-        kept = rows[kept_names].head(0)
+        mark, end = state.getCurrentWatermarkMs(), (int(key[1]) + 1) * slot_ms
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(frames), ignore_index=True).assign(mark=mark)
+        both, n = new[kept_names], 0
         if state.exists:
-            kept = pd.DataFrame(dict(zip(kept_names, map(np.asarray, state.get))))
-        # The new rows last, so that a row's place tells which it is.
-        both = pd.concat([kept.assign(owner=False), rows]).reset_index(drop=True)
-        group = both.groupby(["vin", "slot"], sort=False, dropna=False).ngroup().to_numpy()
+            old = pd.DataFrame(dict(zip(kept_names, map(np.asarray, state.get))))
+            # Rows of a vehicle stay or leave together.
+            old = old[old.groupby("vin", dropna=False).mark.transform("max").clip(lower=end) + retention_ms > mark]
+            both, n = pd.concat([old, both], ignore_index=True), len(old)
+        ts = both.sig_ts.to_numpy(np.int64)
+        owner = new.owner.to_numpy(bool)
         at, tier, prev = search(
-            group, both.sig_ts.to_numpy(np.int64), both.seq.to_numpy(np.int64), both.speed.to_numpy(float),
-            both.owner.to_numpy(bool), plan, part_rows)
-        latest = both.groupby("vin", dropna=False).sig_ts.transform("max")
-        left = both[(both.sig_ts >= latest - retention_ms) & (both.seen >= now - idle_ms)]
-        state.update(tuple(left[c].tolist() for c in kept_names))
+            pd.factorize(both.vin, use_na_sentinel=False)[0], ts, both.seq.to_numpy(np.int64), both.speed.to_numpy(float),
+            np.r_[np.zeros(n, bool), owner], plan, part_rows)
+        state.update(tuple(both[c].tolist() for c in kept_names))
+        state.setTimeoutTimestamp(max(end, mark) + retention_ms)
+
+        late = owner & (ts[n:] < mark)
         if len(at):
             past = both.iloc[prev]
-            yield both.iloc[at].assign(
+            yield new.iloc[at - n].assign(
                 tier=tier, previous_seq=past.seq.to_numpy(), previous_ts=past.sig_ts.to_numpy(),
-                previous_speed=past.speed.to_numpy())[names]
+                previous_speed=past.speed.to_numpy(), late_ms=None, reason=None)[out_names]
+        if late.any():
+            kind = np.where(new.vin[late].isin(both.vin[:n]), SLOT_KEPT, SLOT_GONE)
+            yield new[late].assign(
+                tier=None, previous_seq=None, previous_ts=None, previous_speed=None, late_ms=mark - ts[n:][late],
+                reason=kind)[out_names]
 
-    near = with_lookback(speed_rows(df).where("not isnan(speed)"), "sig_ts", slot_ms, reach)
-    dealt = near.withColumnRenamed("bucket", "slot").withColumn(
-        "deal", F.pmod(F.xxhash64("vin", "slot"), F.lit(groups)))
-    hits = dealt.groupBy("deal").applyInPandasWithState(
-        advance, HIT_SCHEMA, SLOT_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    return speed_anomalies_of(hits, tiers)
+    timed = speed_rows(with_event_time(df, delay), ["sig_time"]).where("not isnan(speed)").drop("sig_time")
+    near = with_lookback(timed, "sig_ts", slot_ms, reach).withColumnRenamed("bucket", "slot")
+    # Timers by the watermark leave out rows whose event time is behind it. A column without a time takes the place of the
+    # event time, so that no row is; the watermark itself comes from sig_time above.
+    near = near.withColumn("never_late", F.lit(None).cast("timestamp")).withMetadata("never_late", {"spark.watermarkDelayMs": 0})
+    return near.withColumn("deal", F.pmod(F.xxhash64("vin"), F.lit(deals))).groupBy("deal", "slot").applyInPandasWithState(
+        advance, JUDGED_SCHEMA, SLOT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def exact_by_slot(df: DataFrame, tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS), **tuning) -> DataFrame:
+    """Speed anomalies as ``exact`` gives them, with state that spreads over time slots: see ``judge_by_slot``."""
+    return speed_anomalies_of(judge_by_slot(df, tiers, **tuning).where("tier is not null"), tiers)
+
+
+def late_rows(judged: DataFrame) -> DataFrame:
+    """The late rows of ``judge_by_slot``: vin, seq, sig_ts, speed, late_ms, reason."""
+    return judged.where("reason is not null").select("vin", "seq", "sig_ts", "speed", "late_ms", "reason")
+
+
+def hits_and_late(
+    write_hits: Callable[[DataFrame, int], None], write_late: Callable[[DataFrame, int], None],
+    tiers: Sequence[rules.SpeedTier] = tuple(rules.SPEED_TIERS),
+) -> Callable[[DataFrame, int], None]:
+    """A batch writer for ``judge_by_slot``: anomalies to one place, late rows to another, from one pass."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            write_hits(speed_anomalies_of(batch.where("tier is not null"), tiers), batch_id)
+            write_late(late_rows(batch), batch_id)
+        finally:
+            batch.unpersist()
+
+    return write

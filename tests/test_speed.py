@@ -161,7 +161,7 @@ def test_stream_by_slot_over_several_batches(spark, tmp_path):
     """Same rows at once from state per slot, rows up to 28 s late included."""
     rows = feed(9, n=600, late=27_000)
     stream = stream_of(spark, tmp_path, rows, 3)
-    got = found(run.drain(speed.exact_by_slot(stream, groups=4), "t-slot"))
+    got = found(run.drain(speed.exact_by_slot(stream, deals=4), "t-slot"))
     assert got == one_by_one(rows)
 
 
