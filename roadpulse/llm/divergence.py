@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ ADDED = 5
 SCALE_STEPS = (1000, 1000, 1000)  # their product is the scale of a share
 TOP = 50
 # Cells (a count of a source in a stripe) that a partition holds before it hands its stripes on.
-MOST_CELLS = 200_000
+MOST_CELLS = 1_000_000
+SOURCE_BITS = 31
 # Terms that meet all sources of their language in one group; fewer where there are very many sources.
 GROUP_TERMS, GROUP_CELLS = 4096, 1 << 22
 # Letters A-Z once lower-cased, and every byte of a character beyond ASCII.
@@ -34,84 +36,142 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
 
 
+class _Numbers(dict):
+    """The terms of a language to their numbers; a term met for the first time gets the next one."""
+
+    def __init__(self, lang: int, terms: list[bytes], langs: list[int]) -> None:
+        self.lang, self.terms, self.langs = lang, terms, langs
+
+    def __missing__(self, term: bytes) -> int:
+        number = self[term] = len(self.terms)
+        self.terms.append(term)
+        self.langs.append(self.lang)
+        return number
+
+
 class Stripes:
-    """Stripes of the documents seen so far."""
+    """Stripes of the documents seen so far: a hash of terms, and per term its documents and its count per source."""
 
     def __init__(self) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.terms: list[bytes] = []
+        self.langs: list[int] = []
+        self.numbers: dict[str, _Numbers] = {}
+        self.sources: dict[str, int] = {}
+        self.df = np.zeros(0, np.int64)
+        # Cells as (term number and source number in one, count): sorted ones first, then those of the last slices.
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         self.cells = 0
-        self.held: dict[str, dict[bytes, list]] = {}
-
-    def add(self, lang: str, source: str, text: str) -> None:
-        found: dict[bytes, int] = {}
-        for term in TERM.findall(text.encode().lower()):  # lower() of bytes touches A-Z only
-            found[term] = found.get(term, 0) + 1
-        stripes = self.held.setdefault(lang, {})
-        for term, count in found.items():
-            stripe = stripes.get(term)
-            if stripe is None:
-                stripes[term] = [1, {source: count}]
-                self.cells += 1
-                continue
-            stripe[0] += 1
-            counts = stripe[1]
-            if source in counts:
-                counts[source] += count
-            else:
-                counts[source] = count
-                self.cells += 1
+
+    def add(self, langs: list[str], sources: list[str], texts: list[str]) -> None:
+        """Fold a slice of whole documents."""
+        found, of = [], []
+        for lang, source, text in zip(langs, sources, texts):
+            numbers = self.numbers.get(lang)
+            if numbers is None:
+                numbers = self.numbers[lang] = _Numbers(len(self.numbers), self.terms, self.langs)
+            words = TERM.findall(text.encode().lower())  # lower() of bytes touches A-Z only
+            found.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            of.append(self.sources.setdefault(source, len(self.sources)))
+        n = len(found)
+        pairs, counts = np.unique(np.concatenate(found) * n + np.repeat(np.arange(n), [len(f) for f in found]), return_counts=True)
+        term, doc = np.divmod(pairs, n)
+        df = np.bincount(term, minlength=len(self.terms))
+        df[:len(self.df)] += self.df
+        self.df = df
+        self.parts.append(_summed((term << SOURCE_BITS) | np.array(of, np.int64)[doc], counts))
+        self.cells += len(self.parts[-1][0])
+        if self.cells > 2 * len(self.parts[0][0]) + 100_000:
+            self._compact()
+
+    def _compact(self) -> None:
+        self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts)))]
+        self.cells = len(self.parts[0][0])
 
     def emptied(self, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
         """Hand on all stripes and hold none."""
-        held, self.held, self.cells = self.held, {}, 0
-        for lang, stripes in held.items():
-            names = list(stripes)
-            for start in range(0, len(names), rows):
-                part = names[start:start + rows]
-                yield _stripe_batch([(lang, t.decode(), stripes[t][0], list(stripes[t][1]), list(stripes[t][1].values()))
-                                     for t in part])
-
-
-def _stripe_batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, df, sources, counts = zip(*rows)
+        self._compact()
+        (codes, counts), terms = self.parts[0], pa.array(self.terms, pa.binary()).cast(pa.string())
+        langs = pa.array(list(self.numbers), pa.string()).take(pa.array(self.langs, pa.int64()))
+        sources, df = pa.array(list(self.sources), pa.string()), self.df
+        self._clear()
+        starts = np.searchsorted(codes, np.arange(len(terms) + 1) << SOURCE_BITS)
+        for low in range(0, len(terms), rows):
+            high = min(low + rows, len(terms))
+            cells = slice(starts[low], starts[high])
+            yield _stripe_batch(langs[low:high], terms[low:high], df[low:high], starts[low:high + 1] - starts[low],
+                                sources.take(pa.array(codes[cells] & ((1 << SOURCE_BITS) - 1))), counts[cells])
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal codes together, sorted, their counts added."""
+    if not len(codes):
+        return codes, counts
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[starts], np.add.reduceat(counts[order], starts)
+
+
+def _stripe_batch(langs: pa.Array, terms: pa.Array, df: np.ndarray, offsets: np.ndarray, sources: pa.Array,
+                  counts: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array(offsets, pa.int32())
     return pa.record_batch({
-        "lang": pa.array(lang, pa.string()), "term": pa.array(term, pa.string()), "df": pa.array(df, pa.int64()),
-        "sources": pa.array(sources, pa.list_(pa.string())), "counts": pa.array(counts, pa.list_(pa.int64()))})
+        "lang": langs, "term": terms, "df": pa.array(df, pa.int64()),
+        "sources": pa.ListArray.from_arrays(ends, sources), "counts": pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))})
 
 
 def fold(batches: Iterator[pa.RecordBatch], most_cells: int = MOST_CELLS) -> Iterator[pa.RecordBatch]:
     """Partition to partial stripes."""
     stripes = Stripes()
     for batch in slices(batches):
-        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            stripes.add(lang, source, text)
-            if stripes.cells >= most_cells:
-                yield from stripes.emptied()
+        stripes.add(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")))
+        if stripes.cells >= most_cells:
+            yield from stripes.emptied()
     yield from stripes.emptied()
 
 
-def merge(batches: Iterator[pa.RecordBatch], min_docs: int, rows: int = 5_000) -> Iterator[pa.RecordBatch]:
-    """Sorted partial stripes to whole ones; only those of terms in ``min_docs`` documents go on."""
-    key, df, counts, out = None, 0, {}, []
-
-    def close() -> None:
-        if key is not None and df >= min_docs:
-            out.append((*key, df, list(counts), list(counts.values())))
-
+def _merged(table: pa.Table, starts: np.ndarray, df: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
+    """The stripes of some ``groups`` of rows of equal keys, which begin at ``starts``."""
+    sizes = np.diff(np.r_[starts, table.num_rows])
+    chosen = np.zeros(len(starts), bool)
+    chosen[groups] = True
+    rows = table.filter(pa.array(np.repeat(chosen, sizes))).combine_chunks()
+    group = np.repeat(np.arange(len(groups)), sizes[groups])
+    sources = rows["sources"].combine_chunks()
+    lengths = np.diff(sources.offsets.to_numpy())
+    names = sources.flatten().dictionary_encode()
+    codes, counts = _summed(
+        (np.repeat(group, lengths) << SOURCE_BITS) | names.indices.to_numpy().astype(np.int64),
+        rows["counts"].combine_chunks().flatten().to_numpy())
+    first = pa.array(starts[groups])
+    offsets = np.searchsorted(codes, np.arange(len(groups) + 1) << SOURCE_BITS)
+    return _stripe_batch(table["lang"].take(first).combine_chunks(), table["term"].take(first).combine_chunks(), df[groups],
+                         offsets, names.dictionary.take(pa.array(codes & ((1 << SOURCE_BITS) - 1))), counts)
+
+
+def merge(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
+    """Sorted partial stripes to whole ones; only those of terms in ``min_docs`` documents go on.
+
+    The last key of a batch may go on in the next: what there is of it is merged and goes before the next batch.
+    """
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        parts = zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "df", "sources", "counts")))
-        for lang, term, part_df, sources, part_counts in parts:
-            if key != (lang, term):
-                close()
-                key, df, counts = (lang, term), 0, {}
-            df += part_df
-            for source, count in zip(sources, part_counts):
-                counts[source] = counts.get(source, 0) + count
-        if len(out) >= rows:
-            yield _stripe_batch(out)
-            out = []
-    close()
-    if out:
-        yield _stripe_batch(out)
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [held.cast(batch.schema), batch]).combine_chunks()
+        lang, term = table["lang"].combine_chunks(), table["term"].combine_chunks()
+        apart = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1]))
+        starts = np.flatnonzero(np.r_[True, apart.to_numpy(zero_copy_only=False)])
+        df = np.add.reduceat(table["df"].to_numpy(), starts)
+        whole = np.flatnonzero(df[:-1] >= min_docs)
+        if len(whole):
+            yield _merged(table, starts, df, whole)
+        held = _merged(table, starts, df, np.array([len(starts) - 1]))
+    if held is not None and held.column("df")[0].as_py() >= min_docs:
+        yield held
 
 
 def stripes(docs: DataFrame, min_docs: int = MIN_DOCS, most_cells: int = MOST_CELLS) -> DataFrame:

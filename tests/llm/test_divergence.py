@@ -94,11 +94,11 @@ def test_shares_do_not_overflow():
 
 def test_fold_hands_on_and_keeps_nothing():
     stripes = divergence.Stripes()
-    stripes.add("en", "a", "One two, two.")
-    stripes.add("en", "b", "two")
-    assert stripes.cells == 3
+    stripes.add(["en", "en"], ["a", "b"], ["One two, two.", "two"])
+    stripes.add(["en"], ["b"], ["Two"])
+    assert stripes.cells == 4
     (batch,) = stripes.emptied()
-    assert stripes.cells == 0 and not stripes.held
+    assert stripes.cells == 0 and not stripes.terms and not len(stripes.df)
     assert batch.to_pylist() == [
         {"lang": "en", "term": "one", "df": 1, "sources": ["a"], "counts": [1]},
-        {"lang": "en", "term": "two", "df": 2, "sources": ["a", "b"], "counts": [2, 1]}]
+        {"lang": "en", "term": "two", "df": 3, "sources": ["a", "b"], "counts": [2, 2]}]
