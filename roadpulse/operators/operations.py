@@ -61,6 +61,17 @@ def step_events(
     return events.distinct()
 
 
+def trail_steps(judged: DataFrame, usage_route: Column, done: str = WRITTEN) -> DataFrame:
+    """As ``step_events``, from one frame of triggers: put on the default route, on ``usage_route``, on the ``route`` of
+    their verdict if they have one, and written if that is the write queue. The frame is worked out once."""
+    def step(number: int, name: Column) -> Column:
+        return F.struct(F.lit(number).cast("bigint").alias("step"), name.alias("name"), F.lit(number == 1).alias("is_insert"))
+
+    written = F.when(F.col("route") == rules.WRITE_DB_QUEUE, F.lit(done))
+    each = F.array(step(1, F.lit(rules.DEFAULT_QUEUE)), step(2, usage_route), step(3, F.col("route")), step(4, written))
+    return judged.select("log_id", F.explode(each).alias("s")).where("s.name is not null").select("log_id", "s.*").distinct()
+
+
 def process_trail(steps: DataFrame, chunk: int = 1_000) -> DataFrame:
     """Per log its steps as ``a -> b -> c`` and the name of the last step as status.
 

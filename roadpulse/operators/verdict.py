@@ -19,8 +19,10 @@ def crash_verdict(
     defs: DataFrame,
     rules_by_route: Mapping[str, Sequence[rules.ThresholdRule]] = rules.RULES_BY_ROUTE,
     mode: str = "strict",
+    keep_unjudged: bool = False,
 ) -> DataFrame:
-    """Triggers with their verdict; those without a usable CAN file are left out.
+    """Triggers with their verdict; those without a usable CAN file are left out, or with ``keep_unjudged``
+    stay as they are, with null for the route and the rest of the verdict.
 
     ``frames`` carries vin and timestamp of the trigger its log belongs to; there
     is one log per vehicle and time.
@@ -28,7 +30,7 @@ def crash_verdict(
     ``route`` becomes the write queue for crashes and the fusion queue for the rest.
     """
     crossings = first_crossing(frames, defs, rules_by_route, mode, by=("vin", "timestamp"))
-    judged = route_by_usage(triggers).join(crossings, ["vin", "timestamp"])
+    judged = route_by_usage(triggers).join(crossings, ["vin", "timestamp"], "left" if keep_unjudged else "inner")
     sets = rule_sets(rules_by_route)
     which = F.lit(None).cast("int")
     for route, wanted in rules_by_route.items():
@@ -38,17 +40,14 @@ def crash_verdict(
     judged = judged.withColumn("_set", which).withColumn("_pos", position)
     info = _by_rule(sets, lambda r: F.lit(crossing_text(r.name, r.threshold)), F.lit(""))
     reason = _by_rule(sets, lambda r: F.lit(r.reason_code), F.lit(0))
-    return (
-        judged.withColumn("threshold_log", F.concat("threshold_log", F.lit(";"), info))
-        .withColumn("reason_code", reason)
-        .withColumn("is_crash", F.col("_pos"))
-        .withColumn("crash_ts", hit.ts)
-        .withColumn(
-            "route",
-            F.when(F.col("_pos") != 0, rules.WRITE_DB_QUEUE).otherwise(rules.FUSION_QUEUE),
-        )
-        .drop("_set", "_pos", "crossings")
-    )
+    known = F.col("crossings").isNotNull()
+    return judged.withColumns({
+        "threshold_log": F.when(known, F.concat("threshold_log", F.lit(";"), info)).otherwise(F.col("threshold_log")),
+        "reason_code": F.when(known, reason),
+        "is_crash": F.when(known, F.col("_pos")),
+        "crash_ts": hit.ts,
+        "route": F.when(known, F.when(F.col("_pos") != 0, rules.WRITE_DB_QUEUE).otherwise(rules.FUSION_QUEUE)),
+    }).drop("_set", "_pos", "crossings")
 
 
 def attach_logs(triggers: DataFrame, manifests: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:

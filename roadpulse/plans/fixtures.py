@@ -158,6 +158,10 @@ def mixed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_trigger_pages(events(spark, sf_dir))
+
+
+def derive_trigger_pages(ev: DataFrame) -> DataFrame:
     """Every event that is no signup as a page of the trigger feed with two records.
 
     The first record is sound; the second repeats the vehicle with a time stamp
@@ -175,7 +179,7 @@ def trigger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "named_struct('vin', {vin}, 'timestamp', {ts}, 'car_type', concat('T', user_id % 5),"
         " 'tag', array(event_type), 'trigger_info', {info})"
     )
-    return events(spark, sf_dir).where("event_type <> 'signup'").selectExpr(
+    return ev.where("event_type <> 'signup'").selectExpr(
         "'0' as code", "'ok' as status", "'' as message", "2 as total",
         "cast(event_id % 1000000 as int) as page", "2 as page_size",
         "array("

@@ -347,11 +347,16 @@ group by k.n, k.vin, k."timestamp", k.car_type, k.trigger_id""",
     "route_messages": f"""with {RECORDS}, {USAGE}, {TAKEN}
 select vin, "timestamp", car_type, usage_type, trigger_id, log_id, '' as threshold_log, 0 as is_crash, {ROUTE} as route
 from taken""",
-    "trail_from_ingest": f"""with {RECORDS}, {USAGE}, {TAKEN}, st as (
+    "trail_from_ingest": f"""with {RECORDS}, {USAGE}, {TAKEN}, {LINES}, {DECODED},
+rule(idx, signal, threshold, reason_code, info) as (values {RULE_ROWS}),
+crossed as (select distinct file from lastv join rule using (signal) where value > threshold),
+judged_logs as (
+  select distinct f.vin, f."timestamp", case when c.file is null then 'fusion_car_triggers' else 'write_db_triggers' end as verdict
+  from frames f join status s using (file) left join crossed c using (file) where s.error is null),
+st as (
   select distinct log_id, unnest([1, 2, 3, 4]) as step,
-    unnest(['default_triggers', {ROUTE}, case when "timestamp" % 3 = 0 then 'write_db_triggers' else 'fusion_car_triggers' end,
-      case when "timestamp" % 3 = 0 then 'DB Write Success' end]) as name
-  from taken)
+    unnest(['default_triggers', {ROUTE}, verdict, case when verdict = 'write_db_triggers' then 'DB Write Success' end]) as name
+  from taken left join judged_logs using (vin, "timestamp"))
 select log_id, string_agg(name, ' -> ' order by step) as process_log,
   replace(arg_max(name, step), 'DB Write Success', 'Completed') as process_status, count(*) as n_steps
 from st where name is not null group by log_id""",
@@ -533,3 +538,13 @@ select vin, sig_ts, seq, anomaly_type, previous_seq from spd_anom where xor(seq,
 ORACLE["trail_by_increments"] = ORACLE["process_trail"]
 ORACLE["orphans_by_increments"] = ORACLE["process_log_orphans"]
 ORACLE["facts_exactly_once"] = ORACLE["data_log_rows"]
+ORACLE["stream_ingest"] = ORACLE["route_messages"]
+ORACLE["stream_without_repeats"] = f"with {SPEEDS} select vin, seq, sig_ts from spd"
+ORACLE["anomaly_table"] = f"""with {SPEEDS}, {HITS}
+select vin, seq, kafka_ts as kafka_timestamp, sig_ts as sig_timestamp, anomaly_type, severity, additional_info,
+  (epoch_ms(sig_ts))::date as event_date from spd_anom"""
+ORACLE["decode_queue_messages"] = f"""{ORACLE["decode_signals"].split("select vin,")[0]}
+select vin,
+  case when m = 6 then 0 when m in (5, 7) then sig_ts else sig_ts + event_id % 1000 end as kafka_ts,
+  case when m = 6 then 0 else sig_ts end as sig_ts, seq % 3 * 281474976710656 + seq // 3 as seq, event_type as sig_name
+from good"""

@@ -117,6 +117,13 @@ def decode_signals(spark, sf_dir):
     )
 
 
+@query
+def decode_queue_messages(spark, sf_dir):
+    """Messages with the partition and offset of a queue, from which their order of arrival is made."""
+    rows = fx.messages(spark, sf_dir).selectExpr("value", "cast(seq % 3 as int) as partition", "seq div 3 as offset")
+    return signals.decode_signals(rows).select("vin", "kafka_ts", "sig_ts", "seq", "sig_name")
+
+
 @query
 def coerce_signal_value(spark, sf_dir):
     typed = signals.coerce_values(fx.mixed_values(spark, sf_dir))
@@ -352,14 +359,11 @@ def process_trail(spark, sf_dir):
 
 @query
 def trail_from_ingest(spark, sf_dir):
-    """From the trigger feed to each trigger's trail: ingest, routes, a verdict by id, the write."""
+    """From the trigger feed to each trigger's trail: ingest, route, crash verdict where there is a usable log, the write."""
     taken = triggers.ingest(fx.trigger_pages(spark, sf_dir), fx.usage(spark, sf_dir))
-    routed = triggers.route_by_usage(taken)
-    judged = taken.withColumn("route", F.when(
-        F.col("timestamp") % 3 == 0, rules.WRITE_DB_QUEUE).otherwise(rules.FUSION_QUEUE))
-    written = judged.where(F.col("route") == rules.WRITE_DB_QUEUE)
-    trails = operations.process_trail(operations.step_events(taken, routed, judged, written))
-    return operations.completed_trail(trails)
+    judged = verdict.crash_verdict(taken, _frames(spark, sf_dir), fx.signal_defs(spark), keep_unjudged=True)
+    steps = operations.trail_steps(judged, triggers.route_of(F.col("usage_type")))
+    return operations.completed_trail(operations.process_trail(steps))
 
 
 def _kept_trail(spark, sf_dir):
@@ -406,6 +410,15 @@ def anomaly_files(spark, sf_dir):
                        F.col("thresholdValue").alias("threshold"), F.col("additionalInfo").alias("additional_info"))
 
 
+@query
+def anomaly_table(spark, sf_dir):
+    """Speed anomalies as rows of the SQL table, by day, read back."""
+    path = shared_dir(spark, "anomaly-table")
+    writers.table_batches(path)(anomalies.speed_change(fx.speed_signals(spark, sf_dir)), 0)
+    return spark.read.parquet(f"{path}/batch_id=0").select(
+        "vin", "seq", "kafka_timestamp", "sig_timestamp", "anomaly_type", "severity", "additional_info", "event_date")
+
+
 FACTS = ("vin string, trigger_timestamp timestamp_ntz, car_type string, use_type string, trigger_id string, is_crash int, "
          "crash_reason string, criterion_judgment string")
 
@@ -574,6 +587,24 @@ def stream_depth_alerts(spark, sf_dir):
     return depth.alerts(spark, path)
 
 
+@query
+def stream_without_repeats(spark, sf_dir):
+    """A third of the rows is sent twice, and each is taken once."""
+    sent = fx.derive_speed_signals(fx.event_batches(spark, sf_dir)).withColumn(
+        "nth", F.explode(F.expr("if(seq % 3 = 0, array(1, 2), array(1))")))
+    return run.drain(run.without_repeats(speed.with_event_time(sent)).select("vin", "seq", "sig_ts"), "stream-repeats")
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """Trigger pages ingested as they land and put on their routes, read back route by route."""
+    path = shared_dir(spark, "stream-ingest")
+    pages = fx.derive_trigger_pages(fx.event_batches(spark, sf_dir))
+    run.ingest_pages(pages, fx.usage(spark, sf_dir), f"{path}/routes", f"{path}/checkpoint", every=None).awaitTermination()
+    waiting = [writers.read_route(spark, f"{path}/routes", r) for r in sorted(set(rules.USAGE_ROUTES.values()))]
+    return functools.reduce(DataFrame.unionByName, waiting)
+
+
 @query
 def stream_live_rules(spark, sf_dir):
     """Crash verdicts by rules read anew for every batch: after the first batch, the longitudinal limit is halved."""
