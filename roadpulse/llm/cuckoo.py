@@ -36,7 +36,8 @@ class CuckooFilter:
         """Fingerprint and both buckets of keys given as rows of two unsigned 64-bit integers."""
         mark = ((keys[:, 0] >> np.uint64(48)) | np.uint64(0)).astype(np.uint16)
         mark = np.where(mark == 0, np.uint16(1), mark)
-        first = keys[:, 1] & self.mask
+        # Not by the lowest 16 bits: keys of one shard agree in some of these.
+        first = (keys[:, 1] >> np.uint64(16)) & self.mask
         return mark, first, self._other(first, mark)
 
     def _other(self, bucket: np.ndarray, mark: np.ndarray) -> np.ndarray:
