@@ -2,8 +2,9 @@
 
 Four measures of each document go into quantile sketches per (language, source): counts per
 logarithmic bucket, a hundredth wide. Sketches merge by adding counts, so those of a language and of
-all documents come from the same counts, whatever the order. A group of fewer than ``SMALL``
-documents takes the sketch of its language, a small language that of all. A document fails a measure that lies
+all documents come from the same counts, whatever the order. A group's quantiles are blended with those of its
+language as if ``PRIOR`` documents more had the latter, and a language's with those of all likewise, so that limits move
+smoothly from the one to the other as a group grows. A document fails a measure that lies
 further from the group's median than four times the distance between median and lower quartile, or
 the measure's slack if that is more. The lower half alone sets the limit, so junk above the median
 doesn't raise it.
@@ -28,7 +29,7 @@ BLANKS = " \t\n\x0b\f\r"
 WINDOW = 5
 FEWEST_WORDS = 10
 MOST_REPEATED = 20  # per hundred words
-SMALL = 200
+PRIOR = 200.0
 SPREADS = 4.0
 # measure: (numerator, denominator, slack, is a low value bad too)
 MEASURES = {
@@ -124,8 +125,8 @@ def thresholds(rows: DataFrame, lang: str = "lang", source: str = "source") -> D
     joined = joined.join(overall, F.col("measure") == F.col("am"), "left")
 
     def level(name: str) -> Column:
-        return F.when(F.col("size") >= SMALL, F.col(name)).when(F.col("l_size") >= SMALL, F.col(f"l_{name}")).otherwise(
-            F.col(f"a_{name}"))
+        of_lang = (F.col("l_size") * F.col(f"l_{name}") + PRIOR * F.col(f"a_{name}")) / (F.col("l_size") + PRIOR)
+        return (F.col("size") * F.col(name) + PRIOR * of_lang) / (F.col("size") + PRIOR)
 
     slack = F.create_map(*[F.lit(x) for m, (_, _, s, _) in MEASURES.items() for x in (m, s)])[F.col("measure")]
     both = F.create_map(*[F.lit(x) for m, (_, _, _, b) in MEASURES.items() for x in (m, b)])[F.col("measure")]

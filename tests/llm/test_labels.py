@@ -122,6 +122,63 @@ def test_sketches_merge_and_hold_their_error(spark):
     assert q.low == pytest.approx(values[749], rel=0.0101) and q.mid == pytest.approx(values[1499], rel=0.0101)
 
 
+def plain_kept(rows):
+    """Verdicts of rows (lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_word_lines, n_repeat_words) by sorting."""
+    def values(members, m):
+        over, under, _, _ = rules.MEASURES[m]
+        return sorted(getattr(r, over) / getattr(r, under) for r in members if getattr(r, under) > 0)
+
+    def quantile(members, m, q):
+        found = values(members, m)
+        at = found[int(np.ceil(q * len(found))) - 1] if found else None
+        # What the sketch says for a value: the middle of its bucket.
+        return at if not at else 2 * rules.GAMMA ** np.ceil(np.log(at) / np.log(rules.GAMMA)) / (rules.GAMMA + 1)
+
+    kept = []
+    for r in rows:
+        ok = r.n_words >= 10 and 100 * r.n_repeat_words <= 20 * r.n_words
+        own = [x for x in rows if (x.lang, x.source) == (r.lang, r.source)]
+        near = [x for x in rows if x.lang == r.lang]
+        for m, (over, under, slack, both) in rules.MEASURES.items():
+            def level(q):
+                parts = [(len(values(g, m)), quantile(g, m, q)) for g in (rows, near, own)]
+                at = parts[0][1]
+                for n, mine in parts[1:]:
+                    at = (n * (mine or 0.0) + 200 * at) / (n + 200)
+                return at
+            if getattr(r, under) > 0:
+                mid = level(0.5)
+                reach = max(4 * (mid - level(0.25)), slack)
+                value = getattr(r, over) / getattr(r, under)
+                ok = ok and value <= mid + reach and not (both and value < mid - reach)
+        kept.append(ok)
+    return kept
+
+
+def test_kept_against_sorting(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(420):
+        long = int(rng.integers(2, 12))
+        text = " ".join("x" * max(1, long + int(rng.integers(-1, 2))) + str(k) for k in range(int(rng.integers(5, 60))))
+        rows.append((i, text + " #$" * int(rng.integers(0, 4)) ** 2, ["en", "de", None][i % 3], f"s{i % 7 % 4}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = sorted(rules.judge(df).collect(), key=lambda r: r.doc_id)
+    assert [r.kept for r in found] == plain_kept(found) and 0 < sum(r.kept for r in found) < len(found)
+
+
+def test_one_document_more_moves_a_limit_little(spark):
+    """Sources of 199 and of 200 documents beside a large one of the same language get nearly the same limits."""
+    def limits(n):
+        rows = [("en", "large", 10, 50 + i % 7) for i in range(2000)] + [("en", "small", 10, 90 + i % 5) for i in range(n)]
+        df = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long").selectExpr(
+            "*", "0L as n_symbols", "0L as n_dup_lines", "1L as n_word_lines", "0L as n_repeat_words")
+        return {(r.source, r.measure): (r.least, r.most) for r in rules.thresholds(df).collect()}["small", "word_length"]
+    for n in (1, 199, 200, 1000):
+        (a, b), (c, d) = limits(n), limits(n + 1)
+        assert abs(a - c) < 0.05 and abs(b - d) < 0.05
+
+
 def test_rule_rows(spark):
     good = "these are words that make a sentence of fair length here"
     rows = [(1, None, "en", "a", 1), (2, "", None, None, 1), (3, " \n ", "en", None, 1), (4, good, "en", "a", 1), (4, good, "en", "a", 1),
