@@ -1,8 +1,10 @@
 """Personal data by fixed patterns, and by patterns that those finds induce.
 
-The fixed patterns are the seeds. Numbers in a text stand in runs of blank-separated tokens; every
-one to four tokens of a run are a candidate (a longer row of numbers is cut into runs of 16). A candidate's lexical patterns are its shape (each
-digit as 9) and its shape after the word to its left. Pattern and value form a graph: a pattern's confidence
+The fixed patterns are the seeds. Numbers in a text stand in runs of blank-separated tokens; every row of tokens up to
+the length of the longest seed is a candidate (a long run is cut every ``CUT`` tokens, and candidates go on over a cut). A
+candidate's lexical patterns are its shape (each digit as 9), its shape after the word to its left and, if it is a whole
+run, its context alone: the word to its left, the word to its right, and both. By those an identifier of a form that no
+seed has is found where seeds stand. Pattern and value form a graph: a pattern's confidence
 for a kind is the mean score of the values it is seen with, a value's score is 1 if a seed has
 it, else the best confidence of its patterns, and 0 if it fails the kind's own test. After some rounds, candidates of
 patterns of high confidence that overlap no seed are added. So a card number is found that a phone pattern
@@ -31,8 +33,9 @@ PATTERN = {
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-RUN = r"[+(]?[0-9][0-9().+-]*+(?:\x20[+(]?[0-9][0-9().+-]*+){0,15}+"
-MOST_TOKENS = 4
+CUT = 16
+RUN = rf"[+(]?[0-9][0-9().+-]*+(?:\x20[+(]?[0-9][0-9().+-]*+){{0,{CUT - 1}}}+"
+LONGEST_SEED = 19  # tokens: a card of 19 digits, each by itself
 ROUNDS = 3
 SUPPORT = 5  # values that must speak for a pattern
 CONFIDENCE = 0.9
@@ -117,36 +120,64 @@ def spelled(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _word(found: str) -> str:
+    """SQL text: a word of a context, small, digits as 9; any address as @."""
+    small = f"regexp_replace(lower({found}), '[0-9]+', '9')"
+    return f"if({small} like '%@%', '@', {small})"
+
+
 def _runs(df: DataFrame, text: str) -> DataFrame:
-    """Add ``runs``: array of (start, tokens, near, left): the base spans it meets, and the word before it, digits as 9."""
+    """Add ``runs``: array of (start, tokens, more, near, left, right, whole).
+
+    ``more`` are tokens after a cut, ``near`` the base spans that any of these meet, ``left`` and ``right`` the words around,
+    ``whole`` whether the run is cut at neither end.
+    """
     df = with_once(df, {"_t": f"coalesce({text}, '')"})
     df = _located(df, {"run": RUN}, "_t", {"run": "_t rlike '[0-9]'"})
-    left = r"regexp_replace(lower(regexp_extract(right(g, 60), r'(\S+)\s*$', 1)), '[0-9]+', '9')"
-    df = with_once(df, {"runs": (
-        "zip_with(zip_with(run_hits, run_from, (h, s) -> named_struct('start', s, 'tokens', split(h, ' '), "
-        "'near', filter(base, b -> b.start < s + length(h) and s < b.end))), slice(run_gaps, 1, size(run_hits)), "
-        "(r, g) -> named_struct('start', r.start, 'tokens', r.tokens, 'near', r.near, "
-        f"'left', if({left} like '%@%', '@', {left})))")})
+    ahead = f"if(get(run_gaps, i + 1) = ' ', slice(split(get(run_hits, i + 1), ' '), 1, {LONGEST_SEED - 1}), array())"
+    left = _word(r"regexp_extract(right(get(run_gaps, i), 60), r'(\S+)\s*$', 1)")
+    right = _word(r"regexp_extract(left(get(run_gaps, i + 1), 60), r'^\s*(\S+)', 1)")
+    df = with_once(df, {"runs": f"""transform(transform(run_hits, (h, i) -> named_struct(
+        'start', get(run_from, i), 'hit', h, 'more', coalesce({ahead}, cast(array() as array<string>)),
+        'left', if(i > 0 and get(run_gaps, i) = ' ',
+          regexp_replace(substring_index(get(run_hits, i - 1), ' ', -1), '[0-9]', '9'), {left}),
+        'right', {right},
+        'whole', not (i > 0 and get(run_gaps, i) = ' ') and coalesce(get(run_gaps, i + 1) <> ' ' or i + 1 >= size(run_hits), true))),
+      r -> named_struct('start', r.start, 'tokens', split(r.hit, ' '), 'more', r.more,
+        'near', filter(base, b -> b.start <= r.start + length(r.hit) + length(array_join(r.more, ' ')) and r.start < b.end),
+        'left', r.left, 'right', r.right, 'whole', r.whole))"""})
     return df.drop("_t", "run_hits", "run_gaps", "run_from")
 
 
-def _candidates(found: DataFrame) -> DataFrame:
-    """One row per one to four tokens of a run: row, value, start, end, seed kind, clear of seeds, patterns."""
+def _longest_seed(found: DataFrame) -> int:
+    """Tokens of the longest seed among the runs."""
+    tokens = ("transform(runs, r -> coalesce(array_max(transform(r.near, b -> size(split(substring("
+              "array_join(concat(r.tokens, r.more), ' '), cast(greatest(b.start - r.start, 0) + 1 as int),"
+              " cast(b.end - b.start as int)), ' ')))), 1))")
+    most = found.where("size(runs) > 0").agg(F.max(F.expr(f"array_max({tokens})"))).first()[0]
+    return min(max(most or 1, 1), LONGEST_SEED)
+
+
+def _candidates(found: DataFrame, most_tokens: int) -> DataFrame:
+    """One row per up to ``most_tokens`` tokens of a run: row, value, start, end, seed kind, clear of seeds, patterns."""
     rows = found.where("size(runs) > 0").select("_row", F.explode("runs").alias("r"))
-    rows = rows.select("_row", "r.*").select("*", F.posexplode("tokens").alias("i", "_token"))
-    rows = rows.select("*", F.expr(f"explode(sequence(1, least({MOST_TOKENS}, size(tokens) - i)))").alias("k"))
+    rows = rows.select("_row", "r.*").withColumn("own", F.size("tokens")).withColumn("tokens", F.concat("tokens", "more"))
+    rows = rows.select("*", F.expr("explode(sequence(0, own - 1))").alias("i"))
+    rows = rows.select("*", F.expr(f"explode(sequence(1, least({most_tokens}, size(tokens) - i)))").alias("k"))
     rows = rows.selectExpr(
-        "_row", "near", "left", "i", "k", "start + length(array_join(slice(tokens, 1, i), ' ')) + if(i > 0, 1, 0) as start",
+        "_row", "near", "left", "right", "i", "start + length(array_join(slice(tokens, 1, i), ' ')) + if(i > 0, 1, 0) as start",
         r"regexp_replace(array_join(slice(tokens, i + 1, k), ' '), r'[^0-9)]++$', '') as value",
-        "if(i = 0, left, regexp_replace(tokens[i - 1], '[0-9]', '9')) as word")
+        "if(i = 0, left, regexp_replace(get(tokens, i - 1), '[0-9]', '9')) as word", "whole and i = 0 and k = own as whole")
     rows = rows.where("length(value) >= 6")
-    rows = rows.selectExpr("_row", "near", "value", "word", "start", "start + length(value) as end",
+    rows = rows.selectExpr("_row", "near", "value", "word", "right", "whole", "start", "start + length(value) as end",
                            "regexp_replace(value, '[0-9]', '9') as shape")
     return rows.selectExpr(
         "_row", "value", "start", "end",
         "try_element_at(filter(near, b -> b.start = start and b.end = end), 1).kind as seed",
         "not exists(near, b -> b.start < end and start < b.end) as clear",
-        "array(concat('shape ', shape), concat('after ', word, ' ', shape)) as patterns")
+        "concat(array(concat('shape ', shape), concat('after ', word, ' ', shape)), if(whole and word <> '',"
+        " array(concat('left ', word), concat('between ', word, ' ', right)), cast(array() as array<string>)),"
+        " if(whole and right <> '', array(concat('right ', right)), cast(array() as array<string>))) as patterns")
 
 
 def confident_patterns(candidates: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
@@ -184,7 +215,7 @@ def find(docs: DataFrame, text: str = "text", keep_text: bool = True, rounds: in
     rows = base_spans(docs.drop("base", "spans", "runs", "_row"), text)
     rows = _runs(rows, text).withColumn("_row", F.monotonically_increasing_id())
     found = saved(rows if keep_text else rows.drop(text), "pii-found")
-    candidates = _candidates(found)
+    candidates = _candidates(found, _longest_seed(found))
     good = confident_patterns(candidates, rounds, support, confidence)
     passes = F.coalesce(*[F.when(F.col("kind") == k, F.expr(valid(k, "value"))) for k in KINDS], F.lit(False))
     hits = candidates.where("clear").select("_row", "value", "start", "end", F.explode("patterns").alias("pattern")).join(

@@ -110,6 +110,30 @@ def test_discovery_and_redaction(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_forms_that_no_seed_has_are_found_by_their_context(spark):
+    rows = [(i, f"Write to us. Tel: +49 30 {1234000 + i} at any time") for i in range(300)]
+    rows += [(1000, "Write to us. Tel: 030 1234567 at any time"), (1001, "Tel: 0049 30 1234567"), (1002, "Order: 030 1234567 came"),
+             (1003, "Tel: 12 34 only"), (1004, "Tel: 1234567890123456 at any time")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, r.text[s.start:s.end]) for s in r.spans] for r in pii.find(df).collect()}
+    assert found[1000] == [("phone", "030 1234567")] and found[1001] == [("phone", "0049 30 1234567")]
+    assert found[1002] == found[1003] == found[1004] == []  # another context, and numbers that are no phone
+    assert all(found[i] == [("phone", f"+49 30 {1234000 + i}")] for i in range(300))
+
+
+def test_candidates_go_on_over_a_cut(spark):
+    """Shapes known from elsewhere are found anywhere in a long row of numbers, also where it is cut."""
+    phone = lambda i: f"(555) 01 0-{2000 + i}"
+    rows = [(i, f"dial +1 {phone(i)} now") for i in range(40)]
+    at = [12, 13, 14, 15, 16, 17, 30, 31]
+    rows += [(100 + n, " ".join(["7"] * n) + f" +1 {phone(90)} " + " ".join(["7"] * 9)) for n in at]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.col("text"))
+    found = pii.base_spans(df)
+    rows = pii._runs(found, "text").withColumn("_row", F.col("doc_id"))
+    values = {(r._row, r.value) for r in pii._candidates(rows, 4).select("_row", "value").collect()}
+    assert all((100 + n, f"+1 {phone(90)}") in values for n in at)
+
+
 def test_overlapping_spans_are_redacted_once(spark):
     df = spark.createDataFrame([("0123456789",)], "text string").withColumn("spans", F.expr(
         "array(named_struct('kind', 'ip', 'start', 5L, 'end', 7L), named_struct('kind', 'card', 'start', 2L, 'end', 6L),"
