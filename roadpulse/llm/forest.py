@@ -7,8 +7,9 @@ as cells of equal first bits, and cells of many vectors as several arrays.
 
 A query goes down all trees at once. How many vectors share its first 0, 1, 2, ... bits is
 known from counts of prefixes; it comes up, in all trees together, from the longest prefix to the first
-length at which the trees offer ``share`` of the index (and at least ``least`` vectors). The
-vectors that share so long a prefix are a run of each array, found by bisection, and are scored exactly.
+length at which the trees offer ``share`` of the index (and at least ``least`` vectors), and on the last bit tree by
+tree, until that much is offered. The vectors that share so long a prefix are a run of each array, found by bisection, and
+are scored exactly.
 
 Equal vectors are one entry with their smallest ids, as many as could be in an answer.
 """
@@ -30,8 +31,8 @@ from roadpulse.llm.common import saved
 TREES = 24
 BITS = 32
 CELL = 4096  # vectors an array should hold
-SHARE = 0.85
-LEAST = 2000
+SHARE = 0.95
+LEAST = 1000
 SEED = 11
 
 
@@ -78,18 +79,22 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = 20, vector: st
     """(query_id, rank, vec_id, score) of the ``nearest`` vectors found for each query, ranks from 1, ties to the smaller vec_id.
 
     ``queries`` are rows like those of ``vectors``; a vector of the query's own id is no answer. Rows of one id are each an entry's id.
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do those that differ in
-    length from most. Fewer vectors than ``nearest`` give all that are found. Other columns don't matter.
+    Vectors that are null, zero or hold null or non-finite components take no part. Vectors of each length have a forest of
+    their own, which queries of that length ask. Fewer vectors than ``nearest`` give all that are found. Other columns don't matter.
     """
-    spark = vectors.sparkSession
     index = saved(usable(vectors, vector, key), "forest-vectors")
     asked = usable(queries, vector, key)
-    widths = index.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if widths is None:
-        return none
-    width = widths["w"]
-    index, asked = index.where(F.size("v") == width), asked.where(F.size("v") == width)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for row in asked.select(F.size("v").alias("width")).distinct().orderBy("width").collect():
+        same = F.size("v") == row.width
+        if index.where(same).head(1):
+            found = found.union(_search(index.where(same), asked.where(same), row.width, nearest, trees, share, least, cell))
+    return found
+
+
+def _search(index: DataFrame, asked: DataFrame, width: int, nearest: int, trees: int, share: float, least: int,
+            cell: int) -> DataFrame:
+    """``search`` over usable vectors of one length."""
     table = saved(entries(index, nearest + 1), "forest-entries")
     n, longest = table.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"))).first()
     # Equal queries are one question.
@@ -110,9 +115,21 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = 20, vector: st
             "prefix", F.expr(f"shiftright(code, {BITS} - depth)")).drop("code")
 
     counts = saved(prefixes(stored).groupBy("tree", "depth", "prefix").agg(F.count("*").alias("n")), "forest-counts")
-    offered = prefixes(hashed, "q").join(counts, ["tree", "depth", "prefix"]).groupBy("q", "depth").agg(F.sum("n").alias("n"))
-    level = offered.where(F.col("n") >= wanted).groupBy("q").agg(F.max("depth").alias("depth"))
-    level = hashed.join(level, "q", "left").select("q", "v", "codes", F.coalesce("depth", F.lit(0)).alias("depth"))
+    met = prefixes(hashed, "q").join(counts, ["tree", "depth", "prefix"])
+    offered = met.groupBy("q", "depth").agg(F.sum("n").alias("n"))
+    level = offered.where(F.col("n") >= wanted).groupBy("q").agg(F.max("depth").alias("level"))
+    # Up to that level not in all trees: those with the longest matches stay one bit below it once enough is offered. A tree's
+    # gain is what one bit less offers more.
+    near = met.join(level, "q").where(F.col("depth").between(F.col("level"), F.col("level") + 1)).groupBy("q", "tree", "level").agg(
+        F.sum(F.when(F.col("depth") > F.col("level"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("depth") == F.col("level"), F.col("n")).otherwise(0)).alias("at"))
+    upward = Window.partitionBy("q").orderBy(F.desc("below"), "tree")
+    gained = F.coalesce(F.sum(F.col("at") - F.col("below")).over(upward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    climbed = near.withColumn("sofar", gained + F.sum("below").over(Window.partitionBy("q")))
+    climbed = climbed.select("q", "tree", F.when((F.col("sofar") >= wanted) & (F.col("level") < deepest), F.col("level") + 1).otherwise(
+        F.col("level")).alias("depth"))
+    codes = hashed.select("q", "v", F.posexplode("codes").alias("tree", "code"))
+    level = codes.join(climbed, ["q", "tree"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
     # The arrays: a cell of many entries is cut into several.
     parts = counts.where(F.col("depth") == top).select(
@@ -121,7 +138,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = 20, vector: st
         "cell", F.expr(f"shiftright(code, {BITS - top})")).join(parts, ["tree", "cell"]).withColumn(
             "part", F.pmod(F.xxhash64("entry"), "parts").cast("int")).drop("parts")
     # A query whose prefix is shorter than a cell's looks at all cells below it.
-    going = level.select("q", "v", "depth", F.posexplode("codes").alias("tree", "code")).withColumn(
+    going = level.withColumn(
         "cell", F.explode(F.expr(
             f"if(depth >= {top}, array(shiftright(code, {BITS - top})), sequence(shiftleft(shiftright(code, {BITS} - depth), {top} - depth), "
             f"shiftleft(shiftright(code, {BITS} - depth) + 1, {top} - depth) - 1))"))).join(parts, ["tree", "cell"]).withColumn(

@@ -63,3 +63,11 @@ def test_rows(spark):
                    3: [(1, 0.5), (2, 0.5), (11, -0.5)], 11: [(3, -0.5), (1, -1.0), (2, -1.0)]}
     assert forest.search(df.limit(0), df.limit(0)).count() == 0
     assert forest.search(df, df.limit(0)).count() == 0
+
+
+def test_vectors_of_each_length_have_neighbours(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(40)] + [(100 + i, [1.0, float(i), 2.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = lists(forest.search(df, df.where("vec_id in (3, 100, 104)"), nearest=3))
+    assert [i for i, _ in got[100]] == [101, 102, 103] and [i for i, _ in got[104]] == [108, 107, 106]
+    assert [i for i, _ in got[3]] == [6, 13, 20]
