@@ -39,27 +39,50 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def event_batches(spark: SparkSession, sf_dir: str, batches: int = 3, closing: bool = False) -> DataFrame:
+# Events in one file of a batch. Spark counts a file as 4 MiB at least, so even a scan task of 128 MiB has few of them.
+EVENTS_A_FILE = 50_000
+
+
+def event_batches(
+    spark: SparkSession, sf_dir: str, batches: int = 3, closing: bool = False, file_rows: int = EVENTS_A_FILE,
+) -> DataFrame:
     """The events as a stream of ``batches`` micro-batches in order of arrival, from files below the shared folder.
 
     ``closing`` adds a batch of one event of user -1, ten days after all others, which moves the watermark past them.
+    A batch has as many files as its rows need at ``file_rows`` each, written and read by as many tasks; each batch has
+    the same number of them, which is how the stream tells batches apart.
     """
     source = shared_dir(spark, "event-batches")
     rows = events(spark, sf_dir)
     low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    parts = []
     for i in range(batches if low is not None else 0):
         # Arrival numbers differ from event ids in their last five bits only.
         first, last = (low + (high + 1 - low) * (i + j) // batches >> 5 << 5 for j in (0, 1))
-        part = rows.where((F.col("event_id") >= (first if i else low)) & (
+        parts.append((F.col("event_id") >= (first if i else low)) & (
             F.col("event_id") < (last if i < batches - 1 else high + 1)))
-        part.coalesce(1).write.mode("append").parquet(source)
+    most = max(rows.agg(*[F.count_if(p) for p in parts]).first()) if parts else 0
+    files = max(1, -(-most // file_rows))
+    for i, part in enumerate(parts, start=1):
+        _in_files(rows.where(part), files).write.mode("append").parquet(source)
+        missing = files * i - len(spark.read.schema(EVENTS_SCHEMA).parquet(source).inputFiles())
+        if missing > 0:
+            # A batch of few rows leaves files out; rows without an id, which nobody reads, take their place.
+            spark.range(0, missing, 1, missing).selectExpr(
+                *[f"cast(null as {kind}) as {name}" for name, kind in (f.split() for f in EVENTS_SCHEMA.split(", "))],
+            ).write.mode("append").parquet(source)
     if closing and low is not None:
         last = rows.agg(F.max("ts").alias("ts")).selectExpr(
             f"{high + 64}L as event_id", "ts + interval 10 days as ts", "-1L as user_id", "'click' as event_type",
             "61D as value", "'' as props")
         last.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
-    return stream.parquet(source)
+    stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files)
+    return stream.parquet(source).where("event_id is not null")
+
+
+def _in_files(rows: DataFrame, files: int) -> DataFrame:
+    """Rows dealt evenly over ``files`` tasks; for a single one they need no shuffle."""
+    return rows.repartition(files) if files > 1 else rows.coalesce(1)
 
 
 def derive_signals(ev: DataFrame) -> DataFrame:
