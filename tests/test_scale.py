@@ -2,13 +2,17 @@
 
 import glob
 
+import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from test_speed import TIERS, found, one_by_one, stream_of
 
+from roadpulse import rules
 from roadpulse.plans import fixtures as fx
 from roadpulse.plans import queries
-from roadpulse.streaming import run
+from roadpulse.streaming import run, speed, speed_state
 
 
 def write_events(spark, path, ids):
@@ -45,3 +49,39 @@ def test_facts_are_judged_once(spark, tmp_path, monkeypatch):
     sf_dir = write_events(spark, tmp_path, range(96))
     n = queries.facts_exactly_once(spark, sf_dir).count()
     assert n > 0 and judged.value == n
+
+
+def state_sizes(df, path):
+    run.use_rocksdb(df.sparkSession)
+    query = df.writeStream.format("parquet").option("path", f"{path}/out").option(
+        "checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
+
+
+def test_a_call_serves_many_vehicles(spark, tmp_path):
+    """Calls and rows of the store by deals, not by vehicles; each vehicle is judged by its own rows alone."""
+    rows = [(f"v{i % 200}", i, i // 200 * 700 + i % 7, float(i * 13 % 60)) for i in range(1000)]
+    # Far-off times beside near ones, and rows too late to meet what has left.
+    rows += [("far", 1000, 0, 0.0), ("far", 1001, 1_700_000_000_000, 50.0), ("far", 1002, 500, 50.0),
+             ("far", 1003, 1_700_000_000_100, 0.0)]
+    sizes = state_sizes(speed.exact(stream_of(spark, tmp_path, rows, 3)), tmp_path / "n")
+    assert max(sizes) <= 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = found(run.drain(speed.exact(stream_of(spark, tmp_path / "b", rows, 3), deals=2), "t-deals"))
+    want = one_by_one(rows)
+    assert got == want and len(want) > 100
+
+
+def test_vehicles_side_by_side_as_one_by_one():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        n = 200
+        ts, v = rng.integers(0, 90_000, n), np.round(rng.uniform(0, 40, n), 1)
+        vins = rng.choice(["a", "b", "c"], n)
+        rows = [(w, i, int(t), float(x)) for i, (w, t, x) in enumerate(zip(vins, ts, v))]
+        frame = pd.DataFrame({"vin": pd.Series(vins, dtype=object), "sig_ts": ts, "seq": range(n), "speed": v})
+        kept, got = frame.head(0), []
+        for cut in np.array_split(np.arange(n), 4):
+            hits, kept = speed_state.judge_vehicles(kept, frame.iloc[cut], TIERS, 30_000, part_rows=30)
+            got += [(h.vin, h.seq, rules.SPEED_TIERS[h.tier - 1].anomaly_type, h.previous_seq) for h in hits.itertuples()]
+        assert sorted(got) == one_by_one(rows)
