@@ -26,7 +26,7 @@ def judge_vehicles(kept: pd.DataFrame, rows: pd.DataFrame, tiers, retention_ms:
     group = pd.factorize(pd.concat([kept.vin, rows.vin], ignore_index=True), use_na_sentinel=False)[0]
     order = np.argsort(group, kind="stable")  # vehicle by vehicle, what is kept before what is new
     group, new = group[order], order >= n
-    ts = np.r_[kept.sig_ts.to_numpy(np.int64), rows.sig_ts.to_numpy(np.int64)][order]
+    ts = np.r_[kept.sig_ts.to_numpy(), rows.sig_ts.to_numpy()].astype(np.int64)[order]
     seq = np.r_[kept.seq.to_numpy(np.int64), rows.seq.to_numpy(np.int64)][order]
     speed = np.r_[kept.speed.to_numpy(float), rows.speed.to_numpy(float)][order]
     place = np.arange(len(ts))
